@@ -43,13 +43,26 @@ def strip_all(c: ColumnOrName) -> Column:
     return F.btrim(_col(c), F.lit(PY_WHITESPACE))
 
 
-def clean_text_value(c: ColumnOrName, placeholder: str = rules.PLACEHOLDER) -> Column:
-    """Text cleaning of one column: cast, strip, upper; missing tokens -> placeholder.
+def normalize_text(c: ColumnOrName) -> Column:
+    """First step of text cleaning: cast to string, strip, upper case."""
+    return F.upper(strip_all(_col(c).cast("string")))
+
+
+def placeholder_if_missing(c: ColumnOrName, placeholder: str = rules.PLACEHOLDER) -> Column:
+    """Second step: '', NAN, NONE, NA and NULL become the placeholder.
 
     Null counts as missing (pandas turns it into 'nan'/'None' first).
     """
-    cleaned = F.upper(strip_all(_col(c).cast("string")))
-    return F.when(cleaned.isNull() | cleaned.isin(*rules.MISSING_TOKENS), F.lit(placeholder)).otherwise(cleaned)
+    x = _col(c)
+    # NOT (NULL IN ...) is NULL, so NULL and the tokens both fall to the
+    # placeholder. Written with coalesce so a filter on the result stays small
+    # after Catalyst inlines it (the text expression appears twice, not six times).
+    return F.coalesce(F.when(~x.isin(*rules.MISSING_TOKENS), x), F.lit(placeholder))
+
+
+def clean_text_value(c: ColumnOrName, placeholder: str = rules.PLACEHOLDER) -> Column:
+    """Text cleaning of one column in one expression (see ``normalize_text``)."""
+    return placeholder_if_missing(normalize_text(c), placeholder)
 
 
 def to_timestamp_ntz(c: ColumnOrName) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsmetrics import rules, schema
-from opsmetrics.functions import clean_text_value
+from opsmetrics.functions.expr import normalize_text, placeholder_if_missing
 from opsmetrics.sources.readers import coerce_dates
 
 ORDINAL = "_ordinal"
@@ -65,12 +65,16 @@ def normalize_headers(df: DataFrame) -> DataFrame:
 
 def clean_text(df: DataFrame, columns: list[str] | None = None, placeholder: str = rules.PLACEHOLDER) -> DataFrame:
     """Clean the text columns: strip, upper; '', NAN, NONE, NA and NULL become the
-    placeholder. A missing column is added holding the placeholder."""
-    return df.withColumns(
-        {
-            c: (clean_text_value(c, placeholder) if c in df.columns else F.lit(placeholder))
-            for c in (columns or schema.TEXT_COLUMNS)
-        }
+    placeholder. A missing column is added holding the placeholder.
+
+    Two projections: the stripped upper-case text is computed once per column
+    and then tested (Catalyst does not merge projections that would repeat it).
+    """
+    cols = columns or schema.TEXT_COLUMNS
+    present = [c for c in cols if c in df.columns]
+    normalized = df.withColumns({c: normalize_text(c) for c in present})
+    return normalized.withColumns(
+        {c: (placeholder_if_missing(c, placeholder) if c in present else F.lit(placeholder)) for c in cols}
     )
 
 

@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 
 from opsmetrics.functions import round_half_even
 from opsmetrics.operators.sessions import sessionize
-from opsmetrics.sources.readers import prepare_operations
+from opsmetrics.sources.readers import prepare_operations, spread
 from opsmetrics.sources.sinks import to_contract
 
 # Fixture type letters by o_orderkey % 8; Z is a type without rules.
 TYPE_CODES = "AMFBSTCZ"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_keys: list[str] | None = None) -> DataFrame:
+    """A generated table. With ``spread_keys``, a scan with fewer splits than
+    cores is hash-spread on those (unique) keys; see ``sources.readers.spread``."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, spread_keys) if spread_keys else df
 
 
 def type_code(orderkey: Column) -> Column:
@@ -35,7 +38,7 @@ def _owner(custkey: Column, narrow: bool) -> Column:
 
 def operations(spark: SparkSession, sf_dir: str, narrow: bool = False) -> DataFrame:
     """`ops` (or `ops_narrow`): one operation per order, client name from customer."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    o = table(spark, sf_dir, "orders", ["o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("o_orderkey")
     hours = F.lit(24) * (F.pmod(k * F.lit(37), F.lit(140)) - F.lit(10)) + F.pmod(k, F.lit(24)) - F.lit(12)
@@ -62,7 +65,7 @@ def upload_file_text(orderkey: Column, linenumber: Column) -> Column:
 def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`raw_upload`: an uploaded sheet, every column text, headers as uploaded,
     plus ``_ordinal`` (the sheet order within a key)."""
-    li = table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"]).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     )
@@ -97,7 +100,7 @@ def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def existing_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`existing_ops`: keys already stored (raw form), those of orders with key % 3 = 0."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"])
     return (
         li.where((F.col("l_quantity") != 1) & (F.pmod(F.col("l_orderkey"), F.lit(3)) == 0))
         .select(upload_file_text(F.col("l_orderkey"), F.col("l_linenumber")).alias("file"))
@@ -130,7 +133,7 @@ def load_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_with_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", ["event_id"])
     return ev.select(
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"), "ts", "event_type"
     )

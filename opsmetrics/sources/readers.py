@@ -18,6 +18,19 @@ def _load(spark: SparkSession, path: str | None, fmt: str, options: dict | None)
     return reader.load(path) if path is not None else reader.load()
 
 
+def spread(df: DataFrame, keys: list[str] | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Hash-repartition a scan only when it yields fewer partitions than the
+    cluster has cores (for example one large parquet row group, which a single
+    task must read). Large inputs already split into many partitions and are
+    returned unchanged, so no shuffle is added at scale. Hash keys should be
+    unique or near-unique so that no partition gets a hot key.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
 def coerce_dates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Coerce the date columns that exist: text is parsed (bad -> NULL), dates and
     timestamps are cast to timestamp_ntz. Absent columns are left absent."""

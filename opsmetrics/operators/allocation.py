@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from opsmetrics import rules
 from opsmetrics.functions import round_half_even
-from opsmetrics.operators.cycle import DURATION, success_flag
-from opsmetrics.operators.filters import closed_durations
-from opsmetrics.operators.workload import available_capacity
+from opsmetrics.operators.workload import capacity_grid, owner_type_stats
 
 
 def allocation_guide(
@@ -24,25 +22,18 @@ def allocation_guide(
 ) -> DataFrame:
     """Strategic index per (owner, type) with spare capacity.
 
-    capacity (grid) LEFT JOIN speed and efficacy (one aggregation of the closed
-    rows on the same keys). Missing efficacy is 50. Missing speed is imputed with
+    One aggregation of the operations at (owner, type) grain gives open counts,
+    closed-duration means and success shares; the owner x type grid is joined to
+    it once. Missing efficacy is 50. Missing speed is imputed with
     the type's mean over the guide rows, then the overall mean of that imputed
     column, then 90 days (no closed rows at all). Imputation runs over all grid
     rows before the capacity > 0 filter. The per-type mean is a small grouped
     frame joined on the type; the overall mean is a scalar subquery.
     """
-    keys = [owner_col, type_col]
-    capacity = available_capacity(df, ideal, owner_col, type_col)
-    closed = closed_durations(df)
-    perf = (
-        closed.dropna(subset=keys)
-        .groupBy(*keys)
-        .agg(
-            F.avg(DURATION).alias("_vel"),
-            round_half_even(F.avg(success_flag(standard, type_col).cast("double")) * F.lit(100.0), 1).alias("_ef"),
-        )
+    stats = owner_type_stats(df, standard, owner_col, type_col)
+    guide = capacity_grid(stats, ideal, owner_col, type_col).withColumn(
+        "_ef", round_half_even(F.col("_ok") * F.lit(100.0), 1)
     )
-    guide = capacity.join(perf, on=keys, how="left")
     type_mean = guide.groupBy(type_col).agg(F.avg("_vel").alias("_vel_tipo"))
     guide = guide.join(type_mean, on=type_col, how="left").withColumn(
         "_vel1", F.coalesce(F.col("_vel"), F.col("_vel_tipo"))

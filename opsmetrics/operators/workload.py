@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsmetrics import rules
-from opsmetrics.functions import is_open, rule_lookup
+from opsmetrics.functions import floor_days, is_open, rule_lookup
+from opsmetrics.sources.readers import coerce_dates
 
 # Upper bound on distinct operation types placed on every owner row of the
 # capacity grid. Types are a short code list (seven have rules); the guard makes
@@ -16,12 +17,7 @@ from opsmetrics.functions import is_open, rule_lookup
 MAX_TYPES = 10_000
 
 
-def distinct_types_value(df: DataFrame, type_col: str = "tipo", max_types: int = MAX_TYPES):
-    """Sorted distinct non-null types of the whole frame, as a scalar-subquery array.
-
-    Raises at run time when more than ``max_types`` types exist.
-    """
-    types = df.select(type_col).where(F.col(type_col).isNotNull()).distinct()
+def _checked_types(types: DataFrame, type_col: str, max_types: int):
     arr = F.sort_array(F.collect_list(type_col))
     checked = F.when(F.size(arr) <= max_types, arr).otherwise(
         F.raise_error(F.lit(f"more than {max_types} operation types in the capacity grid"))
@@ -29,38 +25,104 @@ def distinct_types_value(df: DataFrame, type_col: str = "tipo", max_types: int =
     return types.select(checked).scalar()
 
 
-def available_capacity(
+def distinct_types_value(df: DataFrame, type_col: str = "tipo", max_types: int = MAX_TYPES):
+    """Sorted distinct non-null types of the whole frame, as a scalar-subquery array.
+
+    Raises at run time when more than ``max_types`` types exist.
+    """
+    return _checked_types(df.select(type_col).where(F.col(type_col).isNotNull()).distinct(), type_col, max_types)
+
+
+def owner_type_stats(
     df: DataFrame,
-    ideal: Mapping[str, float] | None = None,
+    standard: Mapping[str, int] | None = None,
     owner_col: str = "operativo",
     type_col: str = "tipo",
     state_col: str = "estado",
     key: str = "file",
+    start_col: str = "fecha_file",
+    end_col: str = "fecha_cierre",
 ) -> DataFrame:
-    """Extra operations each owner can take per type: max(ideal - open, 0).
+    """One pass over the operations at (owner, type) grain.
+
+    NULL owners or types stay as their own groups (the grid takes owners and
+    types from every row). Per group: open operations (non-null keys), closed
+    operations with a non-negative duration, their mean duration and their share
+    within the type's standard. Partial aggregation runs before the shuffle, so a
+    hot (owner, type) pair is reduced map-side; everything downstream works on
+    this small frame and Spark reuses its exchange.
+    """
+    has_dates = start_col in df.columns and end_col in df.columns
+    if has_dates:
+        df = coerce_dates(df, [start_col, end_col])
+        dur = floor_days(start_col, end_col)
+        closed = F.col(start_col).isNotNull() & F.col(end_col).isNotNull() & (dur >= 0)
+    else:
+        dur, closed = F.lit(None).cast("bigint"), F.lit(False)
+    std = rule_lookup(type_col, standard or rules.STANDARD_DAYS)
+    ok = F.coalesce(dur <= std, F.lit(False)).cast("double")
+    open_ = is_open(state_col) if state_col in df.columns else F.lit(False)
+    return df.groupBy(owner_col, type_col).agg(
+        F.count(F.when(open_, F.col(key))).alias("_open"),
+        F.avg(F.when(closed, dur)).alias("_vel"),
+        F.avg(F.when(closed, ok)).alias("_ok"),
+    )
+
+
+STAT_FIELDS = ["_open", "_vel", "_ok"]
 
-    The grid is every owner of the frame times every type of the frame. Owners
-    come from a distributed ``distinct``; the (bounded) type list is a scalar
-    subquery exploded on each owner row, so no cross join and no driver loop.
-    Open counts are joined on (owner, type). Empty when there is no state column.
+
+def capacity_grid(
+    stats: DataFrame,
+    ideal: Mapping[str, float] | None = None,
+    owner_col: str = "operativo",
+    type_col: str = "tipo",
+    max_types: int = MAX_TYPES,
+) -> DataFrame:
+    """Every owner times every type (from ``owner_type_stats``), with the stats of
+    the pair (NULL when the pair never occurs) and the spare capacity.
+
+    The stats are regrouped per owner into a map type -> stats (at most one
+    entry per type, so each group is bounded by the type list). The sorted type
+    list is a scalar subquery over those maps and is exploded on every owner
+    row; each grid cell then looks its stats up in the owner's map. No cross
+    join, no join back, and the operations are scanned once: every frame here
+    derives from the one aggregation, whose exchange Spark reuses.
     """
-    if state_col not in df.columns:
-        return df.sparkSession.createDataFrame([], f"{owner_col} string, {type_col} string, cargas_posibles_adicionales bigint")
-    open_counts = (
-        df.where(is_open(state_col))
-        .dropna(subset=[owner_col, type_col])
-        .groupBy(owner_col, type_col)
-        .agg(F.count(key).alias("_open"))
+    entry = F.struct(F.col(type_col).alias("k"), F.struct(*STAT_FIELDS).alias("v"))
+    per_owner = stats.groupBy(owner_col).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col(type_col).isNotNull(), entry))).alias("_m")
     )
-    owners = df.select(owner_col).where(F.col(owner_col).isNotNull()).distinct()
-    grid = owners.select(owner_col, F.explode(distinct_types_value(df, type_col)).alias(type_col))
+    types = per_owner.select(F.explode(F.map_keys("_m")).alias(type_col)).distinct()
+    grid = per_owner.where(F.col(owner_col).isNotNull()).select(
+        owner_col, F.explode(_checked_types(types, type_col, max_types)).alias(type_col), "_m"
+    )
+    cell = F.element_at(F.col("_m"), F.col(type_col))
     ideal_rate = rule_lookup(type_col, ideal or rules.IDEAL_PER_MONTH, rules.DEFAULT_IDEAL)
     spare = F.greatest(ideal_rate - F.coalesce(F.col("_open"), F.lit(0)), F.lit(0)).cast("bigint")
-    return grid.join(open_counts, on=[owner_col, type_col], how="left").select(
-        owner_col, type_col, spare.alias("cargas_posibles_adicionales")
+    return (
+        grid.select(owner_col, type_col, *[cell[f].alias(f) for f in STAT_FIELDS])
+        .withColumn("cargas_posibles_adicionales", spare)
     )
 
 
+def available_capacity(
+    df: DataFrame,
+    ideal: Mapping[str, float] | None = None,
+    owner_col: str = "operativo",
+    type_col: str = "tipo",
+    state_col: str = "estado",
+    key: str = "file",
+) -> DataFrame:
+    """Extra operations each owner can take per type: max(ideal - open, 0), over
+    the grid of every owner and every type of the frame. Empty when there is no
+    state column."""
+    if state_col not in df.columns:
+        return df.sparkSession.createDataFrame([], f"{owner_col} string, {type_col} string, cargas_posibles_adicionales bigint")
+    stats = owner_type_stats(df, owner_col=owner_col, type_col=type_col, state_col=state_col, key=key)
+    return capacity_grid(stats, ideal, owner_col, type_col).select(owner_col, type_col, "cargas_posibles_adicionales")
+
+
 def open_load_by_owner(
     df: DataFrame,
     effort: Mapping[str, int] | None = None,

@@ -80,7 +80,8 @@ def ops_cte(narrow: bool = False) -> str:
          CASE WHEN o.o_orderstatus = 'F' THEN o.o_orderdate + to_hours({hours}) END AS fecha_cierre,
          CASE WHEN o.o_orderstatus = 'F' THEN (CASE WHEN o.o_orderkey % 2 = 0 THEN 'CERRADO' ELSE 'Cerrado' END)
               WHEN o.o_orderstatus = 'O' THEN 'ABIERTO' END AS estado
-  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  FROM orders o LEFT JOIN (SELECT c_custkey, min(c_name) AS c_name FROM customer GROUP BY c_custkey) c
+    ON o.o_custkey = c.c_custkey
   WHERE o.o_orderdate IS NOT NULL
 )"""
 

@@ -12,31 +12,78 @@ from opsmetrics.functions import ts_literal
 from opsmetrics.functions.expr import MICROS_PER_MINUTE
 
 
+_UNIT_MICROS = {
+    "microsecond": 1,
+    "millisecond": 1_000,
+    "second": 1_000_000,
+    "minute": 60_000_000,
+    "hour": 3_600_000_000,
+    "day": 86_400_000_000,
+    "week": 604_800_000_000,
+}
+
+
+def duration_micros(gap: str | dt.timedelta) -> int:
+    """'6 hours', '1 hour 30 minutes' or a timedelta, in microseconds."""
+    if isinstance(gap, dt.timedelta):
+        return int(gap / dt.timedelta(microseconds=1))
+    parts = gap.lower().replace("interval", "").split()
+    if len(parts) % 2:
+        raise ValueError(f"cannot read duration {gap!r}")
+    total = 0
+    for amount, unit in zip(parts[::2], parts[1::2]):
+        unit = unit.rstrip("s") if unit.rstrip("s") in _UNIT_MICROS else unit
+        if unit not in _UNIT_MICROS:
+            raise ValueError(f"unknown unit in duration {gap!r}")
+        total += int(float(amount) * _UNIT_MICROS[unit])
+    if total <= 0:
+        raise ValueError("gap must be positive")
+    return total
+
+
+def _epoch_micros(ts):
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), ts)
+
+
 def sessionize(
     events: DataFrame,
-    gap: str = "6 hours",
+    gap: str | dt.timedelta = "6 hours",
     user_col: str = "username",
     ts_col: str = "ts",
     page_col: str = "event_type",
+    bucket: str | dt.timedelta = "1 day",
 ) -> DataFrame:
     """Gap sessions per user: a new session starts when the next event comes more
-    than ``gap`` after the previous one.
-
-    Planned as a session-window aggregation: rows are sorted per user and merged
-    in a streaming pass (with local pre-merge before the shuffle when
-    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` is on).
-    The end is the last event (the window end would be last + gap); duration is
-    in whole minutes, truncated; pages are the sorted distinct page names.
+    than ``gap`` after the previous one (exactly ``gap`` stays in the session).
+
+    Two phases, so that a user holding a large share of the events is not one task:
+    1. session windows inside (user, time bucket): the shuffle key includes the
+       bucket, so a hot user is spread over its buckets;
+    2. the partial sessions [s, e] of each user are merged with a session window
+       of dynamic gap (e - s) + gap, i.e. window [s, e + gap): neighbours closer
+       than the gap (which can only happen across a bucket edge) are joined.
+    Both phases are sort-based streaming merges (no group is held in memory).
+    The end is the last event; duration is whole minutes, truncated; pages are
+    the sorted distinct page names.
     """
+    gap_us = duration_micros(gap)
+    bucket_us = duration_micros(bucket)
     ts = F.col(ts_col)
-    sessions = (
-        events.where(F.col(user_col).isNotNull() & ts.isNotNull())
-        .groupBy(F.col(user_col).alias("username"), F.session_window(ts, gap).alias("_w"))
-        .agg(
-            F.min(ts).alias("session_start"),
-            F.max(ts).alias("session_end"),
-            F.array_sort(F.collect_set(page_col)).alias("pages_visited"),
-        )
+    ev = events.where(F.col(user_col).isNotNull() & ts.isNotNull()).select(
+        F.col(user_col).alias("username"),
+        ts.alias("_ts"),
+        F.col(page_col).alias("_page"),
+        F.floor(_epoch_micros(ts) / F.lit(bucket_us)).alias("_bucket"),
+    )
+    partial = ev.groupBy("username", "_bucket", F.session_window("_ts", f"{gap_us} microseconds").alias("_w")).agg(
+        F.min("_ts").alias("_s"), F.max("_ts").alias("_e"), F.collect_set("_page").alias("_p")
+    )
+    reach = (F.timestamp_diff("MICROSECOND", F.col("_s"), F.col("_e")) + F.lit(gap_us)) / F.lit(1_000_000)
+    dynamic_gap = F.make_interval(secs=reach.cast("decimal(18,6)"))
+    sessions = partial.groupBy("username", F.session_window("_s", dynamic_gap).alias("_w")).agg(
+        F.min("_s").alias("session_start"),
+        F.max("_e").alias("session_end"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_p")))).alias("pages_visited"),
     )
     minutes = F.floor(F.timestamp_diff("MICROSECOND", F.col("session_start"), F.col("session_end")) / F.lit(MICROS_PER_MINUTE))
     return sessions.select(

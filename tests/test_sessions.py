@@ -72,3 +72,36 @@ def test_streaming_sessions_match_batch_and_drop_late_events(spark, tmpdir_path)
     again = spark.read.parquet(out)
     assert rows(again, *cols) == rows(closed, *cols)
     assert not any("late" in r.pages_visited for r in again.collect())
+
+
+def test_bucketed_phases_equal_single_pass(spark):
+    import random
+
+    rng = random.Random(7)
+    data = []
+    for user in ("hot", "u1", "u2"):
+        t = T0
+        for _ in range(400 if user == "hot" else 40):
+            t += dt.timedelta(minutes=rng.choice([1, 5, 30, 90, 359, 360, 361, 600]))
+            data.append((user, t, rng.choice(["a", "b", "c"])))
+    ev = spark.createDataFrame(data, EV_SCHEMA)
+    cols = ("username", "session_start", "session_end", "duration_minutes", "pages_visited")
+    fine = rows(S.sessionize(ev, bucket="1 hour"), *cols)
+    coarse = rows(S.sessionize(ev, bucket="3650 days"), *cols)
+    assert fine == coarse
+    # brute force: split where the gap exceeds 6 hours
+    expected = 0
+    for user in ("hot", "u1", "u2"):
+        times = sorted(t for u, t, _ in data if u == user)
+        expected += 1 + sum(1 for a, b in zip(times, times[1:]) if b - a > dt.timedelta(hours=6))
+    assert len(fine) == expected
+
+
+def test_duration_micros():
+    import pytest
+
+    assert S.duration_micros("6 hours") == 6 * 3_600_000_000
+    assert S.duration_micros("1 hour 30 minutes") == 5_400_000_000
+    assert S.duration_micros(dt.timedelta(minutes=2)) == 120_000_000
+    with pytest.raises(ValueError):
+        S.duration_micros("6 fortnights")

@@ -147,17 +147,37 @@ def project_contract(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in schema.CONTRACT_COLUMNS if c in df.columns])
 
 
+def upload_counts(valid: DataFrame, existing: DataFrame, key: str = "file") -> DataFrame:
+    """The load-log figures of an upload in one pass, one row:
+    ``nuevos`` (new keys), ``existentes`` (keys already stored) and
+    ``duplicados`` (rows of keys that occur more than once, every copy).
+
+    Rows are counted per key with map-side partial aggregation; the per-key
+    frame is joined once to the distinct stored keys.
+    """
+    per_key = valid.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    stored = existing.select(key).distinct().withColumn("_stored", F.lit(True))
+    flagged = per_key.join(stored, on=key, how="left")
+    return flagged.agg(
+        F.count_if(F.col("_stored").isNull()).alias("nuevos"),
+        F.count_if(F.col("_stored")).alias("existentes"),
+        F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("bigint").alias("duplicados"),
+    )
+
+
 class UploadAnalysis(NamedTuple):
     new: DataFrame
     existing: DataFrame
     duplicates: DataFrame
     quality: DataFrame
+    counts: DataFrame
 
 
 def analyze_upload(
     raw: DataFrame, stored_ops: DataFrame, key: str = "file", checkpoint: bool = False
 ) -> UploadAnalysis:
-    """The whole upload analysis as four lazy frames.
+    """The whole upload analysis as lazy frames (new, existing, duplicates,
+    quality summary, load-log counts).
 
     The cleaned frame feeds three outputs. With ``checkpoint=True`` it is written
     once to the reliable checkpoint folder (``spark.checkpoint.dir``), which cuts
@@ -173,7 +193,8 @@ def analyze_upload(
     new = split_new(deduped, keys, key)
     existing = split_existing(deduped, keys, key)
     quality = quality_summary(new)
-    return UploadAnalysis(project_contract(coerce_dates(new)), existing, duplicates, quality)
+    counts = upload_counts(cleaned, keys, key)
+    return UploadAnalysis(project_contract(coerce_dates(new)), existing, duplicates, quality, counts)
 
 
 def _existing(stored_ops: DataFrame, key: str) -> DataFrame:

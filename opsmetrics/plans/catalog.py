@@ -175,7 +175,7 @@ def _spark_queries() -> dict[str, Builder]:
 
     def _log_entry(s, d):
         a = _upload(s, d)
-        return load_log_row(a.new, a.existing, a.duplicates, a.quality).select("registros_limpios", "registros_duplicados")
+        return load_log_row(a.counts, a.quality).select("registros_limpios", "registros_duplicados")
 
     q["load_log_entry"] = _log_entry
     q["load_log_kpis"] = lambda s, d: loadlog.load_log_kpis(fx.load_log(s, d))

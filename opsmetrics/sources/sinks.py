@@ -43,21 +43,13 @@ def append_operations(
     return int(observation.get.get("rows", 0))
 
 
-def load_log_row(
-    new_df: DataFrame,
-    existing_df: DataFrame,
-    duplicates_df: DataFrame,
-    quality_df: DataFrame,
-    loaded_at: dt.datetime | None = None,
-) -> DataFrame:
-    """One load-log row, built lazily from the upload analysis.
+def load_log_row(counts: DataFrame, quality_df: DataFrame, loaded_at: dt.datetime | None = None) -> DataFrame:
+    """One load-log row from ``ingest.upload_counts`` and ``ingest.quality_summary``.
 
     ``registros_duplicados`` counts every copy of a duplicated key (including
-    the kept one) plus the rows that already existed, as the log always did.
+    the kept one) plus the keys that already existed, as the log always did.
+    The quality records keep the field order of the summary.
     """
-    n_new = new_df.select(F.count(F.lit(1))).scalar()
-    n_dup = duplicates_df.select(F.count(F.lit(1))).scalar()
-    n_existing = existing_df.select(F.count(F.lit(1))).scalar()
     order = F.array(*[F.lit(f.title()) for f in rules.QUALITY_FIELDS])
     text = F.format_string("%.1f%%", round_half_even("porcentaje", 1))
     record = F.struct(
@@ -68,21 +60,22 @@ def load_log_row(
     )
     ordered = F.array_sort(F.collect_list(record))
     calidad = F.transform(
-        ordered, lambda r: F.struct(r["campo"].alias("campo"), r["registros_faltantes"].alias("registros_faltantes"), r["porcentaje"].alias("porcentaje"))
-    )
+        ordered,
+        lambda r: F.struct(
+            r["campo"].alias("campo"), r["registros_faltantes"].alias("registros_faltantes"), r["porcentaje"].alias("porcentaje")
+        ),
+    ).cast(T.ArrayType(schema.QUALITY_RECORD))
     stamp = ts_literal(loaded_at) if loaded_at is not None else F.localtimestamp()
-    return quality_df.agg(calidad.cast(T.ArrayType(schema.QUALITY_RECORD)).alias("calidad_json")).select(
-        n_new.cast("bigint").alias("registros_limpios"),
-        (n_dup + n_existing).cast("bigint").alias("registros_duplicados"),
-        "calidad_json",
+    return counts.select(
+        F.col("nuevos").cast("bigint").alias("registros_limpios"),
+        (F.col("duplicados") + F.col("existentes")).cast("bigint").alias("registros_duplicados"),
+        quality_df.select(calidad).scalar().alias("calidad_json"),
         stamp.cast("timestamp_ntz").alias("fecha_carga"),
     )
 
 
 def append_load_log(
-    new_df: DataFrame,
-    existing_df: DataFrame,
-    duplicates_df: DataFrame,
+    counts: DataFrame,
     quality_df: DataFrame,
     path: str | None,
     fmt: str = "parquet",
@@ -90,7 +83,7 @@ def append_load_log(
     loaded_at: dt.datetime | None = None,
 ) -> None:
     """Append the one-row load log entry for an upload."""
-    row = load_log_row(new_df, existing_df, duplicates_df, quality_df, loaded_at)
+    row = load_log_row(counts, quality_df, loaded_at)
     writer = _writer(row, fmt, "append", options)
     writer.save(path) if path is not None else writer.save()
 

@@ -81,16 +81,20 @@ def test_quality_summary_values_and_empty(spark):
     assert ingest.quality_summary(new.where(F.lit(False))).count() == 0
 
 
-def test_load_log_row_counts_every_duplicate_copy(spark):
-    new = spark.createDataFrame([("F1", P, "C", "E")], "file string, operativo string, comercial string, estado string")
-    dups = spark.createDataFrame([("X",), ("X",), ("Y",), ("Y",)], "file string")
-    existing = spark.createDataFrame([("Z",)], "file string")
-    row = load_log_row(new, existing, dups, ingest.quality_summary(new), dt.datetime(2024, 5, 1)).collect()[0]
-    assert (row.registros_limpios, row.registros_duplicados) == (1, 5)
+def test_upload_counts_and_load_log_row(spark):
+    valid = _upload(spark)  # keys A (3 copies), B, C (2 copies)
+    stored = existing_keys(spark.createDataFrame([("a",), ("zz",)], "file string"))
+    counts = ingest.upload_counts(valid, stored).collect()[0]
+    assert (counts.nuevos, counts.existentes, counts.duplicados) == (2, 1, 5)
+    new = ingest.split_new(ingest.upload_dedupe(valid), stored)
+    row = load_log_row(ingest.upload_counts(valid, stored), ingest.quality_summary(new), dt.datetime(2024, 5, 1)).collect()[0]
+    assert (row.registros_limpios, row.registros_duplicados) == (2, 6)
     assert [(q.campo, q.registros_faltantes, q.porcentaje) for q in row.calidad_json] == [
-        ("Operativo", 1, "100.0%"), ("Comercial", 0, "0.0%"), ("Estado", 0, "0.0%")
+        ("Operativo", 0, "0.0%"), ("Comercial", 2, "100.0%"), ("Estado", 2, "100.0%")
     ]
     assert row.fecha_carga == dt.datetime(2024, 5, 1)
+    empty_new = new.where(F.lit(False))
+    assert load_log_row(ingest.upload_counts(valid, stored), ingest.quality_summary(empty_new)).collect()[0].calidad_json == []
 
 
 def test_upload_roundtrip_through_csv_and_sinks(spark, tmpdir_path):
@@ -114,7 +118,7 @@ def test_upload_roundtrip_through_csv_and_sinks(spark, tmpdir_path):
     assert stored_now.columns == ingest.schema.CONTRACT_COLUMNS
     assert stored_now.count() == 1
     log_path = f"{tmpdir_path}/log"
-    append_load_log(result.new, result.existing, result.duplicates, result.quality, log_path)
+    append_load_log(result.counts, result.quality, log_path)
     log = spark.read.parquet(log_path).collect()
     assert (log[0].registros_limpios, log[0].registros_duplicados) == (1, 3)
     # the stored keys now include F1, so the same upload has no new rows

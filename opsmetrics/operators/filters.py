@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsmetrics import rules
 from opsmetrics.functions import floor_days, is_open, month_key, ts_literal
 from opsmetrics.sources.readers import coerce_dates
 
@@ -41,9 +42,20 @@ def year_predicate(ts: Column, years: Iterable[int]) -> Column:
     return _in_ranges(ts, _ranges(starts, lambda d: dt.date(d.year + 1, 1, 1)))
 
 
+def month_start(month: str) -> dt.date:
+    """First day of a month given as ``yyyy-MM`` or as a display label ('Marzo 1996')."""
+    text = month.strip()
+    if len(text) >= 7 and text[:4].isdigit() and text[4] == "-":
+        return dt.date(int(text[:4]), int(text[5:7]), 1)
+    name, _, year = text.lower().rpartition(" ")
+    if name in rules.MONTH_NAMES_ES and year.isdigit():
+        return dt.date(int(year), rules.MONTH_NAMES_ES.index(name) + 1, 1)
+    raise ValueError(f"cannot read month {month!r}")
+
+
 def month_predicate(ts: Column, months: Iterable[str]) -> Column:
-    """Month keys ``yyyy-MM`` as range predicates."""
-    starts = sorted({dt.date(int(m[:4]), int(m[5:7]), 1) for m in months})
+    """Months (``yyyy-MM`` keys or display labels) as range predicates."""
+    starts = sorted({month_start(m) for m in months})
     return _in_ranges(ts, _ranges(starts, _next_month))
 
 

@@ -24,6 +24,7 @@ def test_apply_filters_none_means_all_and_empty_means_nothing(spark):
     assert rows(filters.apply_filters(df, years=[1996, 1997]), "file") == [("f1",), ("f2",), ("f3",)]
     assert rows(filters.apply_filters(df, years=[1996, 1997], months=["1996-03", "1997-03"]), "file") == [("f1",), ("f3",)]
     assert rows(filters.apply_filters(df, operativos=["o1"]), "file") == [("f1",), ("f4",)]  # NULL owner never matches
+    assert rows(filters.apply_filters(df, months=["Marzo 1996", "marzo 1997"]), "file") == [("f1",), ("f3",)]
     for empty in ({"years": []}, {"months": []}, {"tipos": []}, {"operativos": []}):
         assert filters.apply_filters(df, **empty).count() == 0
 
@@ -165,3 +166,10 @@ def test_allocation_guide_without_closed_rows_uses_90_days(spark):
     data = [("a1", "A", "o1", None, "ABIERTO", D(2024, 1, 1), None), ("m1", "M", "o2", None, None, D(2024, 1, 1), None)]
     got = allocation.allocation_guide(ops(spark, data)).collect()
     assert got and all(r.velocidad_promedio_dias == 90.0 and r.eficacia_historica == 50.0 for r in got)
+
+
+def test_display_labels(spark):
+    from opsmetrics.functions.display import ALLOCATION_LABELS, with_labels
+
+    df = spark.createDataFrame([("A", "o1", 1)], "tipo string, operativo string, cargas_posibles_adicionales bigint")
+    assert with_labels(df, ALLOCATION_LABELS).columns == ["Tipo", "Operativo", "Capacidad Disponible"]

@@ -25,8 +25,11 @@ def spread(df: DataFrame, keys: list[str] | None = None, min_partitions: int | N
     returned unchanged, so no shuffle is added at scale. Hash keys should be
     unique or near-unique so that no partition gets a hot key.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no RDD view (e.g. a remote session): leave the scan as it is
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
 

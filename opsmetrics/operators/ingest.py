@@ -189,7 +189,7 @@ def analyze_upload(
     order = [ORDINAL] if ORDINAL in cleaned.columns else [key]
     duplicates = upload_duplicates(cleaned, key)
     deduped = upload_dedupe(cleaned, key, order)
-    keys = _existing(stored_ops, key)
+    keys = stored_keys_in(deduped, stored_ops, key)
     new = split_new(deduped, keys, key)
     existing = split_existing(deduped, keys, key)
     quality = quality_summary(new)
@@ -197,7 +197,15 @@ def analyze_upload(
     return UploadAnalysis(project_contract(coerce_dates(new)), existing, duplicates, quality, counts)
 
 
-def _existing(stored_ops: DataFrame, key: str) -> DataFrame:
-    from opsmetrics.sources.readers import existing_keys
+def stored_keys_in(upload: DataFrame, stored_ops: DataFrame, key: str = "file") -> DataFrame:
+    """Stored keys (normalised as ``sources.existing_keys``) that occur in the upload.
 
-    return existing_keys(stored_ops, key)
+    The stored table can be far larger than an upload: it is first reduced with
+    a left-semi join on the upload's keys (AQE broadcasts that side when its
+    runtime size is under the threshold, so the stored keys are filtered
+    map-side instead of all being shuffled for a ``distinct``).
+    """
+    from opsmetrics.sources.readers import stored_key_values
+
+    upload_keys = upload.select(key)
+    return stored_key_values(stored_ops, key).join(upload_keys, on=key, how="left_semi").distinct()

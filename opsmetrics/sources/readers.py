@@ -90,18 +90,22 @@ def read_upload(
     return df.select(*text, ordinal.alias("_ordinal"))
 
 
-def existing_keys(ops: DataFrame, key: str = "file") -> DataFrame:
-    """Business keys already stored, normalised for matching: non-null, non-empty,
-    stripped and upper-cased, distinct. Only the key column is read."""
+def stored_key_values(ops: DataFrame, key: str = "file") -> DataFrame:
+    """Stored business keys normalised for matching (non-null, non-empty,
+    stripped, upper-cased), one row per stored row. Only the key column is read."""
     raw = F.col(key).cast("string")
     return (
         ops.select(raw.alias(key))
         .where(F.col(key).isNotNull() & (F.col(key) != ""))
         .select(F.upper(strip_all(key)).alias(key))
-        .distinct()
     )
 
 
+def existing_keys(ops: DataFrame, key: str = "file") -> DataFrame:
+    """Distinct stored business keys, normalised for matching."""
+    return stored_key_values(ops, key).distinct()
+
+
 def read_load_log(spark: SparkSession, path: str, fmt: str = "parquet", options: dict | None = None) -> DataFrame:
     """The load log, newest load first."""
     return _load(spark, path, fmt, options).orderBy(F.desc("fecha_carga"))

@@ -1,10 +1,13 @@
 """Upload ingestion: header and text cleaning, duplicate detection, first-copy
 dedupe, new-versus-existing split, quality summary.
 
-Shuffles: the duplicate count and the dedupe both group on the cleaned key
-(partial aggregation on the map side, so a key holding a large share of the
-rows is reduced before the exchange); the split is a semi/anti join on the key
-that AQE turns into a broadcast when the existing-key side is small at runtime.
+Shuffles, all on the cleaned key: the duplicate count is a grouped count
+(partial aggregation on the map side) followed by a left-semi join that AQE
+can split for a hot key; the first-copy dedupe is a ``row_number() = 1``
+window planned as a partial window group limit, so every map partition keeps
+one row per key before the exchange; the new-versus-existing split is a
+semi/anti join against the stored keys that occur in the upload. Placeholder
+keys are filtered before any of these, so they never form a hot key.
 """
 
 from __future__ import annotations
@@ -13,12 +16,13 @@ import re
 import unicodedata
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics import rules, schema
 from opsmetrics.functions.expr import normalize_text, placeholder_if_missing
-from opsmetrics.sources.readers import coerce_dates
+from opsmetrics.session import checkpoint_dir
+from opsmetrics.sources.readers import coerce_dates, stored_key_values
 
 ORDINAL = "_ordinal"
 # Alternative headers seen in uploads, in normalised form, and their contract name.
@@ -101,8 +105,6 @@ def upload_dedupe(df: DataFrame, key: str = "file", order: list[str] | None = No
     ``row_number() = 1`` is planned as a window group limit: each map partition
     keeps its own first row per key before the shuffle.
     """
-    from pyspark.sql import Window
-
     order_cols = order or [ORDINAL]
     w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order_cols])
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
@@ -185,6 +187,7 @@ def analyze_upload(
     """
     cleaned = valid_rows(clean_text(normalize_headers(raw)), key)
     if checkpoint:
+        checkpoint_dir(cleaned.sparkSession)
         cleaned = cleaned.checkpoint(eager=True)
     order = [ORDINAL] if ORDINAL in cleaned.columns else [key]
     duplicates = upload_duplicates(cleaned, key)
@@ -205,7 +208,5 @@ def stored_keys_in(upload: DataFrame, stored_ops: DataFrame, key: str = "file")
     runtime size is under the threshold, so the stored keys are filtered
     map-side instead of all being shuffled for a ``distinct``).
     """
-    from opsmetrics.sources.readers import stored_key_values
-
     upload_keys = upload.select(key)
     return stored_key_values(stored_ops, key).join(upload_keys, on=key, how="left_semi").distinct()

@@ -11,6 +11,8 @@ from opsmetrics import rules
 from opsmetrics.functions import round_half_even
 from opsmetrics.operators.workload import capacity_grid, owner_type_stats
 
+IMPUTED_DIGITS = 9
+
 
 def allocation_guide(
     df: DataFrame,
@@ -34,11 +36,13 @@ def allocation_guide(
     guide = capacity_grid(stats, ideal, owner_col, type_col).withColumn(
         "_ef", round_half_even(F.col("_ok") * F.lit(100.0), 1)
     )
-    type_mean = guide.groupBy(type_col).agg(F.avg("_vel").alias("_vel_tipo"))
+    # means of doubles depend on summation order (partitioning); the imputed
+    # means are fixed to 1e-9 days so the rounded index cannot flip between runs
+    type_mean = guide.groupBy(type_col).agg(round_half_even(F.avg("_vel"), IMPUTED_DIGITS).alias("_vel_tipo"))
     guide = guide.join(type_mean, on=type_col, how="left").withColumn(
         "_vel1", F.coalesce(F.col("_vel"), F.col("_vel_tipo"))
     )
-    overall = guide.select(F.avg("_vel1")).scalar()
+    overall = guide.select(round_half_even(F.avg("_vel1"), IMPUTED_DIGITS)).scalar()
     speed = F.coalesce(F.col("_vel1"), overall, F.lit(rules.DEFAULT_SPEED_DAYS))
     efficacy = F.coalesce(F.col("_ef"), F.lit(rules.DEFAULT_EFFICACY))
     out = (

@@ -6,6 +6,7 @@ operator does not round are rounded half-even to 6 decimals in both.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from opsmetrics.functions import round_half_even
 from opsmetrics.operators import allocation, cycle, filters, forecast, ingest, loadlog, sessions, volume, workload
 from opsmetrics.plans import fixtures as fx
 from opsmetrics.plans import oracle as o
+from opsmetrics.session import checkpoint_dir
+from opsmetrics.streaming import sessionize_stream, start_sessions_sink
 from opsmetrics.sources.readers import coerce_dates, existing_keys
 from opsmetrics.sources.sinks import load_log_row
 
@@ -106,8 +109,8 @@ GUIDE_SQL_CTES = CAPACITY_SQL_CTES + [
     f"round_even(avg(CASE WHEN coalesce(duracion_real_dias <= {STD_SQL}, false) THEN 1.0 ELSE 0.0 END)::DOUBLE * 100, 1) AS ef "
     "FROM closed WHERE operativo IS NOT NULL AND tipo IS NOT NULL GROUP BY 1, 2)",
     "g AS (SELECT cap.*, perf.vel, perf.ef FROM cap LEFT JOIN perf USING (operativo, tipo))",
-    "g1 AS (SELECT *, coalesce(vel, avg(vel) OVER (PARTITION BY tipo)) AS vel1 FROM g)",
-    "g2 AS (SELECT *, coalesce(vel1, (SELECT avg(vel1) FROM g1), 90.0)::DOUBLE AS velocidad, coalesce(ef, 50.0)::DOUBLE AS eficacia FROM g1)",
+    "g1 AS (SELECT *, coalesce(vel, round_even(avg(vel) OVER (PARTITION BY tipo), 9)) AS vel1 FROM g)",
+    "g2 AS (SELECT *, coalesce(vel1, round_even((SELECT avg(vel1) FROM g1), 9), 90.0)::DOUBLE AS velocidad, coalesce(ef, 50.0)::DOUBLE AS eficacia FROM g1)",
     "guide AS (SELECT tipo, operativo, cargas_posibles_adicionales, velocidad AS velocidad_promedio_dias, "
     "eficacia AS eficacia_historica, "
     "round_even((cargas_posibles_adicionales / (velocidad + 1)) * 100 * (1 + eficacia / 100), 2) AS indice_estrategico "
@@ -147,6 +150,35 @@ DAILY_CTE = (
     f"UNION ALL SELECT '{rules.ALL_SERIES}' AS serie, CAST(fecha_file AS DATE) AS ds, count(*) AS y FROM ops GROUP BY 2)"
 )
 
+STREAM_GAP, STREAM_WATERMARK = "6 hours", "1 hour"
+SESSION_OUT = ["username", "session_start", "session_end", "duration_minutes"]
+
+
+def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 end to end: the events file as a file stream, watermarked session
+    windows, the idempotent foreachBatch sink, ``availableNow``. Output and
+    stream checkpoint live under the session's checkpoint folder. Returns the
+    sessions the watermark has closed, read back as a batch frame."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/opsmetrics-stream/{uuid.uuid4().hex}"
+    schema_ = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
+    events = (
+        spark.readStream.schema(schema_)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+        .select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"), "ts", "event_type")
+    )
+    stream = sessionize_stream(events, gap=STREAM_GAP, watermark=STREAM_WATERMARK)
+    query = start_sessions_sink(stream, f"{base}/out", f"{base}/dead", f"{base}/checkpoint")
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(f"session stream failed: {query.exception()}")
+    try:
+        out = spark.read.parquet(f"{base}/out")
+    except Exception:  # no micro-batch emitted a session
+        out = spark.createDataFrame([], fx.SESSIONS_SCHEMA)
+    return out.select(*SESSION_OUT, F.array_join("pages_visited", ",").alias("pages"))
+
+
 SINCE = f"TIMESTAMP '{(AS_OF - dt.timedelta(days=SUMMARY_DAYS)).isoformat(sep=' ')}'"
 
 
@@ -245,6 +277,7 @@ def _spark_queries() -> dict[str, Builder]:
     q["sessions_by_user"] = lambda s, d: sessions.sessions_by_user(fx.sessions(s, d), AS_OF, SUMMARY_DAYS)
     q["sessions_by_day"] = lambda s, d: sessions.sessions_by_day(fx.sessions(s, d), AS_OF, SUMMARY_DAYS)
     q["recent_sessions"] = lambda s, d: sessions.recent_sessions(fx.sessions(s, d))
+    q["sessionize_stream"] = _stream_sessions
     return q
 
 
@@ -416,6 +449,13 @@ def _oracle() -> dict[str, str]:
         "strftime(session_end, '%Y-%m-%d %H:%M') AS session_end, duration_minutes FROM sessions "
         "ORDER BY sessions.session_start DESC, username LIMIT 50"
     )
+    # a session is emitted once the final watermark (last event - lateness)
+    # reaches its window end (last event of the session + gap)
+    sql["sessionize_stream"] = w(o.SESSIONS_CTE) + (
+        "SELECT username, session_start, session_end, duration_minutes, array_to_string(pages_visited, ',') AS pages "
+        f"FROM sessions WHERE session_end + INTERVAL {STREAM_GAP.split()[0]} HOUR "
+        f"<= (SELECT max(ts) FROM events) - INTERVAL {STREAM_WATERMARK.split()[0]} HOUR"
+    )
     return sql
 
 

@@ -14,6 +14,11 @@ from opsmetrics.operators.sessions import sessionize
 from opsmetrics.sources.readers import prepare_operations, spread
 from opsmetrics.sources.sinks import to_contract
 
+SESSIONS_SCHEMA = (
+    "username string, session_start timestamp_ntz, session_end timestamp_ntz, "
+    "duration_minutes bigint, pages_visited array<string>"
+)
+
 # Fixture type letters by o_orderkey % 8; Z is a type without rules.
 TYPE_CODES = "AMFBSTCZ"
 

@@ -28,3 +28,24 @@ def test_append_sessions_dead_letter(spark, tmpdir_path):
     assert append_sessions(df, blocked, f"{tmpdir_path}/dead") is False
     dead = spark.read.json(f"{tmpdir_path}/dead").collect()
     assert len(dead) == 1 and dead[0].username == "u1" and dead[0].error
+
+
+def test_read_operations_from_csv_coerces_dates_and_drops_missing_file_dates(spark, tmpdir_path):
+    from opsmetrics.sources import read_load_log, read_operations
+
+    path = f"{tmpdir_path}/ops.csv"
+    with open(path, "w") as fh:
+        fh.write("file,tipo,operativo,estado,fecha_file,fecha_cierre\n")
+        fh.write("F1,A,o1,CERRADO,2024-01-02,2024-01-05 10:00:00\n")
+        fh.write("F2,M,o2,ABIERTO,bad,\n")
+        fh.write("F3,M,o2,ABIERTO,3/4/2024,\n")
+    ops = read_operations(spark, path, fmt="csv", options={"header": "true"})
+    got = sorted((r.file, r.fecha_file, r.fecha_cierre) for r in ops.collect())
+    assert got == [("F1", dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 5, 10)), ("F3", dt.datetime(2024, 3, 4), None)]
+    assert dict(ops.dtypes)["fecha_file"] == "timestamp_ntz"
+    log_path = f"{tmpdir_path}/log"
+    spark.createDataFrame(
+        [(1, 0, dt.datetime(2024, 1, 1)), (2, 1, dt.datetime(2024, 3, 1)), (3, 0, dt.datetime(2024, 2, 1))],
+        "registros_limpios bigint, registros_duplicados bigint, fecha_carga timestamp_ntz",
+    ).write.parquet(log_path)
+    assert [r.registros_limpios for r in read_load_log(spark, log_path).collect()] == [2, 3, 1]

@@ -192,7 +192,7 @@ def analyze_upload(
     order = [ORDINAL] if ORDINAL in cleaned.columns else [key]
     duplicates = upload_duplicates(cleaned, key)
     deduped = upload_dedupe(cleaned, key, order)
-    keys = stored_keys_in(deduped, stored_ops, key)
+    keys = stored_keys_in(cleaned, stored_ops, key)  # same key set as deduped, no window
     new = split_new(deduped, keys, key)
     existing = split_existing(deduped, keys, key)
     quality = quality_summary(new)

@@ -74,29 +74,25 @@ STAT_FIELDS = ["_open", "_vel", "_ok"]
 
 def capacity_grid(
     stats: DataFrame,
+    types,
     ideal: Mapping[str, float] | None = None,
     owner_col: str = "operativo",
     type_col: str = "tipo",
-    max_types: int = MAX_TYPES,
 ) -> DataFrame:
-    """Every owner times every type (from ``owner_type_stats``), with the stats of
-    the pair (NULL when the pair never occurs) and the spare capacity.
-
-    The stats are regrouped per owner into a map type -> stats (at most one
-    entry per type, so each group is bounded by the type list). The sorted type
-    list is a scalar subquery over those maps and is exploded on every owner
-    row; each grid cell then looks its stats up in the owner's map. No cross
-    join, no join back, and the operations are scanned once: every frame here
-    derives from the one aggregation, whose exchange Spark reuses.
+    """Every owner times every type, with the stats of the pair from
+    ``owner_type_stats`` (NULL when the pair never occurs) and the spare capacity.
+
+    ``types`` is the sorted type list (``distinct_types_value`` of the
+    operations: a scan of the type column only). The stats are regrouped per
+    owner into a map type -> stats (at most one entry per type, so each group is
+    bounded by the type list); the list is exploded on every owner row and each
+    cell looks its stats up in the owner's map. No cross join and no join back.
     """
     entry = F.struct(F.col(type_col).alias("k"), F.struct(*STAT_FIELDS).alias("v"))
-    per_owner = stats.groupBy(owner_col).agg(
+    per_owner = stats.where(F.col(owner_col).isNotNull()).groupBy(owner_col).agg(
         F.map_from_entries(F.collect_list(F.when(F.col(type_col).isNotNull(), entry))).alias("_m")
     )
-    types = per_owner.select(F.explode(F.map_keys("_m")).alias(type_col)).distinct()
-    grid = per_owner.where(F.col(owner_col).isNotNull()).select(
-        owner_col, F.explode(_checked_types(types, type_col, max_types)).alias(type_col), "_m"
-    )
+    grid = per_owner.select(owner_col, F.explode(types).alias(type_col), "_m")
     cell = F.element_at(F.col("_m"), F.col(type_col))
     ideal_rate = rule_lookup(type_col, ideal or rules.IDEAL_PER_MONTH, rules.DEFAULT_IDEAL)
     spare = F.greatest(ideal_rate - F.coalesce(F.col("_open"), F.lit(0)), F.lit(0)).cast("bigint")
@@ -120,7 +116,10 @@ def available_capacity(
     if state_col not in df.columns:
         return df.sparkSession.createDataFrame([], f"{owner_col} string, {type_col} string, cargas_posibles_adicionales bigint")
     stats = owner_type_stats(df, owner_col=owner_col, type_col=type_col, state_col=state_col, key=key)
-    return capacity_grid(stats, ideal, owner_col, type_col).select(owner_col, type_col, "cargas_posibles_adicionales")
+    types = distinct_types_value(df, type_col)
+    return capacity_grid(stats, types, ideal, owner_col, type_col).select(
+        owner_col, type_col, "cargas_posibles_adicionales"
+    )
 
 
 def open_load_by_owner(

@@ -47,3 +47,15 @@ def test_forecast_shape_bounds_and_recovery(spark):
     assert np.corrcoef(hist["weekly"], weekly_true)[0, 1] > 0.95
     future = pdf.iloc[420:]
     assert abs(future["trend"].mean() - (20 + 0.02 * 435)) < 1.5
+
+
+def test_trend_follows_a_break(spark):
+    data = []
+    for i in range(500):
+        level = 20 + 0.05 * i if i < 300 else 35 - 0.04 * (i - 300)
+        data.append(("X", START + dt.timedelta(days=i), int(round(level))))
+    daily = spark.createDataFrame(data, "serie string, ds date, y bigint")
+    pdf = M.forecast(daily, horizon=60).toPandas().sort_values("ds")
+    future = pdf.iloc[500:]
+    slope = (future["trend"].iloc[-1] - future["trend"].iloc[0]) / 59
+    assert -0.06 < slope < -0.02  # the post-break decline, not the earlier rise

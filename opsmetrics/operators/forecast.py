@@ -142,13 +142,11 @@ def forecast(
     """History days plus ``horizon`` future days for every eligible series."""
     if not 1 <= horizon <= 3660:
         raise ValueError("horizon must be between 1 and 3660 days")
-    eligible = forecast_eligible(daily, min_rows, min_days).select("serie")
-
     def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        # the eligibility rule of ``forecast_eligible``, applied to the group
+        # itself so the daily series is computed once
+        if int(pdf["y"].sum()) < min_rows or len(pdf) < min_days:
+            return pd.DataFrame(columns=[c.split()[0] for c in FORECAST_SCHEMA.split(", ")])
         return fit_predict(pdf, horizon)
 
-    return (
-        daily.join(eligible, on="serie", how="left_semi")
-        .groupBy("serie")
-        .applyInPandas(fit_one, schema=FORECAST_SCHEMA)
-    )
+    return daily.groupBy("serie").applyInPandas(fit_one, schema=FORECAST_SCHEMA)

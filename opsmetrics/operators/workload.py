@@ -147,5 +147,9 @@ def top_open(load: DataFrame, by: str = "cantidad_operaciones", n: int = rules.T
 def hidden_overload(load: DataFrame, n: int = 5, owner_col: str = "operativo") -> DataFrame:
     """Owners in the top-n by effort who are not in the top-n by count."""
     by_effort = top_open(load, "esfuerzo_total", n, owner_col)
-    by_count = top_open(load, "cantidad_operaciones", n, owner_col).select(owner_col)
-    return by_effort.join(by_count, on=owner_col, how="left_anti").select(owner_col, "esfuerzo_total")
+    by_count = top_open(load, "cantidad_operaciones", n, owner_col)
+    # owners are unique in ``load``, so matching on (owner, count, effort)
+    # equals matching on the owner; keeping both measures makes the two top-n
+    # lists read the same aggregate, whose exchange Spark then reuses
+    keys = [owner_col, "cantidad_operaciones", "esfuerzo_total"]
+    return by_effort.join(by_count.select(*keys), on=keys, how="left_anti").select(owner_col, "esfuerzo_total")

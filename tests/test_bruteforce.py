@@ -121,3 +121,61 @@ def test_upload_against_pandas(spark, seed):
     counts = result.counts.first()
     assert (counts.nuevos, counts.existentes, counts.duplicados) == (len(new), len(old), len(dups))
     assert sorted(r.file for r in existing_keys(stored_df).collect()) == sorted({s.strip().upper() for s in stored if s})
+
+
+def pandas_frames(rows):
+    df = pd.DataFrame(rows, columns=["file", "tipo", "operativo", "estado", "fecha_file", "fecha_cierre"])
+    d = df.dropna(subset=["fecha_file", "fecha_cierre"]).copy()
+    d["duracion_real_dias"] = (d["fecha_cierre"] - d["fecha_file"]).dt.days
+    return df, d[d["duracion_real_dias"] >= 0]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_flow_workload_cycle_against_pandas(spark, seed):
+    from opsmetrics.operators import cycle, filters, volume, workload
+
+    rows = random_ops(seed, n=400)
+    sdf = spark.createDataFrame(rows, OPS_SCHEMA)
+    df, closed = pandas_frames(rows)
+
+    # flow classification over the active months of the whole frame
+    months = max(1, len(df["fecha_file"].dt.to_period("M").unique()))
+    g = df.groupby(["operativo", "tipo"])["file"].count().reset_index(name="total")
+    g["mensual"] = g["total"] / months
+    g["ideal"] = g["tipo"].map(rules.IDEAL_PER_MONTH)
+    g["idx"] = (g["mensual"] / g["ideal"].replace(0, np.nan)) * 100
+    g = g.fillna({"idx": 0, "ideal": 0})
+    g["nivel"] = ["BAJO" if i < 70 else ("MEDIO" if i < 100 else "ALTO") for i in g["idx"]]
+    want = {(r.operativo, r.tipo): (r.total, r.nivel) for r in g.itertuples()}
+    got = {(r.operativo, r.tipo): (r.total_general, r.nivel) for r in volume.flow_classification(sdf).collect()}
+    assert got == want
+
+    # open load and hidden overload
+    open_ = df[df["estado"].str.upper() != "CERRADO"].copy()
+    open_["pts"] = open_["tipo"].map(rules.EFFORT_POINTS).fillna(1)
+    load = open_.groupby("operativo").agg(c=("file", "count"), e=("pts", "sum")).reset_index()
+    got_load = {r.operativo: (r.cantidad_operaciones, r.esfuerzo_total) for r in workload.open_load_by_owner(sdf).collect()}
+    assert got_load == {r.operativo: (r.c, int(r.e)) for r in load.itertuples()}
+    top_e = load.nlargest(5, "e")["operativo"].tolist()
+    top_c = load.nlargest(5, "c")["operativo"].tolist()
+    hidden = workload.hidden_overload(workload.open_load_by_owner(sdf)).collect()
+    # nlargest keeps the first of tied rows in group order (owner name order)
+    assert sorted(r.operativo for r in hidden) == sorted(o for o in top_e if o not in top_c)
+
+    # owner performance
+    perf = closed.groupby("operativo")["duracion_real_dias"].agg(["mean", "count", "min", "max"]).reset_index()
+    perf["mean"] = perf["mean"].round(1)
+    got_perf = {r.operativo: (r.duracion_promedio, r.cerradas, r.mas_rapido, r.mas_lento) for r in cycle.owner_performance(filters.closed_durations(sdf)).collect()}
+    assert got_perf == {r.operativo: (r.mean, r.count, r.min, r.max) for r in perf.itertuples()}
+
+    # slow operations and the leading causes
+    sclosed = filters.closed_durations(sdf)
+    if len(closed) >= 20:
+        thr = closed["duracion_real_dias"].quantile(0.80)
+        slow = closed[closed["duracion_real_dias"] > thr]
+        assert sorted(r.file for r in cycle.slow_operations(sclosed).collect()) == sorted(slow["file"])
+        for dim in ["tipo", "operativo"]:
+            vc = slow[dim].value_counts()
+            ranked = sorted(vc.items(), key=lambda kv: (-kv[1], kv[0]))[:3]
+            got_dim = sorted((r.valor, r.operaciones) for r in cycle.bottleneck_causes(cycle.slow_operations(sclosed)).collect() if r.dimension == dim)
+            assert got_dim == sorted(ranked)

@@ -151,6 +151,7 @@ DAILY_CTE = (
 )
 
 STREAM_GAP, STREAM_WATERMARK = "6 hours", "1 hour"
+STREAM_TIMEOUT_S = 900
 SESSION_OUT = ["username", "session_start", "session_end", "duration_minutes"]
 
 
@@ -169,7 +170,9 @@ def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     stream = sessionize_stream(events, gap=STREAM_GAP, watermark=STREAM_WATERMARK)
     query = start_sessions_sink(stream, f"{base}/out", f"{base}/dead", f"{base}/checkpoint")
-    query.awaitTermination()
+    if not query.awaitTermination(STREAM_TIMEOUT_S):
+        query.stop()
+        raise TimeoutError(f"session stream did not finish within {STREAM_TIMEOUT_S} s")
     if query.exception() is not None:
         raise RuntimeError(f"session stream failed: {query.exception()}")
     try:

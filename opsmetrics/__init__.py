@@ -5,6 +5,6 @@ collected to the driver; plans stay declarative so Catalyst and AQE choose
 the physical strategy.
 """
 
-from opsmetrics.session import build_session, checkpoint_dir
+from opsmetrics.session import build_session, checkpoint_dir, cluster_settings
 
-__all__ = ["build_session", "checkpoint_dir"]
+__all__ = ["build_session", "checkpoint_dir", "cluster_settings"]

@@ -47,6 +47,33 @@ def build_session(
     return spark
 
 
+def cluster_settings(
+    total_cores: int,
+    shuffle_bytes: int | None = None,
+    target_partition_bytes: int = 256 * 1024 * 1024,
+    max_partition_bytes: int = 512 * 1024 * 1024,
+) -> dict[str, str]:
+    """Settings for a large cluster run, to pass as ``extra_conf``.
+
+    The initial shuffle partition count is the larger of 3 tasks per core and
+    the expected shuffle volume over the target partition size. AQE then
+    coalesces small partitions to about ``target_partition_bytes`` and splits
+    skewed ones. Scans read up to ``max_partition_bytes`` per split, so a task
+    holds a few hundred MB at most. For example, 1,000 executors x 8 cores with
+    about 20 TB of shuffle (pruned columns, after partial aggregation) start at
+    about 80,000 partitions.
+    """
+    by_volume = (shuffle_bytes or 0) // target_partition_bytes
+    partitions = max(3 * total_cores, by_volume, 1)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(max_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 

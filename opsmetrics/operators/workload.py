@@ -17,7 +17,13 @@ from opsmetrics.sources.readers import coerce_dates
 MAX_TYPES = 10_000
 
 
-def _checked_types(types: DataFrame, type_col: str, max_types: int):
+def distinct_types_value(df: DataFrame, type_col: str = "tipo", max_types: int = MAX_TYPES):
+    """Sorted distinct non-null types of the whole frame, as a scalar-subquery array.
+
+    Only the type column is scanned. Raises at run time when more than
+    ``max_types`` types exist.
+    """
+    types = df.select(type_col).where(F.col(type_col).isNotNull()).distinct()
     arr = F.sort_array(F.collect_list(type_col))
     checked = F.when(F.size(arr) <= max_types, arr).otherwise(
         F.raise_error(F.lit(f"more than {max_types} operation types in the capacity grid"))
@@ -25,14 +31,6 @@ def _checked_types(types: DataFrame, type_col: str, max_types: int):
     return types.select(checked).scalar()
 
 
-def distinct_types_value(df: DataFrame, type_col: str = "tipo", max_types: int = MAX_TYPES):
-    """Sorted distinct non-null types of the whole frame, as a scalar-subquery array.
-
-    Raises at run time when more than ``max_types`` types exist.
-    """
-    return _checked_types(df.select(type_col).where(F.col(type_col).isNotNull()).distinct(), type_col, max_types)
-
-
 def owner_type_stats(
     df: DataFrame,
     standard: Mapping[str, int] | None = None,
@@ -45,8 +43,8 @@ def owner_type_stats(
 ) -> DataFrame:
     """One pass over the operations at (owner, type) grain.
 
-    NULL owners or types stay as their own groups (the grid takes owners and
-    types from every row). Per group: open operations (non-null keys), closed
+    NULL owners or types stay as their own groups (callers decide whether they
+    count). Per group: open operations (non-null keys), closed
     operations with a non-negative duration, their mean duration and their share
     within the type's standard. Partial aggregation runs before the shuffle, so a
     hot (owner, type) pair is reduced map-side; everything downstream works on

@@ -149,6 +149,12 @@ def project_contract(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in schema.CONTRACT_COLUMNS if c in df.columns])
 
 
+def upload_key_counts(valid: DataFrame, key: str = "file") -> DataFrame:
+    """Rows per upload key (map-side partial aggregation): the distinct keys of
+    the upload, shared by the stored-key filter and the load-log counts."""
+    return valid.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def upload_counts(valid: DataFrame, existing: DataFrame, key: str = "file") -> DataFrame:
     """The load-log figures of an upload in one pass, one row:
     ``nuevos`` (new keys), ``existentes`` (keys already stored) and
@@ -157,7 +163,7 @@ def upload_counts(valid: DataFrame, existing: DataFrame, key: str = "file") -> D
     Rows are counted per key with map-side partial aggregation; the per-key
     frame is joined once to the distinct stored keys.
     """
-    per_key = valid.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    per_key = upload_key_counts(valid, key)
     stored = existing.select(key).distinct().withColumn("_stored", F.lit(True))
     flagged = per_key.join(stored, on=key, how="left")
     return flagged.agg(
@@ -192,7 +198,7 @@ def analyze_upload(
     order = [ORDINAL] if ORDINAL in cleaned.columns else [key]
     duplicates = upload_duplicates(cleaned, key)
     deduped = upload_dedupe(cleaned, key, order)
-    keys = stored_keys_in(cleaned, stored_ops, key)  # same key set as deduped, no window
+    keys = stored_keys_in(upload_key_counts(cleaned, key), stored_ops, key)
     new = split_new(deduped, keys, key)
     existing = split_existing(deduped, keys, key)
     quality = quality_summary(new)
@@ -204,9 +210,10 @@ def stored_keys_in(upload: DataFrame, stored_ops: DataFrame, key: str = "file")
     """Stored keys (normalised as ``sources.existing_keys``) that occur in the upload.
 
     The stored table can be far larger than an upload: it is first reduced with
-    a left-semi join on the upload's keys (AQE broadcasts that side when its
-    runtime size is under the threshold, so the stored keys are filtered
-    map-side instead of all being shuffled for a ``distinct``).
+    a left-semi join on the upload's distinct keys (AQE broadcasts that side
+    when its runtime size is under the threshold, so the stored keys are
+    filtered map-side instead of all being shuffled for a ``distinct``).
+    ``upload`` may be the rows or ``upload_key_counts`` of them.
     """
     upload_keys = upload.select(key)
     return stored_key_values(stored_ops, key).join(upload_keys, on=key, how="left_semi").distinct()

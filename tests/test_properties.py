@@ -75,3 +75,30 @@ def test_floor_days_matches_pandas(spark, pairs):
     got = [r[0] for r in spark.createDataFrame(data, "a timestamp_ntz, b timestamp_ntz").select(floor_days("a", "b")).collect()]
     want = [int((pd.Timestamp(b) - pd.Timestamp(a)).days) for a, b in data]
     assert got == want
+
+
+@settings(max_examples=15, deadline=None)
+@given(
+    st.one_of(st.none(), st.lists(st.integers(min_value=1995, max_value=2002), max_size=4)),
+    st.one_of(st.none(), st.lists(st.tuples(st.integers(1995, 2002), st.integers(1, 12)), max_size=5)),
+    st.one_of(st.none(), st.lists(st.sampled_from(["A", "M", "Z", "Q"]), max_size=3)),
+)
+def test_apply_filters_matches_python(spark, years, months, tipos):
+    rng = np.random.default_rng(3)
+    base = dt.datetime(1995, 1, 1)
+    rows = [
+        (f"f{i}", ["A", "M", "Z", None][i % 4], base + dt.timedelta(hours=int(h)))
+        for i, h in enumerate(rng.integers(0, 24 * 365 * 8, 400))
+    ]
+    df = spark.createDataFrame(rows, "file string, tipo string, fecha_file timestamp_ntz")
+    month_keys = None if months is None else [f"{y:04d}-{m:02d}" for y, m in months]
+    got = sorted(r.file for r in filters.apply_filters(df, years=years, months=month_keys, tipos=tipos).collect())
+
+    def keep(tipo, ts):
+        if years is not None and ts.year not in years:
+            return False
+        if months is not None and (ts.year, ts.month) not in set(months):
+            return False
+        return tipos is None or tipo in tipos
+
+    assert got == sorted(f for f, t, ts in rows if keep(t, ts))

@@ -105,3 +105,37 @@ def test_duration_micros():
     assert S.duration_micros(dt.timedelta(minutes=2)) == 120_000_000
     with pytest.raises(ValueError):
         S.duration_micros("6 fortnights")
+
+
+def test_sessions_equal_python_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    data = []
+    for user in ("a", "b", "c", "d"):
+        t = T0
+        for _ in range(rng.randrange(20, 120)):
+            t += dt.timedelta(seconds=rng.choice([30, 600, 3600 * 5, 3600 * 6, 3600 * 6 + 1, 3600 * 30]))
+            data.append((user, t, rng.choice(["x", "y", "z", None])))
+    expected = []
+    for user in ("a", "b", "c", "d"):
+        evs = sorted((t, p) for u, t, p in data if u == user)
+        cur = [evs[0]]
+        for ev in evs[1:]:
+            if ev[0] - cur[-1][0] > dt.timedelta(hours=6):
+                expected.append((user, cur))
+                cur = [ev]
+            else:
+                cur.append(ev)
+        expected.append((user, cur))
+    want = sorted(
+        (u, s[0][0], s[-1][0], int((s[-1][0] - s[0][0]).total_seconds() // 60), sorted({p for _, p in s if p is not None}))
+        for u, s in expected
+    )
+    ev = spark.createDataFrame(data, EV_SCHEMA)
+    for bucket in ("1 day", "2 hours"):
+        got = sorted(
+            (r.username, r.session_start, r.session_end, r.duration_minutes, list(r.pages_visited))
+            for r in S.sessionize(ev, bucket=bucket).collect()
+        )
+        assert got == want

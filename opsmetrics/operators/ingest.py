@@ -195,7 +195,9 @@ def analyze_upload(
     if checkpoint:
         checkpoint_dir(cleaned.sparkSession)
         cleaned = cleaned.checkpoint(eager=True)
-    order = [ORDINAL] if ORDINAL in cleaned.columns else [key]
+    # without a sheet order (``read_upload`` adds one) the kept copy is the
+    # smallest row by all columns: deterministic, so a retried task agrees
+    order = [ORDINAL] if ORDINAL in cleaned.columns else sorted(c for c in cleaned.columns if c != key)
     duplicates = upload_duplicates(cleaned, key)
     deduped = upload_dedupe(cleaned, key, order)
     keys = stored_keys_in(upload_key_counts(cleaned, key), stored_ops, key)

@@ -124,3 +124,20 @@ def test_upload_roundtrip_through_csv_and_sinks(spark, tmpdir_path):
     # the stored keys now include F1, so the same upload has no new rows
     again = ingest.analyze_upload(read_upload(spark, csv_path), spark.read.parquet(target).unionByName(stored, allowMissingColumns=True))
     assert again.new.count() == 0
+
+
+def test_dedupe_without_ordinal_is_deterministic(spark):
+    df = spark.createDataFrame([("a", "z"), ("a", "b"), ("b", "c")], "File string, Operativo string")
+    stored = spark.createDataFrame([], "file string")
+    for _ in range(2):
+        got = sorted((r.file, r.operativo) for r in ingest.analyze_upload(df.repartition(3), stored).new.collect())
+        assert got == [("A", "B"), ("B", "C")]
+
+
+def test_read_upload_from_parquet_makes_text(spark, tmpdir_path):
+    path = f"{tmpdir_path}/up.parquet"
+    spark.createDataFrame([(1, dt.date(2024, 1, 2), 3.5)], "File int, `Fecha File` date, Monto double").write.parquet(path)
+    up = read_upload(spark, path, fmt="parquet")
+    assert dict(up.dtypes) == {"File": "string", "Fecha File": "string", "Monto": "string", "_ordinal": "bigint"}
+    row = up.first()
+    assert (row["File"], row["Fecha File"]) == ("1", "2024-01-02")

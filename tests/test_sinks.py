@@ -49,3 +49,17 @@ def test_read_operations_from_csv_coerces_dates_and_drops_missing_file_dates(spa
         "registros_limpios bigint, registros_duplicados bigint, fecha_carga timestamp_ntz",
     ).write.parquet(log_path)
     assert [r.registros_limpios for r in read_load_log(spark, log_path).collect()] == [2, 3, 1]
+
+
+def test_latest_load_tie_break(spark):
+    from opsmetrics.operators import loadlog
+
+    rec = "array<struct<campo:string,registros_faltantes:bigint,porcentaje:string>>"
+    log = spark.createDataFrame(
+        [(5, 1, [("Operativo", 1, "20.0%")], dt.datetime(2024, 3, 1)), (7, 2, [("Estado", 2, "28.6%")], dt.datetime(2024, 3, 1)),
+         (9, 0, [], dt.datetime(2024, 1, 1))],
+        f"registros_limpios bigint, registros_duplicados bigint, calidad_json {rec}, fecha_carga timestamp_ntz",
+    )
+    k = loadlog.load_log_kpis(log).first()
+    assert (k.total_cargas, k.total_limpios, k.total_descartados, k.ultimos_limpios, k.ultimos_descartados) == (3, 21, 3, 7, 2)
+    assert [(r.campo, r.registros_faltantes) for r in loadlog.latest_load_quality(log).collect()] == [("Estado", 2)]

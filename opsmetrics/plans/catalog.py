@@ -155,18 +155,29 @@ STREAM_TIMEOUT_S = 900
 SESSION_OUT = ["username", "session_start", "session_end", "duration_minutes"]
 
 
+def _is_directory(spark: SparkSession, path: str) -> bool:
+    """Directory test through the Hadoop FileSystem of the path (any scheme)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(hpath).isDirectory()
+
+
 def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 end to end: the events file as a file stream, watermarked session
     windows, the idempotent foreachBatch sink, ``availableNow``. Output and
     stream checkpoint live under the session's checkpoint folder. Returns the
     sessions the watermark has closed, read back as a batch frame."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/opsmetrics-stream/{uuid.uuid4().hex}"
-    schema_ = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    events = (
-        spark.readStream.schema(schema_)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-        .select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"), "ts", "event_type")
+    events_path = f"{sf_dir.rstrip('/')}/events.parquet"
+    schema_ = spark.read.parquet(events_path).schema
+    reader = spark.readStream.schema(schema_)
+    if _is_directory(spark, events_path):  # a folder of part files streams as is
+        source = reader.parquet(events_path)
+    else:  # a single file: stream its folder, keeping only that file
+        source = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = source.select(
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"), "ts", "event_type"
     )
     stream = sessionize_stream(events, gap=STREAM_GAP, watermark=STREAM_WATERMARK)
     query = start_sessions_sink(stream, f"{base}/out", f"{base}/dead", f"{base}/checkpoint")

@@ -113,7 +113,9 @@ RAW_UPLOAD_CTE = f"""raw_upload AS (
     CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR) AS "Fch Primera Fact Prov",
     l.l_returnflag AS "Envío Facturar",
     l.l_shipdate AS o1, l.l_partkey AS o2, l.l_suppkey AS o3, l.l_extendedprice AS o4
-  FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+  FROM lineitem l
+  LEFT JOIN (SELECT o_orderkey, min(o_custkey) AS o_custkey, min(o_orderdate) AS o_orderdate FROM orders GROUP BY o_orderkey) o
+    ON l.l_orderkey = o.o_orderkey
 )"""
 
 UPLOAD_CLEAN_CTE = f"""upload_clean AS (

@@ -15,34 +15,66 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def id_text(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """Only the id and the text, renamed, so extra columns never clash with those an operator adds.
 
-    A null text counts as empty.
+    A null text counts as empty. With ``carry`` the struct ``record`` holds the whole row.
     """
+    record = [F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("record")] if carry else []
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
+        *record,
     )
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """Each row whole, as the struct ``record``, with a number of its own.
+
+    Other columns can have any name. The numbers hold once the result is written.
+    """
+    record = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+    return docs.select(F.monotonically_increasing_id().alias("row"), record.alias("record"))
+
+
+def record_id(id_col: str):
+    return F.col("record").getField(id_col).cast("long")
+
+
+def record_text(text_col: str):
+    return F.coalesce(F.col("record").getField(text_col).cast("string"), F.lit(""))
+
+
 class Shared:
-    """Tables written to the folder that the driver and all executors share.
+    """Tables in a database of their own, in the folder that driver and executors share.
 
     They cut the lineage: what reads one survives the loss of any executor.
+    ``drop`` deletes tables that nothing reads any more, ``close`` all of them.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        self.tables = 0
+        self.name = f"{label}_{uuid.uuid4().hex}"
+        self.names: dict[int, tuple[str, DataFrame]] = {}
+        self.count = 0
+        spark.sql(f"CREATE DATABASE {self.name} LOCATION '{checkpoint_dir(spark).rstrip('/')}/{self.name}'")
 
     def table(self, df: DataFrame) -> DataFrame:
-        self.tables += 1
-        path = f"{self.root}/t{self.tables}"
-        schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+        self.count += 1
+        name = f"{self.name}.t{self.count}"
+        df.write.format("parquet").option("compression", "zstd").saveAsTable(name)
+        out = self.spark.read.table(name)
+        self.names[id(out)] = (name, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            name, _ = self.names.pop(id(table))
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        self.names.clear()
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
 
 
 def crc_bucket(col, modulus: int):

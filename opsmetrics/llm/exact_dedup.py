@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import Shared, id_text
+from opsmetrics.llm.common import Shared, record_id, record_text, tagged
 
 #: Characters that do not count.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -39,24 +39,34 @@ def exact_classes(
     gives no rows. Other columns are not read.
     """
     shared = Shared(docs.sparkSession, "exact")
-    own = id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    base = shared.table(
-        own.select(
-            "row",
-            "doc_id",
-            F.length("text").alias("points"),
-            F.regexp_replace("text", BLANKS, "").alias("squeezed"),
-        ).select(
-            "row",
-            "doc_id",
-            "points",
-            F.sha2("squeezed", 256).alias("text_sha256"),
-            F.col("squeezed").cast("binary").alias("norm"),
-        )
-    )
-    live = base.select("row", F.lit(0).cast("long").alias("grp"), "norm")
+    base = shared.table(tagged(docs.select(id_col, text_col)))
+    classes = _classes(base, shared, id_col, text_col, first_width, growth, max_width)
+    return classes.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def drop_copies(
+    docs: DataFrame,
+    shared: Shared,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    first_width: int = 256,
+    growth: int = 4,
+    max_width: int = 1 << 20,
+) -> DataFrame:
+    """The documents that stay, with all their columns. Cases as in ``exact_classes``."""
+    base = shared.table(tagged(docs))
+    classes = _classes(base, shared, id_col, text_col, first_width, growth, max_width)
+    gone = shared.table(classes.where("not kept").select("row"))
+    return base.join(gone, "row", "left_anti").select("record.*")
+
+
+def _classes(
+    base: DataFrame, shared: Shared, id_col: str, text_col: str, first_width: int, growth: int, max_width: int
+) -> DataFrame:
+    squeezed = F.regexp_replace(record_text(text_col), BLANKS, "")
+    live = base.select("row", F.lit(0).cast("long").alias("grp"), squeezed.cast("binary").alias("norm"))
     begin, width = 1, first_width
-    classes: list[DataFrame] = []
+    ended: list[DataFrame] = []
     while True:
         cut = live.withColumn("bytes", F.substring("norm", begin, width))
         groups = shared.table(
@@ -65,30 +75,37 @@ def exact_classes(
             .where("n > 1")
             .drop("n")
         )
-        together = cut.join(groups, ["grp", "bytes"])
-        ended = F.octet_length("bytes") < width
+        full = F.octet_length("bytes") == width
         split = shared.table(
-            together.select(
-                "row", F.col("next").alias("grp"), ended.alias("ended"), F.when(~ended, F.col("norm")).alias("norm")
+            cut.join(groups, ["grp", "bytes"]).select(
+                "row", F.col("next").alias("grp"), full.alias("goes_on"), F.when(full, F.col("norm")).alias("norm")
             )
         )
-        classes.append(split.where("ended").select("row", "grp"))
-        live = split.where("not ended").select("row", "grp", "norm")
+        shared.drop(groups)
+        ended.append(split.where("not goes_on").select("row", "grp"))
+        live = split.where("goes_on").select("row", "grp", "norm")
         if live.isEmpty():
             break
         begin, width = begin + width, min(width * growth, max_width)
 
-    attributes = base.select("row", "doc_id", "points", "text_sha256")
-    members = reduce(DataFrame.unionAll, classes).join(attributes.select("row", "doc_id", "points"), "row")
+    attributes = base.select(
+        "row",
+        record_id(id_col).alias("doc_id"),
+        F.length(record_text(text_col)).alias("points"),
+        F.sha2(squeezed, 256).alias("text_sha256"),
+    )
+    grouped = reduce(DataFrame.unionAll, ended)
+    members = shared.table(grouped.join(attributes.drop("text_sha256"), "row"))
     first = F.min(F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
     kept = shared.table(
-        members.groupBy("grp").agg(first.alias("first"), F.count("*").alias("group_size")).select(
-            "grp", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")
-        )
+        members.groupBy("grp")
+        .agg(first.alias("first"), F.count("*").alias("group_size"))
+        .select("grp", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
     )
-    grouped = reduce(DataFrame.unionAll, classes).join(kept, "grp").select("row", "keep_id", "keep_row", "group_size")
+    decided = members.join(kept, "grp").select("row", "keep_id", "keep_row", "group_size")
     alone = F.col("keep_row").isNull()
-    return attributes.join(grouped, "row", "left").select(
+    return attributes.drop("points").join(decided, "row", "left").select(
+        "row",
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),

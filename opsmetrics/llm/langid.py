@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType
 
 from opsmetrics.llm.common import id_text
 
@@ -30,8 +31,6 @@ _LANES = 16_384
 #: How sharply the score separates the languages: bits a character count so often.
 _SHARPNESS = 4.0
 
-PREDICTION = "doc_id long, lang_pred string, score double, n_letters long, bits double"
-
 
 def fold(text: str) -> np.ndarray:
     """Code points in lower case, with one 32 for each run of anything but letters."""
@@ -198,20 +197,25 @@ def learn_languages(
     return LanguageModel(tuple((k, v[:sample_chars]) for k, v in sorted(samples.items()) if v.strip()))
 
 
-def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify_language(
+    docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+) -> DataFrame:
     """A row per document: the predicted language, a score from 0 to 1 and the bits a character.
 
     A text without a letter, a null or empty text is ``und`` with score 0, and so
     is every text if no language was learned. Whole texts are parsed. The
     score is the winner's share of ``2 ** (-sharpness * bits)``. Languages that tie
     are settled by name. Rows that repeat an id are predicted each; other columns
-    are not read; an empty table gives no rows.
+    are not read; an empty table gives no rows. With ``carry`` the struct ``record``
+    holds the document's columns.
     """
+    own = id_text(docs, id_col, text_col, carry)
+    kept = ["doc_id", *(["record"] if carry else [])]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = model.parser() if model.samples else None
         for batch in batches:
-            texts = [fold(t.as_py()) for t in batch.column(1)]
+            texts = [fold(t.as_py()) for t in batch.column("text")]
             letters = np.array([np.count_nonzero(t != 32) for t in texts], dtype=np.int64)
             names: list[str] = [UNDECIDED] * len(texts)
             score, bits = np.zeros(len(texts)), np.full(len(texts), np.nan)
@@ -226,8 +230,15 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
                 for i, k in zip(known, best):
                     names[i] = parser.languages[k]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names), pa.array(score), pa.array(letters), pa.array(bits, mask=np.isnan(bits))],
-                names=["doc_id", "lang_pred", "score", "n_letters", "bits"],
+                [
+                    *(batch.column(c) for c in kept),
+                    pa.array(names, pa.string()),
+                    pa.array(score, pa.float64()),
+                    pa.array(letters, pa.int64()),
+                    pa.array(bits, pa.float64(), mask=np.isnan(bits)),
+                ],
+                names=[*kept, "lang_pred", "score", "n_letters", "bits"],
             )
 
-    return id_text(docs, id_col, text_col).mapInArrow(predict, PREDICTION)
+    schema = own.select(*kept).schema.add("lang_pred", StringType()).add("score", DoubleType())
+    return own.mapInArrow(predict, schema.add("n_letters", LongType()).add("bits", DoubleType()))

@@ -294,6 +294,7 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     groups: int = 128,
+    shared: Shared | None = None,
 ) -> DataFrame:
     """A row per piece with its sequence and its place there.
 
@@ -302,7 +303,7 @@ def pack_documents(
     encoded whole, whatever their length. Ties between equal sizes are settled by
     the order of the rows in the tasks; any choice gives as many sequences.
     """
-    shared = Shared(docs.sparkSession, "packing")
+    shared = shared or Shared(docs.sparkSession, "packing")
     pieces = shared.table(token_pieces(id_text(docs, id_col, text_col), tokenizer_path, capacity))
     by_task = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

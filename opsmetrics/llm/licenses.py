@@ -11,11 +11,12 @@ DataFrame functions are used.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import Shared, id_text
+from opsmetrics.llm.common import Shared, id_text, let
 
 #: Short licence statements and the notices that licences ask to be used.
 TEMPLATES = (
@@ -74,15 +75,21 @@ def _words(text: Column) -> Column:
 
 def _shingles(words: Column) -> Column:
     """A hash of each ``_SHINGLE`` consecutive words."""
-    places = F.when(F.size(words) >= _SHINGLE, F.sequence(F.lit(0), F.size(words) - _SHINGLE)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(_SHINGLE))))
 
+    def hashes(own: Column) -> Column:
+        places = F.when(F.size(own) >= _SHINGLE, F.sequence(F.lit(0), F.size(own) - _SHINGLE))
+        places = F.coalesce(places, F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(*(F.get(own, i + k) for k in range(_SHINGLE))))
+
+    return let(words, hashes)
 
-def _low_hash(shingles: Column, band: int) -> Column:
-    """The least value of the band's hash function over the shingles."""
-    return F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(band))))
+
+def _low_hashes(shingles: Column, bands: int) -> Column:
+    """The least value of each band's hash function over the shingles."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(bands - 1)),
+        lambda band: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, band))),
+    )
 
 
 def template_frame(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -106,8 +113,9 @@ def scan_licenses(
     """A row per document and licence found: ``doc_id``, ``license``, ``containment``, ``n_windows``.
 
     ``containment`` is the largest share of a template's distinct shingles of three
-    words that one window holds; shares under the parameter do not count. Case
-    and punctuation do not count. Templates shorter than a shingle are ignored.
+    words that one window holds; shares under the parameter do not count, nor does
+    a variant (another version of a licence) whose shingles all belong to a better
+    match in the document. Case and punctuation do not count. Templates shorter than a shingle are ignored.
 
     A window that shares no shingle with any template shares no least hash with
     one either, so documents without a template shingle leave before windows
@@ -120,11 +128,15 @@ def scan_licenses(
     known = [  # as many rows as templates
         (r["template"], r["license"], r["shingles"], r["class"]) for r in template_frame(spark, templates).collect()
     ]
+    if not known:
+        return docs.select(docs[id_col].cast("long").alias("doc_id")).where("false").selectExpr(
+            "doc_id", "cast(null as string) license", "cast(null as double) containment", "cast(null as long) n_windows"
+        )
     every = sorted({s for _, _, own, _ in known for s in own})
     shared = Shared(spark, "licenses")
     words = id_text(docs, id_col, text_col).select("doc_id", _words(F.col("text")).alias("words"))
     hashed = words.select("doc_id", _shingles(F.col("words")).alias("shingles"))
-    template_shingles = F.array(*(F.lit(s) for s in every)).cast("array<long>")
+    template_shingles = F.split(F.lit(",".join(map(str, every))), ",").cast("array<long>")  # folded to one literal
     some = shared.table(hashed.where(F.arrays_overlap("shingles", template_shingles)))
 
     windows, bands = [], []
@@ -138,30 +150,33 @@ def scan_licenses(
             "doc_id", F.lit(size).alias("class"), F.col("pos").alias("window"), F.array_distinct("col").alias("shingles")
         )
         cut = cut.where(F.arrays_overlap("shingles", template_shingles))
-        lows = F.array(*(_low_hash(F.col("shingles"), k) for k in range(n_bands)))
-        windows.append(cut.select("*", lows.alias("lows")))
+        windows.append(cut.select("*", _low_hashes(F.col("shingles"), n_bands).alias("lows")))
         frame = spark.createDataFrame([(t[0], t[1], t[2], size) for t in own], "template int, license string, own array<long>, class int")
         bands.append(
-            frame.select("template", "license", "own", "class", F.posexplode(F.array(*(_low_hash(F.col("own"), k) for k in range(n_bands)))).alias("band", "low"))
-        )
-    if not known:
-        return docs.select(docs[id_col].cast("long").alias("doc_id")).where("false").selectExpr(
-            "doc_id", "cast(null as string) license", "cast(null as double) containment", "cast(null as long) n_windows"
+            frame.select("template", "license", "own", "class", F.posexplode(_low_hashes(F.col("own"), n_bands)).alias("band", "low"))
         )
-    union = windows[0]
-    for more in windows[1:]:
-        union = union.unionAll(more)
-    index = bands[0]
-    for more in bands[1:]:
-        index = index.unionAll(more)
-    met = union.select("doc_id", "class", "window", "shingles", F.posexplode("lows").alias("band", "low")).join(
+    index = reduce(DataFrame.unionAll, bands)
+    met = reduce(DataFrame.unionAll, windows).select("doc_id", "class", "window", "shingles", F.posexplode("lows").alias("band", "low")).join(
         F.broadcast(index),  # templates times bands
         ["class", "band", "low"],
     )
-    share = F.size(F.array_intersect("shingles", "own")) / F.size("own")
-    verified = met.select("doc_id", "class", "window", "template", "license", share.alias("share")).where(
-        F.col("share") >= containment
+    common = F.array_intersect("shingles", "own")
+    share = F.size(common) / F.size("own")
+    verified = shared.table(
+        met.select("doc_id", "class", "window", "template", "license", "own", common.alias("common"), share.alias("share"))
+        .where(F.col("share") >= containment)
+        .distinct()
+    )
+    # a variant all of whose shingles belong to a better match in the document is that match
+    mine = verified.alias("mine")
+    better = verified.select("doc_id", "own", "share").distinct().alias("better")
+    covered = (
+        F.col("mine.doc_id").eqNullSafe(F.col("better.doc_id"))
+        & (F.col("mine.share") < F.col("better.share"))
+        & (F.size(F.array_except("mine.common", "better.own")) == 0)
     )
-    return verified.groupBy("doc_id", "license").agg(
-        F.max("share").alias("containment"), F.countDistinct("class", "window").alias("n_windows")
+    return (
+        mine.join(better, covered, "left_anti")
+        .groupBy("doc_id", "license")
+        .agg(F.max("share").alias("containment"), F.countDistinct("class", "window").alias("n_windows"))
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import id_text
+from opsmetrics.llm.common import let
 
 _ROUNDS = 10
 #: The Gregorian calendar repeats after 400 years: 146,097 days, here from 1700-01-01, as 27 * 5411.
@@ -26,7 +26,11 @@ _ISO_DATE = r"(?<![0-9./-])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9]|[./-][0
 _DATE = r"(?<![0-9./-])[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4}(?![0-9]|[./-][0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-_PHONE = r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])|(?<![0-9(])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+_PHONE = (
+    r"(?<![0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    r"|(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]{1,4}){2,5}(?![0-9])"
+    r"|(?<![0-9(])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+)
 _CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 
 KINDS = ("email", "secret", "iban", "date", "ssn", "ip", "phone", "card")
@@ -65,24 +69,21 @@ def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: Column, k
     return F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), start, step)
 
 
-def _let(value: Column, body) -> Column:
-    """The body over a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _permuted_digits(digits: Column, key: Column, kind: str) -> Column:
     """Digits of the same number, at least two and at most 36, moved by the key."""
-    size = F.length(digits)
-    half = F.floor(size / 2).cast("int")
-    a, b = F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, size - half)
     power = lambda n: F.rpad(F.lit("1"), n + 1, "0").cast("long")
-    moved = feistel(a.cast("long"), b.cast("long"), power(half), power(size - half), key, kind)
-    return _let(
-        moved,
-        lambda m: F.concat(
+
+    def halves(d: Column) -> Column:
+        size = F.length(d)
+        half = F.floor(size / 2).cast("int")
+        a, b = F.substring(d, F.lit(1), half), F.substring(d, half + 1, size - half)
+        moved = feistel(a.cast("long"), b.cast("long"), power(half), power(size - half), key, kind)
+        shown = lambda m: F.concat(
             F.lpad(m["a"].cast("string"), half, "0"), F.lpad(m["b"].cast("string"), size - half, "0")
-        ),
-    )
+        )
+        return let(moved, shown)
+
+    return let(digits, halves)
 
 
 def _digits_of(text: Column) -> Column:
@@ -94,14 +95,17 @@ def _in_layout(text: Column, digits: Column) -> Column:
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
 
-    def step(state: Column, char: Column) -> Column:
-        digit = char.rlike("^[0-9]$")
-        return F.struct(
-            F.concat(state["out"], F.when(digit, F.substring(digits, state["next"], F.lit(1))).otherwise(char)).alias("out"),
-            (state["next"] + F.when(digit, 1).otherwise(0)).alias("next"),
-        )
+    def laid(fresh: Column) -> Column:
+        def step(state: Column, char: Column) -> Column:
+            digit = char.rlike("^[0-9]$")
+            new = F.when(digit, F.substring(fresh, state["next"], F.lit(1))).otherwise(char)
+            return F.struct(
+                F.concat(state["out"], new).alias("out"), (state["next"] + F.when(digit, 1).otherwise(0)).alias("next")
+            )
+
+        return F.aggregate(chars, start, step, lambda s: s["out"])
 
-    return F.aggregate(chars, start, step, lambda s: s["out"])
+    return let(digits, laid)
 
 
 def _luhn_sum(digits: Column, double_last: bool) -> Column:
@@ -110,37 +114,41 @@ def _luhn_sum(digits: Column, double_last: bool) -> Column:
     parity = 0 if double_last else 1
     values = F.transform(
         backwards,
-        lambda c, i: _let(c.cast("int") * F.when(F.pmod(i, F.lit(2)) == parity, 2).otherwise(1), lambda v: F.when(v > 9, v - 9).otherwise(v)),
+        lambda c, i: let(c.cast("int") * F.when(F.pmod(i, F.lit(2)) == parity, 2).otherwise(1), lambda v: F.when(v > 9, v - 9).otherwise(v)),
     )
     return F.aggregate(values, F.lit(0), lambda total, v: total + v)
 
 
 def _card(text: Column, key: Column) -> Column:
-    digits = _digits_of(text)
-    valid = (F.length(digits).between(13, 19)) & (F.pmod(_luhn_sum(digits, False), F.lit(10)) == 0)
-    body = _permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    fresh = _let(
-        body,
-        lambda p: F.concat(p, F.pmod(10 - F.pmod(_luhn_sum(p, True), F.lit(10)), F.lit(10)).cast("string")),
-    )
-    return F.when(valid, _in_layout(text, fresh))
+    def moved(digits: Column) -> Column:
+        valid = F.length(digits).between(13, 19) & (F.pmod(_luhn_sum(digits, False), F.lit(10)) == 0)
+        body = _permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+        check = lambda p: F.pmod(10 - F.pmod(_luhn_sum(p, True), F.lit(10)), F.lit(10)).cast("string")
+        return F.when(valid, _in_layout(text, let(body, lambda p: F.concat(p, check(p)))))
+
+    return let(_digits_of(text), moved)
 
 
 def _number(text: Column, key: Column) -> Column:
     """Numbers as long as a card's that fail its check: still personal account numbers, moved as plain digits."""
-    digits = _digits_of(text)
-    return F.when(F.length(digits).between(13, 19), _in_layout(text, _permuted_digits(digits, key, "number")))
+    return let(
+        _digits_of(text),
+        lambda digits: F.when(F.length(digits).between(13, 19), _in_layout(text, _permuted_digits(digits, key, "number"))),
+    )
 
 
 def _phone(text: Column, key: Column) -> Column:
     """The last ten digits move (or all, without a country code); the country code stays."""
-    digits = _digits_of(text)
-    size = F.length(digits)
-    kept = F.greatest(size - 10, F.when(text.startswith("+"), 1).otherwise(0))
-    moved = F.concat(
-        F.substring(digits, F.lit(1), kept), _permuted_digits(F.substring(digits, kept + 1, size - kept), key, "phone")
-    )
-    return F.when(size.between(8, 15), _in_layout(text, moved))
+
+    def moved(digits: Column) -> Column:
+        size = F.length(digits)
+        kept = F.greatest(size - 10, F.when(text.startswith("+"), 1).otherwise(0))
+        fresh = F.concat(
+            F.substring(digits, F.lit(1), kept), _permuted_digits(F.substring(digits, kept + 1, size - kept), key, "phone")
+        )
+        return F.when(size.between(8, 15), _in_layout(text, fresh))
+
+    return let(_digits_of(text), moved)
 
 
 def _ip(text: Column, key: Column) -> Column:
@@ -151,7 +159,7 @@ def _ip(text: Column, key: Column) -> Column:
     )
     high = lambda v: F.floor(v / 256).cast("string")
     low = lambda v: F.pmod(v, F.lit(256)).cast("string")
-    return F.when(valid, _let(moved, lambda m: F.concat_ws(".", high(m["a"]), low(m["a"]), high(m["b"]), low(m["b"]))))
+    return F.when(valid, let(moved, lambda m: F.concat_ws(".", high(m["a"]), low(m["a"]), high(m["b"]), low(m["b"]))))
 
 
 def _ssn(text: Column, key: Column) -> Column:
@@ -167,7 +175,7 @@ def _ssn(text: Column, key: Column) -> Column:
         two = F.lpad((F.pmod(m["a"], F.lit(_GROUPS)) + 1).cast("string"), 2, "0")
         return F.concat_ws("-", F.lpad(area_.cast("string"), 3, "0"), two, F.lpad((m["b"] + 1).cast("string"), 4, "0"))
 
-    return F.when(valid, _let(moved, show))
+    return F.when(valid, let(moved, show))
 
 
 def _date(text: Column, key: Column) -> Column:
@@ -197,7 +205,7 @@ def _date(text: Column, key: Column) -> Column:
             .otherwise(F.concat(two(month, parts[0]), sign, two(dom, parts[1]), sign, y))
         )
 
-    return F.when(valid, _let(moved, show))
+    return F.when(valid, let(moved, show))
 
 
 def _mod97(text: Column) -> Column:
@@ -229,7 +237,7 @@ def _iban(text: Column, key: Column) -> Column:
         )
 
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    laid = _let(_let(moved, show), lambda full: F.aggregate(chars, start, lambda s, c: spaced(s, c, full), lambda s: s["out"]))
+    laid = let(let(moved, show), lambda full: F.aggregate(chars, start, lambda s, c: spaced(s, c, full), lambda s: s["out"]))
     return F.when(valid, laid)
 
 
@@ -272,7 +280,7 @@ def pseudonym(value: Column, key: Column) -> Column:
         return lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
     none = F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value"))
-    out = [F.when(value.rlike(_full(pattern)), _let(move(value, key), named(kind))) for kind, pattern, move in tries]
+    out = [F.when(value.rlike(_full(pattern)), let(move(value, key), named(kind))) for kind, pattern, move in tries]
     return F.coalesce(*out, none)
 
 

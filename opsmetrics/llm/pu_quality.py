@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,18 +39,18 @@ def features(text: str) -> np.ndarray:
     n, n_words = len(raw), len(start)
     hashes = word_hashes(raw.tobytes())
     lines = [line for line in text.split("\n") if line.strip()]
-    line_counts = Counter(lines)
+    line_counts = set(lines)
     alone = int((end - start == 1).sum())
     distinct = len(np.unique(hashes))
     last = raw[end - 1]
     shares = [counts[table].sum() / n for table in (_UPPER, _LOWER, _DIGIT, BLANK, *_SIGNS.values())]
-    out[: 10 + 10] = [
+    out[:20] = [
         *shares,
         float((hashes[1:] == hashes[:-1]).mean()) if n_words > 1 else 0.0,
         np.log1p(n_words) / 10,
         (n - counts[BLANK].sum()) / n_words / 10,
         np.log1p(distinct) / np.log1p(n_words),
-        1 - sum(1 for c in line_counts.values()) / max(len(lines), 1),
+        1 - len(line_counts) / max(len(lines), 1),
         np.log1p(n_words / max(len(lines), 1)) / 5,
         alone / n_words,
         float(_UPPER[raw[start]].mean()),
@@ -153,7 +152,7 @@ def learn_quality(
     max_unlabelled: int = 12_000,
     steps: int = 400,
     rate: float = 0.03,
-    penalty: float = 1e-4,
+    penalty: float = 1e-3,
 ) -> QualityModel | None:
     """Fits on at most ``max_positive`` trusted positives and ``max_unlabelled`` documents taken as unlabelled.
 
@@ -184,9 +183,14 @@ def learn_quality(
         return None
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
     zp, zu = _expand(positive, mean, scale), _expand(unlabelled, mean, scale)
-    # the prior from a plain positive-against-unlabelled score, then the risk with it
-    weights, bias = _fit(zp, zu, 0.5, steps, rate, penalty)
-    prior = estimate_prior(zp @ weights + bias, zu @ weights + bias)
+    # the prior from a plain positive-against-unlabelled score on the half it was not fitted on, then the risk with it
+    priors = []
+    for part in (0, 1):
+        halves = [(z[part::2], z[1 - part :: 2]) if len(z) > 1 else (z, z) for z in (zp, zu)]
+        (fit_p, rest_p), (fit_u, rest_u) = halves
+        weights, bias = _fit(fit_p, fit_u, 0.5, steps, rate, penalty)
+        priors.append(estimate_prior(rest_p @ weights + bias, rest_u @ weights + bias))
+    prior = float(np.mean(priors))
     weights, bias = _fit(zp, zu, prior, steps, rate, penalty)
     return QualityModel(mean, scale, weights, bias, prior)
 

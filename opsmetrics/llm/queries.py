@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsmetrics.llm import decontaminate, exact_dedup, langid, ngram_join, packing, pu_quality, rlz_dedup
+from opsmetrics.llm import decontaminate, exact_dedup, langid, licenses, ngram_join, packing, pii, pu_quality, rlz_dedup
 from opsmetrics.llm.common import crc_bucket, read_table
 
 
+#: The registered query's key; a production run passes its own secret.
+PII_KEY = "check-key"
+
+
 def tokenizer_file() -> str:
     """The public vocabulary that the packing query encodes with."""
     import public_tokenizers
@@ -30,6 +34,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), blocks)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(read_table(spark, sf_dir, "documents"))
 
@@ -74,6 +86,8 @@ FROM d
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_decontamination": op3_decontamination,
+    "op4_pii": op4_pii,
+    "op5_license_scan": op5_license_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,

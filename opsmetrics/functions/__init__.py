@@ -1,13 +1,13 @@
 """Column expressions shared by the operators (all JVM-side, codegen-friendly)."""
 
 from opsmetrics.functions.expr import (  # noqa: F401
-    clean_text_value,
     floor_days,
     is_open,
     level_of,
     month_key,
     month_label,
     parse_timestamp,
+    quality_label,
     round_half_even,
     rule_lookup,
     strip_all,

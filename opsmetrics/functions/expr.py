@@ -29,9 +29,19 @@ MICROS_PER_DAY = 86_400_000_000
 MICROS_PER_MINUTE = 60_000_000
 
 # Text layouts accepted when coercing dates, tried in order after
-# the ISO-8601 forms that a plain cast already accepts (pandas reads a/b/yyyy
-# month first).
-DATE_PATTERNS = ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "d-MMM-yyyy", "yyyyMMdd"]
+# the ISO-8601 forms that a plain cast already accepts. a/b/yyyy is read month
+# first (or day first on request) and the other way round where that is no date.
+MONTH_FIRST = ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm a", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yy"]
+DAY_FIRST = ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy h:mm a", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yy"]
+NAMED_OR_YEAR_FIRST = [
+    "yyyy/M/d H:mm:ss", "yyyy/M/d", "yyyyMMdd", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+]
+
+
+def date_patterns(day_first: bool = False) -> list[str]:
+    """All layouts in the order they are tried."""
+    first, second = (DAY_FIRST, MONTH_FIRST) if day_first else (MONTH_FIRST, DAY_FIRST)
+    return [*first, *second, *NAMED_OR_YEAR_FIRST]
 
 
 def _col(c: ColumnOrName) -> Column:
@@ -60,17 +70,12 @@ def placeholder_if_missing(c: ColumnOrName, placeholder: str = rules.PLACEHOLDER
     return F.coalesce(F.when(~x.isin(*rules.MISSING_TOKENS), x), F.lit(placeholder))
 
 
-def clean_text_value(c: ColumnOrName, placeholder: str = rules.PLACEHOLDER) -> Column:
-    """Text cleaning of one column in one expression (see ``normalize_text``)."""
-    return placeholder_if_missing(normalize_text(c), placeholder)
-
-
 def to_timestamp_ntz(c: ColumnOrName) -> Column:
     """Cast any date-like column to timestamp_ntz (no time zone shift for NTZ/date)."""
     return _col(c).cast("timestamp_ntz")
 
 
-def parse_timestamp(c: ColumnOrName, patterns: list[str] | None = None) -> Column:
+def parse_timestamp(c: ColumnOrName, patterns: list[str] | None = None, day_first: bool = False) -> Column:
     """``pd.to_datetime(errors='coerce')`` for text: unparseable -> NULL.
 
     ISO-8601 text is handled by ``try_cast``; other layouts by ``try_to_timestamp``
@@ -78,7 +83,7 @@ def parse_timestamp(c: ColumnOrName, patterns: list[str] | None = None) -> Colum
     """
     text = strip_all(_col(c).cast("string"))
     attempts = [text.try_cast("timestamp_ntz")]
-    for pattern in patterns if patterns is not None else DATE_PATTERNS:
+    for pattern in patterns if patterns is not None else date_patterns(day_first):
         attempts.append(F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz"))
     return F.coalesce(*attempts)
 
@@ -138,3 +143,8 @@ def ts_literal(value: dt.datetime | dt.date) -> Column:
     if not isinstance(value, dt.datetime):
         value = dt.datetime(value.year, value.month, value.day)
     return F.expr(f"TIMESTAMP_NTZ '{value.isoformat(sep=' ')}'")
+
+
+def quality_label(field: str) -> str:
+    """A field as the quality summary names it."""
+    return field.replace("_", " ").title()

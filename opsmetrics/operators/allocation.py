@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opsmetrics import rules
 from opsmetrics.functions import round_half_even
-from opsmetrics.operators.workload import capacity_grid, distinct_types_value, owner_type_stats
+from opsmetrics.operators.workload import capacity_grid, owner_type_stats
 
 IMPUTED_DIGITS = 9
 
@@ -25,16 +25,15 @@ def allocation_guide(
     """Strategic index per (owner, type) with spare capacity.
 
     One aggregation of the operations at (owner, type) grain gives open counts,
-    closed-duration means and success shares; the owner x type grid reads them
-    from per-owner maps (the type list is a scan of the type column only). Missing efficacy is 50. Missing speed is imputed with
+    closed-duration means and success shares; the owner x type grid and its
+    cells come from that one frame. Missing efficacy is 50. Missing speed is imputed with
     the type's mean over the guide rows, then the overall mean of that imputed
     column, then 90 days (no closed rows at all). Imputation runs over all grid
     rows before the capacity > 0 filter. The per-type mean is a small grouped
     frame joined on the type; the overall mean is a scalar subquery.
     """
     stats = owner_type_stats(df, standard, owner_col, type_col)
-    types = distinct_types_value(df, type_col)
-    guide = capacity_grid(stats, types, ideal, owner_col, type_col).withColumn(
+    guide = capacity_grid(stats, ideal, owner_col, type_col).withColumn(
         "_ef", round_half_even(F.col("_ok") * F.lit(100.0), 1)
     )
     # means of doubles depend on summation order (partitioning); the imputed

@@ -24,7 +24,13 @@ def reference_times(spark, standard: Mapping[str, int] | None = None, target: Ma
     standard = standard or rules.STANDARD_DAYS
     target = target or rules.TARGET_DAYS
     rows = [(t, int(standard[t]), int(target[t]) if t in target else None) for t in standard]
-    return spark.createDataFrame(rows, "tipo string, tiempo_estandar bigint, meta_mejora bigint")
+    literals = [
+        F.struct(
+            F.lit(t).alias("tipo"), F.lit(std).cast("bigint").alias("tiempo_estandar"), F.lit(goal).cast("bigint").alias("meta_mejora")
+        )
+        for t, std, goal in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*literals)))
 
 
 def cycle_time_vs_standard(

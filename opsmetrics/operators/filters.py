@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsmetrics import rules
-from opsmetrics.functions import floor_days, is_open, month_key, ts_literal
+from opsmetrics.functions import floor_days, is_open, month_key, month_label, ts_literal
 from opsmetrics.sources.readers import coerce_dates
 
 
@@ -119,6 +119,12 @@ def filter_facets(
     return stacked.where(F.col("value").isNotNull()).distinct()
 
 
+def labelled_facets(facets: DataFrame) -> DataFrame:
+    """``filter_facets`` in display order, months with their display label."""
+    shown = F.when(F.col("facet") == "mes", month_label(F.to_date(F.concat("value", F.lit("-01"))))).otherwise(F.col("value"))
+    return facets.select("facet", "value", shown.alias("etiqueta")).orderBy("facet", "value")
+
+
 def open_operations(df: DataFrame, state_col: str = "estado") -> DataFrame:
     """Operations not in the closed state; a NULL state counts as open."""
     return df.where(is_open(state_col))

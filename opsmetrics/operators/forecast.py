@@ -40,6 +40,9 @@ def daily_series(
 ) -> DataFrame:
     """Rows per (series, day): one series per type plus one over all rows.
 
+    A type named like the all-rows series has no series of its own, so the name
+    stays unique; its rows count in the total.
+
     Counted once per (type, day); the all-rows series is summed from those
     counts, so the fact rows are aggregated once, not twice.
     """
@@ -48,7 +51,7 @@ def daily_series(
         .groupBy(F.col(type_col).alias("_t"), F.to_date(date_col).alias("ds"))
         .agg(F.count(F.lit(1)).alias("y"))
     )
-    typed = per_type.where(F.col("_t").isNotNull()).select(F.col("_t").cast("string").alias("serie"), "ds", "y")
+    typed = per_type.where(F.col("_t") != F.lit(all_label)).select(F.col("_t").cast("string").alias("serie"), "ds", "y")
     everything = per_type.groupBy("ds").agg(F.sum("y").alias("y")).select(F.lit(all_label).alias("serie"), "ds", "y")
     return typed.unionByName(everything)
 
@@ -118,7 +121,12 @@ def fit_predict(pdf: pd.DataFrame, horizon: int) -> pd.DataFrame:
     yearly = yearly_x @ beta[k_t + k_w :]
     yhat = trend + weekly + yearly
     z = 1.2815515655446004  # two-sided 80 % normal quantile
-    half = z * np.sqrt(sigma2)
+    # past the end the trend may go on changing as often (n_cp a unit of time)
+    # and as much (mean absolute change) as in the history: the variance of such
+    # a trend grows with the cube of the time past the end
+    change = float(np.mean(np.abs(beta[cp]))) if n_cp else 0.0
+    past = np.maximum(t - 1.0, 0.0)
+    half = z * np.sqrt(sigma2 + 2.0 * change**2 * n_cp * past**3 / 3.0)
     return pd.DataFrame(
         {
             "serie": serie,
@@ -140,8 +148,9 @@ def forecast(
     min_days: int = rules.FORECAST_MIN_DAYS,
 ) -> DataFrame:
     """History days plus ``horizon`` future days for every eligible series."""
-    if not 1 <= horizon <= 3660:
-        raise ValueError("horizon must be between 1 and 3660 days")
+    if horizon < 1:
+        raise ValueError("horizon must be at least one day")
+
     def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
         # the eligibility rule of ``forecast_eligible``, applied to the group
         # itself so the daily series is computed once

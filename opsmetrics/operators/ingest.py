@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics import rules, schema
-from opsmetrics.functions.expr import normalize_text, placeholder_if_missing
+from opsmetrics.functions.expr import normalize_text, placeholder_if_missing, quality_label
 from opsmetrics.session import checkpoint_dir
-from opsmetrics.sources.readers import coerce_dates, stored_key_values
+from opsmetrics.sources.readers import coerce_dates, stored_key_values, unreadable_dates
 
 ORDINAL = "_ordinal"
 # Alternative headers seen in uploads, in normalised form, and their contract name.
@@ -131,7 +131,7 @@ def quality_summary(
     fields = fields or rules.QUALITY_FIELDS
     aggs = [F.count(F.lit(1)).alias("_total")]
     aggs += [F.count_if(F.col(f) == F.lit(placeholder)).alias(f"_m{i}") for i, f in enumerate(fields)]
-    stacked = ", ".join(f"'{f.replace('_', ' ').title()}', _m{i}" for i, f in enumerate(fields))
+    stacked = ", ".join(f"'{quality_label(f)}', _m{i}" for i, f in enumerate(fields))
     return (
         new_df.agg(*aggs)
         .where(F.col("_total") > 0)
@@ -149,26 +149,20 @@ def project_contract(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in schema.CONTRACT_COLUMNS if c in df.columns])
 
 
-def upload_key_counts(valid: DataFrame, key: str = "file") -> DataFrame:
-    """Rows per upload key (map-side partial aggregation): the distinct keys of
-    the upload, shared by the stored-key filter and the load-log counts."""
-    return valid.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-
-
 def upload_counts(valid: DataFrame, existing: DataFrame, key: str = "file") -> DataFrame:
     """The load-log figures of an upload in one pass, one row:
     ``nuevos`` (new keys), ``existentes`` (keys already stored) and
     ``duplicados`` (rows of keys that occur more than once, every copy).
 
-    Rows are counted per key with map-side partial aggregation; the per-key
-    frame is joined once to the distinct stored keys.
+    Upload rows and stored keys are counted per key together, with map-side
+    partial aggregation: one shuffle, no join and no ``distinct``.
     """
-    per_key = upload_key_counts(valid, key)
-    stored = existing.select(key).distinct().withColumn("_stored", F.lit(True))
-    flagged = per_key.join(stored, on=key, how="left")
-    return flagged.agg(
-        F.count_if(F.col("_stored").isNull()).alias("nuevos"),
-        F.count_if(F.col("_stored")).alias("existentes"),
+    rows = valid.select(key, F.lit(1).alias("_up"), F.lit(0).alias("_st"))
+    stored = existing.select(key, F.lit(0).alias("_up"), F.lit(1).alias("_st"))
+    per_key = rows.unionAll(stored).groupBy(key).agg(F.sum("_up").alias("_n"), F.max("_st").alias("_stored"))
+    return per_key.where(F.col("_n") > 0).agg(
+        F.count_if(F.col("_stored") == 0).alias("nuevos"),
+        F.count_if(F.col("_stored") == 1).alias("existentes"),
         F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("bigint").alias("duplicados"),
     )
 
@@ -179,13 +173,22 @@ class UploadAnalysis(NamedTuple):
     duplicates: DataFrame
     quality: DataFrame
     counts: DataFrame
+    bad_dates: DataFrame
 
 
 def analyze_upload(
-    raw: DataFrame, stored_ops: DataFrame, key: str = "file", checkpoint: bool = False
+    raw: DataFrame,
+    stored_ops: DataFrame,
+    key: str = "file",
+    checkpoint: bool = False,
+    day_first: bool = False,
+    sort_duplicates: bool = False,
 ) -> UploadAnalysis:
     """The whole upload analysis as lazy frames (new, existing, duplicates,
-    quality summary, load-log counts).
+    quality summary, load-log counts, unreadable dates per column).
+
+    The stored table goes straight into the semi and anti joins with the
+    deduplicated rows: repeated stored keys need no ``distinct`` there.
 
     The cleaned frame feeds three outputs. With ``checkpoint=True`` it is written
     once to the reliable checkpoint folder (``spark.checkpoint.dir``), which cuts
@@ -198,24 +201,16 @@ def analyze_upload(
     # without a sheet order (``read_upload`` adds one) the kept copy is the
     # smallest row by all columns: deterministic, so a retried task agrees
     order = [ORDINAL] if ORDINAL in cleaned.columns else sorted(c for c in cleaned.columns if c != key)
-    duplicates = upload_duplicates(cleaned, key)
+    duplicates = upload_duplicates(cleaned, key, sort=sort_duplicates)
     deduped = upload_dedupe(cleaned, key, order)
-    keys = stored_keys_in(upload_key_counts(cleaned, key), stored_ops, key)
-    new = split_new(deduped, keys, key)
-    existing = split_existing(deduped, keys, key)
-    quality = quality_summary(new)
-    counts = upload_counts(cleaned, keys, key)
-    return UploadAnalysis(project_contract(coerce_dates(new)), existing, duplicates, quality, counts)
-
-
-def stored_keys_in(upload: DataFrame, stored_ops: DataFrame, key: str = "file") -> DataFrame:
-    """Stored keys (normalised as ``sources.existing_keys``) that occur in the upload.
-
-    The stored table can be far larger than an upload: it is first reduced with
-    a left-semi join on the upload's distinct keys (AQE broadcasts that side
-    when its runtime size is under the threshold, so the stored keys are
-    filtered map-side instead of all being shuffled for a ``distinct``).
-    ``upload`` may be the rows or ``upload_key_counts`` of them.
-    """
-    upload_keys = upload.select(key)
-    return stored_key_values(stored_ops, key).join(upload_keys, on=key, how="left_semi").distinct()
+    stored = stored_key_values(stored_ops, key)
+    new = split_new(deduped, stored, key)
+    existing = split_existing(deduped, stored, key)
+    return UploadAnalysis(
+        new=project_contract(coerce_dates(new, day_first=day_first)),
+        existing=existing,
+        duplicates=duplicates,
+        quality=quality_summary(new),
+        counts=upload_counts(cleaned, stored, key),
+        bad_dates=unreadable_dates(cleaned, day_first=day_first),
+    )

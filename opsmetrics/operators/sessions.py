@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics import rules
@@ -51,39 +51,45 @@ def sessionize(
     user_col: str = "username",
     ts_col: str = "ts",
     page_col: str = "event_type",
-    bucket: str | dt.timedelta = "1 day",
 ) -> DataFrame:
     """Gap sessions per user: a new session starts when the next event comes more
     than ``gap`` after the previous one (exactly ``gap`` stays in the session).
 
-    Two phases, so that a user holding a large share of the events is not one task:
-    1. session windows inside (user, time bucket): the shuffle key includes the
-       bucket, so a hot user is spread over its buckets;
-    2. the partial sessions [s, e] of each user are merged with a session window
-       of dynamic gap (e - s) + gap, i.e. window [s, e + gap): neighbours closer
-       than the gap (which can only happen across a bucket edge) are joined.
-    Both phases are sort-based streaming merges (no group is held in memory).
+    1. Time is cut into cells of one gap. Events of a user in one cell are always
+       in one session, so a plain aggregate with map-side combine leaves a row
+       per user and cell, however many events a user has.
+    2. The cells of a user in order: a cell starts a session when it begins more
+       than the gap after the end of the one before.
+    3. Cells are gathered per session. Pages are exploded first, so the set holds
+       the distinct pages of a session, not a list for each cell.
+
     The end is the last event; duration is whole minutes, truncated; pages are
     the sorted distinct page names.
     """
     gap_us = duration_micros(gap)
-    bucket_us = duration_micros(bucket)
     ts = F.col(ts_col)
     ev = events.where(F.col(user_col).isNotNull() & ts.isNotNull()).select(
         F.col(user_col).alias("username"),
         ts.alias("_ts"),
         F.col(page_col).alias("_page"),
-        F.floor(_epoch_micros(ts) / F.lit(bucket_us)).alias("_bucket"),
+        F.floor(_epoch_micros(ts) / F.lit(gap_us)).alias("_cell"),
     )
-    partial = ev.groupBy("username", "_bucket", F.session_window("_ts", f"{gap_us} microseconds").alias("_w")).agg(
+    cells = ev.groupBy("username", "_cell").agg(
         F.min("_ts").alias("_s"), F.max("_ts").alias("_e"), F.collect_set("_page").alias("_p")
     )
-    reach = (F.timestamp_diff("MICROSECOND", F.col("_s"), F.col("_e")) + F.lit(gap_us)) / F.lit(1_000_000)
-    dynamic_gap = F.make_interval(secs=reach.cast("decimal(18,6)"))
-    sessions = partial.groupBy("username", F.session_window("_s", dynamic_gap).alias("_w")).agg(
-        F.min("_s").alias("session_start"),
-        F.max("_e").alias("session_end"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_p")))).alias("pages_visited"),
+    order = Window.partitionBy("username").orderBy("_cell")
+    pause = F.timestamp_diff("MICROSECOND", F.lag("_e").over(order), F.col("_s"))
+    numbered = cells.withColumn("_new", F.when(pause <= gap_us, 0).otherwise(1)).withColumn(
+        "_session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    sessions = (
+        numbered.select("username", "_session", "_s", "_e", F.explode_outer("_p").alias("_page"))
+        .groupBy("username", "_session")
+        .agg(
+            F.min("_s").alias("session_start"),
+            F.max("_e").alias("session_end"),
+            F.array_sort(F.collect_set("_page")).alias("pages_visited"),
+        )
     )
     minutes = F.floor(F.timestamp_diff("MICROSECOND", F.col("session_start"), F.col("session_end")) / F.lit(MICROS_PER_MINUTE))
     return sessions.select(

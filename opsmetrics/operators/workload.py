@@ -11,24 +11,9 @@ from opsmetrics import rules
 from opsmetrics.functions import floor_days, is_open, rule_lookup
 from opsmetrics.sources.readers import coerce_dates
 
-# Upper bound on distinct operation types placed on every owner row of the
-# capacity grid. Types are a short code list (seven have rules); the guard makes
-# the bound explicit instead of assumed.
-MAX_TYPES = 10_000
-
-
-def distinct_types_value(df: DataFrame, type_col: str = "tipo", max_types: int = MAX_TYPES):
-    """Sorted distinct non-null types of the whole frame, as a scalar-subquery array.
-
-    Only the type column is scanned. Raises at run time when more than
-    ``max_types`` types exist.
-    """
-    types = df.select(type_col).where(F.col(type_col).isNotNull()).distinct()
-    arr = F.sort_array(F.collect_list(type_col))
-    checked = F.when(F.size(arr) <= max_types, arr).otherwise(
-        F.raise_error(F.lit(f"more than {max_types} operation types in the capacity grid"))
-    )
-    return types.select(checked).scalar()
+# The grid is joined on (owner salt, type bucket): so many of each, whatever the
+# number of owners and types, so that the join has many small keys.
+GRID_BUCKETS = 32
 
 
 def owner_type_stats(
@@ -72,7 +57,6 @@ STAT_FIELDS = ["_open", "_vel", "_ok"]
 
 def capacity_grid(
     stats: DataFrame,
-    types,
     ideal: Mapping[str, float] | None = None,
     owner_col: str = "operativo",
     type_col: str = "tipo",
@@ -80,24 +64,28 @@ def capacity_grid(
     """Every owner times every type, with the stats of the pair from
     ``owner_type_stats`` (NULL when the pair never occurs) and the spare capacity.
 
-    ``types`` is the sorted type list (``distinct_types_value`` of the
-    operations: a scan of the type column only). The stats are regrouped per
-    owner into a map type -> stats (at most one entry per type, so each group is
-    bounded by the type list); the list is exploded on every owner row and each
-    cell looks its stats up in the owner's map. No cross join and no join back.
+    Owners and types are the distinct values of the stats. Types are hashed into
+    buckets and owners into salts; each owner is repeated for every bucket and
+    each type for every salt, so the pairs come from an equi-join, with no list
+    of types in any row. The stats of the pair are then joined on (owner, type).
     """
-    entry = F.struct(F.col(type_col).alias("k"), F.struct(*STAT_FIELDS).alias("v"))
-    per_owner = stats.where(F.col(owner_col).isNotNull()).groupBy(owner_col).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col(type_col).isNotNull(), entry))).alias("_m")
+    # always true, but it keeps all columns of the stats in each of the three
+    # branches, above the aggregate: their plans stay equal, so the exchange
+    # of the one fact scan is reused
+    whole = (F.col("_open") >= 0) & (F.coalesce("_vel", F.lit(0.0)) >= 0) & (F.coalesce("_ok", F.lit(0.0)) >= 0)
+    pinned = stats.select(
+        F.when(whole, F.col(owner_col)).alias(owner_col), F.when(whole, F.col(type_col)).alias(type_col), *STAT_FIELDS
     )
-    grid = per_owner.select(owner_col, F.explode(types).alias(type_col), "_m")
-    cell = F.element_at(F.col("_m"), F.col(type_col))
+    n = F.lit(GRID_BUCKETS)
+    every = F.explode(F.sequence(F.lit(0), n - 1))
+    owners = pinned.select(owner_col).where(F.col(owner_col).isNotNull()).distinct()
+    owners = owners.select(owner_col, F.pmod(F.xxhash64(owner_col), n).cast("int").alias("_s"), every.alias("_b"))
+    types = pinned.select(type_col).where(F.col(type_col).isNotNull()).distinct()
+    types = types.select(type_col, F.pmod(F.xxhash64(type_col), n).cast("int").alias("_b"), every.alias("_s"))
+    grid = owners.join(types, ["_s", "_b"]).select(owner_col, type_col)
     ideal_rate = rule_lookup(type_col, ideal or rules.IDEAL_PER_MONTH, rules.DEFAULT_IDEAL)
     spare = F.greatest(ideal_rate - F.coalesce(F.col("_open"), F.lit(0)), F.lit(0)).cast("bigint")
-    return (
-        grid.select(owner_col, type_col, *[cell[f].alias(f) for f in STAT_FIELDS])
-        .withColumn("cargas_posibles_adicionales", spare)
-    )
+    return grid.join(pinned, [owner_col, type_col], "left").withColumn("cargas_posibles_adicionales", spare)
 
 
 def available_capacity(
@@ -114,8 +102,7 @@ def available_capacity(
     if state_col not in df.columns:
         return df.sparkSession.createDataFrame([], f"{owner_col} string, {type_col} string, cargas_posibles_adicionales bigint")
     stats = owner_type_stats(df, owner_col=owner_col, type_col=type_col, state_col=state_col, key=key)
-    types = distinct_types_value(df, type_col)
-    return capacity_grid(stats, types, ideal, owner_col, type_col).select(
+    return capacity_grid(stats, ideal, owner_col, type_col).select(
         owner_col, type_col, "cargas_posibles_adicionales"
     )
 

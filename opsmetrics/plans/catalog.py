@@ -10,24 +10,33 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsmetrics import rules, schema
-from opsmetrics.functions import round_half_even
+from opsmetrics.functions import quality_label, round_half_even
+from opsmetrics.functions.display import ALLOCATION_LABELS, with_labels
 from opsmetrics.operators import allocation, cycle, filters, forecast, ingest, loadlog, sessions, volume, workload
 from opsmetrics.plans import fixtures as fx
 from opsmetrics.plans import oracle as o
 from opsmetrics.session import checkpoint_dir
 from opsmetrics.streaming import sessionize_stream, start_sessions_sink
-from opsmetrics.sources.readers import coerce_dates, existing_keys
-from opsmetrics.sources.sinks import load_log_row
+from opsmetrics.sources.readers import (
+    coerce_dates,
+    existing_keys,
+    read_load_log,
+    read_operations,
+    read_sessions,
+    read_upload,
+)
+from opsmetrics.sources.sinks import append_operations, append_sessions, export_csv, load_log_row
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 # Fixed parameters of the registered queries.
 AS_OF = dt.datetime(2024, 1, 31)
 SUMMARY_DAYS = 30
+USAGE_DAYS = (7, 15, 60, 90)
 FILTER_YEARS = [1996, 1997]
 FILTER_MONTHS = ["1996-03", "1996-04"]
 FILTER_TYPES = ["A", "M", "Z"]
@@ -146,33 +155,33 @@ CMP_CTES = [
 ]
 
 DAILY_CTE = (
-    "daily AS (SELECT tipo AS serie, CAST(fecha_file AS DATE) AS ds, count(*) AS y FROM ops WHERE tipo IS NOT NULL GROUP BY 1, 2 "
+    "daily AS (SELECT tipo AS serie, CAST(fecha_file AS DATE) AS ds, count(*) AS y FROM ops "
+    f"WHERE tipo <> '{rules.ALL_SERIES}' GROUP BY 1, 2 "
     f"UNION ALL SELECT '{rules.ALL_SERIES}' AS serie, CAST(fecha_file AS DATE) AS ds, count(*) AS y FROM ops GROUP BY 2)"
 )
 
 STREAM_GAP, STREAM_WATERMARK = "6 hours", "1 hour"
-STREAM_TIMEOUT_S = 900
 SESSION_OUT = ["username", "session_start", "session_end", "duration_minutes"]
 
 
-def _is_directory(spark: SparkSession, path: str) -> bool:
-    """Directory test through the Hadoop FileSystem of the path (any scheme)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.getFileStatus(hpath).isDirectory()
+def _io_path(spark: SparkSession, name: str) -> str:
+    """A new place for a query that writes and reads back, in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/opsmetrics-{name}/{uuid.uuid4().hex}"
 
 
 def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 end to end: the events file as a file stream, watermarked session
     windows, the idempotent foreachBatch sink, ``availableNow``. Output and
     stream checkpoint live under the session's checkpoint folder. Returns the
-    sessions the watermark has closed, read back as a batch frame."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/opsmetrics-stream/{uuid.uuid4().hex}"
+    sessions the watermark has closed, read back as a batch frame. The stream
+    runs while the query is built, as a stream is an action; any failed batch is
+    an error here, also one whose rows went to the dead letters."""
+    base = _io_path(spark, "stream")
     events_path = f"{sf_dir.rstrip('/')}/events.parquet"
-    schema_ = spark.read.parquet(events_path).schema
-    reader = spark.readStream.schema(schema_)
-    if _is_directory(spark, events_path):  # a folder of part files streams as is
+    given = spark.read.parquet(events_path)
+    reader = spark.readStream.schema(given.schema)
+    files = given.inputFiles()
+    if len(files) != 1 or not files[0].endswith("/events.parquet"):  # a folder of part files streams as is
         source = reader.parquet(events_path)
     else:  # a single file: stream its folder, keeping only that file
         source = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -181,18 +190,98 @@ def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     stream = sessionize_stream(events, gap=STREAM_GAP, watermark=STREAM_WATERMARK)
     query = start_sessions_sink(stream, f"{base}/out", f"{base}/dead", f"{base}/checkpoint")
-    if not query.awaitTermination(STREAM_TIMEOUT_S):
-        query.stop()
-        raise TimeoutError(f"session stream did not finish within {STREAM_TIMEOUT_S} s")
-    if query.exception() is not None:
-        raise RuntimeError(f"session stream failed: {query.exception()}")
-    try:
-        out = spark.read.parquet(f"{base}/out")
-    except Exception:  # no micro-batch emitted a session
-        out = spark.createDataFrame([], fx.SESSIONS_SCHEMA)
+    query.awaitTermination()  # raises what ended the stream, if anything did
+    if query.dead_letters:
+        raise RuntimeError(f"batches in the dead letters {base}/dead: {query.dead_letters}")
+    # every stream with events writes at least one batch folder; one without any writes none
+    out = spark.read.parquet(f"{base}/out") if query.lastProgress else spark.createDataFrame([], schema.SESSIONS)
     return out.select(*SESSION_OUT, F.array_join("pages_visited", ",").alias("pages"))
 
 
+def _ops_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1: stored operations whose dates are text, one in seven of them unreadable."""
+    path = _io_path(spark, "operations")
+    ops = _ops(spark, sf_dir)
+    number = F.substring("file", 2, 9).cast("long")
+    text = F.when(F.pmod(number, F.lit(7)) == 0, F.lit("sin fecha")).otherwise(F.date_format("fecha_file", "d/M/yyyy"))
+    ops.withColumn("fecha_file", text).withColumn("fecha_cierre", F.col("fecha_cierre").cast("string")).write.parquet(path)
+    return read_operations(spark, path, day_first=True).select("file", "tipo", "operativo", "fecha_file", "fecha_cierre", "estado")
+
+
+def _append_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6: two appends; the written counts are the observed ones."""
+    path = _io_path(spark, "append")
+    ops = _ops(spark, sf_dir)
+    first = append_operations(ops.where("estado is null"), path)
+    second = append_operations(ops.where("estado is not null"), path)
+    return read_operations(spark, path).agg(
+        F.lit(first).cast("long").alias("primera"),
+        F.lit(second).cast("long").alias("segunda"),
+        F.count(F.lit(1)).alias("filas"),
+        F.countDistinct("file").alias("claves"),
+    )
+
+
+def _upload_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _io_path(spark, "upload")
+    export_csv(fx.awkward_upload(spark, sf_dir), path)
+    return read_upload(spark, path).drop("_ordinal")
+
+
+def _export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9, read back with the plain reader and the quoting that spreadsheets use."""
+    path = _io_path(spark, "export")
+    export_csv(fx.awkward_upload(spark, sf_dir), path)
+    return spark.read.csv(path, header=True, escape='"', multiLine=True)
+
+
+def _load_log_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _io_path(spark, "loads")
+    fx.load_log(spark, sf_dir).write.parquet(path)
+    return read_load_log(spark, path).select("fecha_carga", "registros_limpios", "registros_duplicados")
+
+
+def _sessions_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 and S5: appended sessions, read back from a day on."""
+    path = _io_path(spark, "sessions")
+    if not append_sessions(fx.sessions(spark, sf_dir), path, f"{path}-dead"):
+        raise RuntimeError(f"the sessions went to the dead letters {path}-dead")
+    return read_sessions(spark, path, since=AS_OF - dt.timedelta(days=SUMMARY_DAYS)).select(*SESSION_OUT)
+
+
+def _sessions_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8: a sink that cannot be written; the rows and the error text are kept."""
+    path = _io_path(spark, "dead")
+    append_sessions(fx.sessions(spark, sf_dir), path, f"{path}-dead", fmt="no_such_format")
+    dead = spark.read.json(f"{path}-dead")
+    return dead.select("username", "duration_minutes", F.contains("error", F.lit("no_such_format")).alias("con_error"))
+
+
+def _forecast_checks(ops: DataFrame) -> DataFrame:
+    """What must hold of each fitted series, whatever the fit."""
+    fitted = forecast.forecast(forecast.daily_series(ops))
+    order = Window.partitionBy("serie").orderBy("ds")
+    width = F.col("yhat_upper") - F.col("yhat_lower")
+    past = F.col("nth") > F.col("n") - rules.FORECAST_HORIZON_DAYS
+    rows = fitted.withColumns(
+        {
+            "narrower": width < F.lag(width).over(order) - 1e-9,
+            "nth": F.row_number().over(order),
+            "n": F.count(F.lit(1)).over(Window.partitionBy("serie")),
+        }
+    )
+    inside = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    parts = F.col("trend") + F.col("weekly") + F.col("yearly")
+    return rows.groupBy("serie").agg(
+        F.count(F.lit(1)).alias("filas"),
+        F.min("ds").alias("primer_dia"),
+        F.max("ds").alias("ultimo_dia"),
+        F.count_if(inside).alias("en_banda"),
+        F.count_if(F.abs(F.col("yhat") - parts) <= 1e-6 * F.greatest(F.abs("yhat"), F.lit(1.0))).alias("aditivas"),
+        F.count_if(past & F.col("narrower")).alias("mas_estrechas"),
+    )
+
+
 SINCE = f"TIMESTAMP '{(AS_OF - dt.timedelta(days=SUMMARY_DAYS)).isoformat(sep=' ')}'"
 
 
@@ -221,13 +310,28 @@ def _spark_queries() -> dict[str, Builder]:
 
     def _log_entry(s, d):
         a = _upload(s, d)
-        return load_log_row(a.counts, a.quality).select("registros_limpios", "registros_duplicados")
+        record = lambda r: F.concat_ws(":", r["campo"], r["registros_faltantes"].cast("string"), r["porcentaje"])
+        return load_log_row(a.counts, a.quality).select(
+            "registros_limpios", "registros_duplicados", F.array_join(F.transform("calidad_json", record), ",").alias("calidad")
+        )
 
     q["load_log_entry"] = _log_entry
     q["load_log_kpis"] = lambda s, d: loadlog.load_log_kpis(fx.load_log(s, d))
     q["latest_load_quality"] = lambda s, d: loadlog.latest_load_quality(fx.load_log(s, d))
 
+    q["upload_bad_dates"] = lambda s, d: _upload(s, d).bad_dates
+
+    # sources and sinks, written to the shared folder and read back
+    q["ops_read"] = _ops_read
+    q["append_operations"] = _append_operations
+    q["upload_csv_roundtrip"] = _upload_csv
+    q["export_csv_roundtrip"] = _export_csv
+    q["load_log_read"] = _load_log_read
+    q["sessions_since"] = _sessions_since
+    q["sessions_dead_letter"] = _sessions_dead_letter
+
     # filters
+    q["filter_facets_years"] = lambda s, d: filters.labelled_facets(filters.filter_facets(_ops(s, d), FILTER_YEARS))
     q["filter_global"] = lambda s, d: filters.apply_filters(
         _ops(s, d), FILTER_YEARS, FILTER_MONTHS, FILTER_TYPES, FILTER_OWNERS
     ).select("file", "tipo", "operativo", "fecha_file")
@@ -276,11 +380,15 @@ def _spark_queries() -> dict[str, Builder]:
         "eficacia_historica",
     )
 
+    q["allocation_top_labelled"] = lambda s, d: with_labels(q["allocation_top"](s, d), ALLOCATION_LABELS)
+
     # forecast
     q["daily_series"] = lambda s, d: forecast.daily_series(_ops(s, d))
     q["forecast_eligible"] = lambda s, d: forecast.forecast_eligible(forecast.daily_series(_ops(s, d)))
     q["forecast"] = lambda s, d: forecast.forecast(forecast.daily_series(_ops(s, d)))
 
+    q["forecast_checks"] = lambda s, d: _forecast_checks(_ops(s, d))
+
     # sessions
     q["sessionize"] = lambda s, d: fx.sessions(s, d).select(
         "username", "session_start", "session_end", "duration_minutes", F.array_join("pages_visited", ",").alias("pages")
@@ -288,6 +396,10 @@ def _spark_queries() -> dict[str, Builder]:
     q["session_summary"] = lambda s, d: r6(
         sessions.session_summary(fx.sessions(s, d), AS_OF, SUMMARY_DAYS), "avg_duration_minutes", "total_hours"
     )
+    for days in USAGE_DAYS:
+        q[f"session_summary_{days}"] = lambda s, d, days=days: r6(
+            sessions.session_summary(fx.sessions(s, d), AS_OF, days), "avg_duration_minutes", "total_hours"
+        )
     q["sessions_by_user"] = lambda s, d: sessions.sessions_by_user(fx.sessions(s, d), AS_OF, SUMMARY_DAYS)
     q["sessions_by_day"] = lambda s, d: sessions.sessions_by_day(fx.sessions(s, d), AS_OF, SUMMARY_DAYS)
     q["recent_sessions"] = lambda s, d: sessions.recent_sessions(fx.sessions(s, d))
@@ -317,14 +429,48 @@ def _oracle() -> dict[str, str]:
         f"count(*) AS total FROM upload_new"
         for f in rules.QUALITY_FIELDS
     )
+    quality_order = " UNION ALL ".join(
+        f"SELECT {pos} AS pos, '{quality_label(f)}' AS campo, count(*) FILTER (WHERE {f} = '{rules.PLACEHOLDER}') AS registros_faltantes, "
+        "count(*) AS total FROM upload_new"
+        for pos, f in enumerate(rules.QUALITY_FIELDS)
+    )
     sql["quality_summary"] = w(*UPLOAD) + (
         f"SELECT campo, registros_faltantes, round_even(registros_faltantes / total * 100, 6) AS porcentaje "
         f"FROM ({quality_parts}) WHERE total > 0"
     )
     sql["load_log_entry"] = w(*UPLOAD) + (
         "SELECT (SELECT count(*) FROM upload_new) AS registros_limpios, "
-        "(SELECT count(*) FROM upload_duplicates) + (SELECT count(*) FROM upload_existing) AS registros_duplicados"
-    )
+        "(SELECT count(*) FROM upload_duplicates) + (SELECT count(*) FROM upload_existing) AS registros_duplicados, "
+        "(SELECT string_agg(concat(campo, ':', registros_faltantes, ':', "
+        "printf('%.1f%%', round_even(registros_faltantes / total * 100, 1))), ',' ORDER BY pos) "
+        f"FROM ({quality_order}) WHERE total > 0) AS calidad"
+    )
+    sql["upload_bad_dates"] = w(*UPLOAD) + " UNION ALL ".join(
+        f"SELECT '{c}' AS campo, count(*) FILTER (WHERE {c} IS NULL AND upper({o.strip(raw)}) NOT IN "
+        f"({', '.join(repr(t) for t in rules.MISSING_TOKENS)})) AS fechas_ilegibles FROM "
+        f"(SELECT r.*, {o.parse_ts(raw)} AS {c} FROM raw_upload r WHERE {o.clean('r.\"File\"')} <> '{rules.PLACEHOLDER}')"
+        for c, raw in (("fecha_file", '"Fecha File"'), ("fecha_cierre", '"Fecha Cierre"'), ("fecha_primera_factura", '"Fch Primera Fact Prov"'))
+    )
+    sql["ops_read"] = w(OPS) + (
+        "SELECT file, tipo, operativo, CAST(CAST(fecha_file AS DATE) AS TIMESTAMP) AS fecha_file, fecha_cierre, estado FROM ops "
+        "WHERE CAST(substr(file, 2, 9) AS BIGINT) % 7 <> 0"
+    )
+    sql["append_operations"] = w(OPS) + (
+        "SELECT count(*) FILTER (WHERE estado IS NULL) AS primera, count(*) FILTER (WHERE estado IS NOT NULL) AS segunda, "
+        "count(*) AS filas, count(DISTINCT file) AS claves FROM ops"
+    )
+    awkward = (
+        "SELECT l_orderkey || '-' || l_linenumber AS clave, '  say \"' || l_returnflag || '\", x ' AS cita, "
+        "'a,' || l_orderkey || '-' || l_linenumber || chr(10) || 'line two' || chr(13) || chr(10) || 'three ' AS lineas, "
+        "CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS nulo FROM lineitem"
+    )
+    sql["upload_csv_roundtrip"] = awkward
+    sql["export_csv_roundtrip"] = awkward
+    sql["load_log_read"] = w(o.LOAD_LOG_CTE) + "SELECT fecha_carga, registros_limpios, registros_duplicados FROM load_log"
+    sql["sessions_since"] = w(o.SESSIONS_CTE) + (
+        f"SELECT username, session_start, session_end, duration_minutes FROM sessions WHERE session_start >= {SINCE}"
+    )
+    sql["sessions_dead_letter"] = w(o.SESSIONS_CTE) + "SELECT username, duration_minutes, true AS con_error FROM sessions"
     sql["load_log_kpis"] = w(o.LOAD_LOG_CTE) + (
         "SELECT * FROM (SELECT count(*) AS total_cargas, CAST(sum(registros_limpios) AS BIGINT) AS total_limpios, "
         "CAST(sum(registros_duplicados) AS BIGINT) AS total_descartados, "
@@ -353,6 +499,14 @@ def _oracle() -> dict[str, str]:
         "UNION SELECT 'tipo', tipo FROM ops WHERE tipo IS NOT NULL "
         "UNION SELECT 'operativo', operativo FROM ops WHERE operativo IS NOT NULL"
     )
+    months_es = ", ".join(f"'{m.capitalize()}'" for m in rules.MONTH_NAMES_ES)
+    sql["filter_facets_years"] = w(OPS) + (
+        "SELECT 'anio' AS facet, CAST(year(fecha_file) AS VARCHAR) AS value, CAST(year(fecha_file) AS VARCHAR) AS etiqueta FROM ops "
+        f"UNION SELECT 'mes', strftime(fecha_file, '%Y-%m'), ([{months_es}])[month(fecha_file)] || ' ' || year(fecha_file) FROM ops "
+        f"WHERE year(fecha_file) IN ({years}) "
+        "UNION SELECT 'tipo', tipo, tipo FROM ops WHERE tipo IS NOT NULL "
+        "UNION SELECT 'operativo', operativo, operativo FROM ops WHERE operativo IS NOT NULL"
+    )
     sql["open_ops"] = w(OPS) + f"SELECT file, operativo, tipo, estado FROM ops WHERE {o.OPEN}"
     sql["closed_durations"] = w(OPS, o.CLOSED_CTE) + f"SELECT {CLOSED_COLS} FROM closed"
 
@@ -434,6 +588,14 @@ def _oracle() -> dict[str, str]:
         " ORDER BY indice_estrategico DESC, tipo, operativo LIMIT 15"
     )
 
+    names = ", ".join(f'{c} AS "{label}"' for c, label in ALLOCATION_LABELS.items())
+    sql["allocation_top_labelled"] = f"SELECT {names} FROM ({sql['allocation_top']})"
+    sql["forecast_checks"] = w(OPS, DAILY_CTE) + (
+        f"SELECT serie, count(*) + {rules.FORECAST_HORIZON_DAYS} AS filas, min(ds) AS primer_dia, "
+        f"CAST(max(ds) + {rules.FORECAST_HORIZON_DAYS} AS DATE) AS ultimo_dia, count(*) + {rules.FORECAST_HORIZON_DAYS} AS en_banda, "
+        f"count(*) + {rules.FORECAST_HORIZON_DAYS} AS aditivas, 0 AS mas_estrechas FROM daily GROUP BY serie "
+        f"HAVING sum(y) >= {rules.FORECAST_MIN_ROWS} AND count(*) >= {rules.FORECAST_MIN_DAYS}"
+    )
     sql["daily_series"] = w(OPS, DAILY_CTE) + "SELECT serie, ds, y FROM daily"
     sql["forecast_eligible"] = w(OPS, DAILY_CTE) + (
         "SELECT serie, CAST(sum(y) AS BIGINT) AS filas, count(*) AS dias FROM daily GROUP BY serie "
@@ -450,6 +612,9 @@ def _oracle() -> dict[str, str]:
         f"round_even(CAST(sum(duration_minutes) AS DOUBLE) / 60.0, 6) AS total_hours FROM sessions "
         f"WHERE session_start >= {SINCE}) WHERE total_sessions > 0"
     )
+    for days in USAGE_DAYS:
+        since = f"TIMESTAMP '{(AS_OF - dt.timedelta(days=days)).isoformat(sep=' ')}'"
+        sql[f"session_summary_{days}"] = sql["session_summary"].replace(SINCE, since)
     sql["sessions_by_user"] = w(o.SESSIONS_CTE) + (
         f"SELECT username, count(*) AS sesiones FROM sessions WHERE session_start >= {SINCE} "
         "AND username IS NOT NULL GROUP BY 1"

@@ -11,25 +11,16 @@ from pyspark.sql import functions as F
 
 from opsmetrics.functions import round_half_even
 from opsmetrics.operators.sessions import sessionize
-from opsmetrics.sources.readers import prepare_operations, spread
+from opsmetrics.sources.readers import prepare_operations
 from opsmetrics.sources.sinks import to_contract
 
-SESSIONS_SCHEMA = (
-    "username string, session_start timestamp_ntz, session_end timestamp_ntz, "
-    "duration_minutes bigint, pages_visited array<string>"
-)
-
 # Fixture type letters by o_orderkey % 8; Z is a type without rules.
 TYPE_CODES = "AMFBSTCZ"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_keys: list[str] | None = None) -> DataFrame:
-    """A generated table. With ``spread_keys``, a scan with fewer splits than
-    cores is hash-spread on those (unique) keys; see ``sources.readers.spread``.
-    Used where the per-row work after the scan is heavy (text cleaning of the
-    upload, sessionization); measured slower for light aggregations."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, spread_keys) if spread_keys else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A generated table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def type_code(orderkey: Column) -> Column:
@@ -45,7 +36,6 @@ def _owner(custkey: Column, narrow: bool) -> Column:
 
 def operations(spark: SparkSession, sf_dir: str, narrow: bool = False) -> DataFrame:
     """`ops` (or `ops_narrow`): one operation per order, client name from customer."""
-    # no spread: the per-row work here is light, a repartition costs more than it saves
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     # one name per customer key: with the key unique on this side, Catalyst drops
     # the outer join from every plan that does not read the client name
@@ -72,10 +62,21 @@ def upload_file_text(orderkey: Column, linenumber: Column) -> Column:
     return F.concat(F.lit(" l"), orderkey.cast("string"), F.lit("-"), linenumber.cast("string"), F.lit(" "))
 
 
+#: How the fixture writes the date of a line, by line number; others are ISO and 7 is no date.
+DATE_TEXTS = {2: "dd/MM/yyyy", 3: "dd-MM-yyyy", 4: "yyyy/MM/dd", 5: "MM/dd/yy", 6: "MM/dd/yyyy hh:mm a"}
+
+
+def upload_date_text(day: Column, linenumber: Column) -> Column:
+    text = F.when(linenumber == 7, F.lit("bad-date"))
+    for line, layout in DATE_TEXTS.items():
+        text = text.when(linenumber == line, F.date_format(day, layout))
+    return text.otherwise(day.cast("string"))
+
+
 def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`raw_upload`: an uploaded sheet, every column text, headers as uploaded,
     plus ``_ordinal`` (the sheet order within a key)."""
-    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"]).select(
+    li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     )
@@ -106,7 +107,7 @@ def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("com"), F.pmod(F.col("l_suppkey"), F.lit(20)).cast("string")))
         .alias("Comercial"),
         F.col("l_linestatus").alias("Estado"),
-        F.when(ln == 7, F.lit("bad-date")).otherwise(F.to_date("o_orderdate").cast("string")).alias("Fecha File"),
+        upload_date_text(F.to_date("o_orderdate"), ln).alias("Fecha File"),
         ship_text.alias("Fecha Cierre"),
         ship_text.alias("Fch Primera Fact Prov"),
         F.col("l_returnflag").alias("Envío Facturar"),
@@ -114,9 +115,21 @@ def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def awkward_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`awkward_upload`: text with quotes, commas, line breaks and outer blanks."""
+    li = table(spark, sf_dir, "lineitem")
+    key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    return li.select(
+        key.alias("clave"),
+        F.concat(F.lit('  say "'), F.col("l_returnflag"), F.lit('", x ')).alias("cita"),
+        F.concat(F.lit("a,"), key, F.lit("\nline two\r\nthree ")).alias("lineas"),
+        F.when(F.pmod("l_linenumber", F.lit(2)) == 0, F.col("l_linestatus")).alias("nulo"),
+    )
+
+
 def existing_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`existing_ops`: keys already stored (raw form), those of orders with key % 3 = 0."""
-    li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"])
+    li = table(spark, sf_dir, "lineitem")
     return (
         li.where((F.col("l_quantity") != 1) & (F.pmod(F.col("l_orderkey"), F.lit(3)) == 0))
         .select(upload_file_text(F.col("l_orderkey"), F.col("l_linenumber")).alias("file"))
@@ -149,7 +162,7 @@ def load_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_with_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events", ["event_id"])
+    ev = table(spark, sf_dir, "events")
     return ev.select(
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"), "ts", "event_type"
     )

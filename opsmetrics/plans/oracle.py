@@ -44,7 +44,9 @@ def clean(x: str) -> str:
 
 
 def parse_ts(x: str) -> str:
-    return f"coalesce(try_cast({strip(x)} AS TIMESTAMP), try_strptime({strip(x)}, '%m/%d/%Y'))"
+    layouts = ["%m/%d/%Y %I:%M %p", "%m/%d/%Y", "%m-%d-%Y", "%m/%d/%y", "%d/%m/%Y", "%d-%m-%Y", "%d/%m/%y", "%Y/%m/%d"]
+    iso = f"CASE WHEN regexp_matches({strip(x)}, '^[0-9]{{4}}-') THEN try_cast({strip(x)} AS TIMESTAMP) END"
+    return f"coalesce({iso}, " + ", ".join(f"try_strptime({strip(x)}, '{f}')" for f in layouts) + ")"
 
 
 def r6(x: str) -> str:
@@ -108,7 +110,10 @@ RAW_UPLOAD_CTE = f"""raw_upload AS (
     CASE WHEN l.l_tax = 0 THEN NULL ELSE ' op' || CAST(l.l_suppkey AS VARCHAR) END AS "Operativo",
     CASE WHEN l.l_returnflag = 'N' THEN 'na' ELSE 'com' || CAST(l.l_suppkey % 20 AS VARCHAR) END AS "Comercial",
     l.l_linestatus AS "Estado",
-    CASE WHEN l.l_linenumber = 7 THEN 'bad-date' ELSE CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) END AS "Fecha File",
+    CASE l.l_linenumber WHEN 7 THEN 'bad-date' WHEN 2 THEN strftime(CAST(o.o_orderdate AS DATE), '%d/%m/%Y')
+         WHEN 3 THEN strftime(CAST(o.o_orderdate AS DATE), '%d-%m-%Y') WHEN 4 THEN strftime(CAST(o.o_orderdate AS DATE), '%Y/%m/%d')
+         WHEN 5 THEN strftime(CAST(o.o_orderdate AS DATE), '%m/%d/%y') WHEN 6 THEN strftime(CAST(o.o_orderdate AS DATE), '%m/%d/%Y') || ' 12:00 AM'
+         ELSE CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) END AS "Fecha File",
     CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR) AS "Fecha Cierre",
     CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR) AS "Fch Primera Fact Prov",
     l.l_returnflag AS "Envío Facturar",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names and order of the stored columns.
 # Text columns cleaned on ingest, in the order the upload step treats them.
 TEXT_COLUMNS = [
     "file", "nit_cliente", "cliente", "tipo",
@@ -39,15 +40,6 @@ QUALITY_RECORD = T.StructType(
     ]
 )
 
-LOAD_LOG = T.StructType(
-    [
-        T.StructField("registros_limpios", T.LongType()),
-        T.StructField("registros_duplicados", T.LongType()),
-        T.StructField("calidad_json", T.ArrayType(QUALITY_RECORD)),
-        T.StructField("fecha_carga", T.TimestampNTZType()),
-    ]
-)
-
 SESSIONS = T.StructType(
     [
         T.StructField("username", T.StringType()),

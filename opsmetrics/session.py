@@ -42,9 +42,7 @@ def build_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in (extra_conf or {}).items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
-    checkpoint_dir(spark)
-    return spark
+    return builder.getOrCreate()
 
 
 def cluster_settings(
@@ -78,7 +76,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    given. Only a session without it (local tests) gets a fresh temporary folder.
+    given; without it there is an error, as executors would not see a folder of
+    the driver. Only a session on a local master gets a fresh temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -86,6 +85,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="opsmetrics-ckpt-")
     sc.setCheckpointDir(local)
     return local

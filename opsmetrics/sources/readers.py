@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsmetrics import schema
+from opsmetrics import rules, schema
 from opsmetrics.functions import parse_timestamp, strip_all, to_timestamp_ntz, ts_literal
 
 
@@ -18,51 +18,54 @@ def _load(spark: SparkSession, path: str | None, fmt: str, options: dict | None)
     return reader.load(path) if path is not None else reader.load()
 
 
-def spread(df: DataFrame, keys: list[str] | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Hash-repartition a scan only when it yields fewer partitions than the
-    cluster has cores (for example one large parquet row group, which a single
-    task must read). Large inputs already split into many partitions and are
-    returned unchanged, so no shuffle is added at scale. Hash keys should be
-    unique or near-unique so that no partition gets a hot key.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # no RDD view (e.g. a remote session): leave the scan as it is
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
-
-
-def coerce_dates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def coerce_dates(df: DataFrame, columns: list[str] | None = None, day_first: bool = False) -> DataFrame:
     """Coerce the date columns that exist: text is parsed (bad -> NULL), dates and
-    timestamps are cast to timestamp_ntz. Absent columns are left absent."""
+    timestamps are cast to timestamp_ntz. Absent columns are left absent.
+    ``day_first`` settles text such as 03/04/2024; text that is a date in one
+    order only is read in that order either way."""
     present = [c for c in (columns or schema.DATE_COLUMNS) if c in df.columns]
     replaced = {}
     for name in present:
         dtype = df.schema[name].dataType
         if isinstance(dtype, T.StringType):
-            replaced[name] = parse_timestamp(name)
+            replaced[name] = parse_timestamp(name, day_first=day_first)
         elif not isinstance(dtype, T.TimestampNTZType):
             replaced[name] = to_timestamp_ntz(name)
     return df.withColumns(replaced) if replaced else df
 
 
-def prepare_operations(df: DataFrame, date_columns: list[str] | None = None) -> DataFrame:
+def unreadable_dates(df: DataFrame, columns: list[str] | None = None, day_first: bool = False) -> DataFrame:
+    """Per text date column: how many non-blank values cannot be read as a date (one row per column)."""
+    present = [c for c in (columns or schema.DATE_COLUMNS) if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
+    if not present:
+        return df.sparkSession.createDataFrame([], "campo string, fechas_ilegibles bigint")
+    filled = lambda c: F.upper(strip_all(c)).isin(*rules.MISSING_TOKENS) == F.lit(False)
+    counts = df.agg(
+        *[F.count_if(filled(c) & parse_timestamp(c, day_first=day_first).isNull()).alias(f"_m{i}") for i, c in enumerate(present)]
+    )
+    stacked = ", ".join(f"'{c}', _m{i}" for i, c in enumerate(present))
+    return counts.select(F.expr(f"stack({len(present)}, {stacked}) AS (campo, fechas_ilegibles)"))
+
+
+def prepare_operations(df: DataFrame, date_columns: list[str] | None = None, day_first: bool = False) -> DataFrame:
     """Operations as the analyses expect them: dates coerced, rows without a
     ``fecha_file`` dropped."""
-    return coerce_dates(df, date_columns).dropna(subset=["fecha_file"])
+    return coerce_dates(df, date_columns, day_first).dropna(subset=["fecha_file"])
 
 
 def read_operations(
-    spark: SparkSession, path: str | None = None, fmt: str = "parquet", options: dict | None = None
+    spark: SparkSession,
+    path: str | None = None,
+    fmt: str = "parquet",
+    options: dict | None = None,
+    day_first: bool = False,
 ) -> DataFrame:
     """Read the whole operations table (parquet / csv / json / jdbc ...).
 
     For JDBC pass ``partitionColumn``, ``lowerBound``, ``upperBound`` and
     ``numPartitions`` in ``options`` so the read is split across executors.
     """
-    return prepare_operations(_load(spark, path, fmt, options))
+    return prepare_operations(_load(spark, path, fmt, options), day_first=day_first)
 
 
 def read_upload(
@@ -71,23 +74,32 @@ def read_upload(
     fmt: str = "csv",
     options: dict | None = None,
     ordinal_column: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read an uploaded sheet with every column as text, plus ``_ordinal``.
 
+    CSV is read as spreadsheets write it: quotes are doubled inside quotes, blanks
+    count, and a quoted value may hold line breaks. ``multi_line=False`` lets
+    Spark split large files that have no such value.
+
     ``_ordinal`` defines which copy of a duplicated key is "first". It comes from
     ``ordinal_column`` when the source carries one (row number of the sheet);
-    otherwise from ``monotonically_increasing_id()``, which follows file order
-    for one file read in splits and is stable when a task is retried.
+    otherwise it is the file name and the position in the file.
     """
-    opts = {"header": "true", "inferSchema": "false"} if fmt == "csv" else {}
+    opts = {}
+    if fmt == "csv":
+        opts = {"header": "true", "inferSchema": "false", "escape": '"', "multiLine": str(multi_line).lower()}
     opts.update(options or {})
     df = _load(spark, path, fmt, opts)
     text = [F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if c != ordinal_column]
     if ordinal_column is not None:
-        ordinal = F.col(ordinal_column).cast("bigint")
-    else:
-        ordinal = F.monotonically_increasing_id()
-    return df.select(*text, ordinal.alias("_ordinal"))
+        return df.select(*text, F.col(ordinal_column).cast("bigint").alias("_ordinal"))
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return df.select(*text, place.alias("_ordinal"))
 
 
 def stored_key_values(ops: DataFrame, key: str = "file") -> DataFrame:

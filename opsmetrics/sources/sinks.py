@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsmetrics import rules, schema
-from opsmetrics.functions import round_half_even, ts_literal
+from opsmetrics.functions import quality_label, round_half_even, ts_literal
 
 
 def _writer(df: DataFrame, fmt: str, mode: str, options: dict | None):
@@ -50,7 +50,7 @@ def load_log_row(counts: DataFrame, quality_df: DataFrame, loaded_at: dt.datetim
     the kept one) plus the keys that already existed, as the log always did.
     The quality records keep the field order of the summary.
     """
-    order = F.array(*[F.lit(f.title()) for f in rules.QUALITY_FIELDS])
+    order = F.array(*[F.lit(quality_label(f)) for f in rules.QUALITY_FIELDS])
     text = F.format_string("%.1f%%", round_half_even("porcentaje", 1))
     record = F.struct(
         F.array_position(order, F.col("campo")).alias("pos"),
@@ -109,13 +109,16 @@ def append_sessions(
 
 def write_dead_letter(rows: DataFrame, exc: Exception, path: str, mode: str = "append") -> None:
     """Write rows that could not be stored, with the error text, as JSON."""
-    message = f"{type(exc).__name__}: {exc}"[:2000]
+    message = f"{type(exc).__name__}: {exc}"
     rows.withColumn("error", F.lit(message)).write.mode(mode).json(path)
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Write a report as CSV with a header. Nested columns are written as JSON text.
 
+    Quotes are doubled and blanks kept, so spreadsheets and ``read_upload`` read
+    back the values as they were.
+
     ``single_file`` coalesces to one partition; use it only for small reports.
     """
     cols = []
@@ -127,4 +130,6 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     out = df.select(*cols)
     if single_file:
         out = out.coalesce(1)
-    out.write.mode("overwrite").option("header", "true").csv(path)
+    out.write.mode("overwrite").options(
+        header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false"
+    ).csv(path)

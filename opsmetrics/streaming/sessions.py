@@ -8,6 +8,7 @@ time is cast in the session time zone and cast back for the sink.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -52,27 +53,44 @@ def start_sessions_sink(
     path: str,
     dead_letter_path: str,
     checkpoint_location: str,
-    available_now: bool = True,
+    trigger: dict | None = None,
     fmt: str = "parquet",
 ) -> StreamingQuery:
     """Append streamed sessions through ``foreachBatch``.
 
-    Each micro-batch is written to its own ``batch_id=N`` folder with overwrite,
-    so a batch replayed after a failure replaces its earlier attempt instead of
-    duplicating it. A failed write goes to the dead-letter sink with the error.
+    Each micro-batch is written to its own ``run=<query id>/batch_id=N`` folder with
+    overwrite: a batch replayed after a failure replaces its earlier attempt, and
+    a new stream, whose batches count from 0 again, has a folder of its own.
+
+    The batch is computed first, so an error upstream ends the stream. Only a
+    failed write goes to the dead-letter sink, with the whole error text; the
+    query's ``dead_letters`` list names those batches. ``trigger`` takes the
+    arguments of ``DataStreamWriter.trigger`` (default: all available, then end);
+    the size of a micro-batch is set where the stream is read
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
     """
+    dead_letters: list[str] = []
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path.rstrip('/')}/batch_id={batch_id}"
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        place = f"run={run}/batch_id={batch_id}"
+        rows = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            batch.write.format(fmt).mode("overwrite").save(target)
-        except Exception as exc:  # the failure is the payload of the fallback sink
-            write_dead_letter(batch, exc, f"{dead_letter_path.rstrip('/')}/batch_id={batch_id}", "overwrite")
+            rows.count()
+            try:
+                rows.write.format(fmt).mode("overwrite").save(f"{path.rstrip('/')}/{place}")
+            except Exception as exc:  # the failure is the payload of the fallback sink
+                write_dead_letter(rows, exc, f"{dead_letter_path.rstrip('/')}/{place}", "overwrite")
+                dead_letters.append(place)
+        finally:
+            rows.unpersist()
 
-    writer = (
+    query = (
         sessions.writeStream.outputMode("append")
         .foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint_location)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    query.dead_letters = dead_letters
+    return query

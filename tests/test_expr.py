@@ -4,8 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from opsmetrics import rules
+from opsmetrics.functions.expr import normalize_text, placeholder_if_missing
 from opsmetrics.functions import (
-    clean_text_value,
     floor_days,
     is_open,
     level_of,
@@ -43,6 +43,16 @@ def test_parse_timestamp_coerces_and_nulls(spark):
     assert got == [D(1996, 3, 4), D(1996, 3, 4, 5, 6, 7), D(1996, 3, 4, 5, 6, 7), D(1996, 3, 4), D(1996, 3, 4), None, None, None]
 
 
+def test_parse_timestamp_layouts_in_both_orders(spark):
+    texts = ["25/12/2023", "25-12-2023", "2023/12/25", "12-25-2023", "Jan 2, 2024", "2 January 2024", "02/01/24", "1/2/2024 3:04 PM", "03/04/2024", "25.12.2023"]
+    data = [(t,) for t in texts]
+    xmas = D(2023, 12, 25)
+    month_first = [xmas, xmas, xmas, xmas, D(2024, 1, 2), D(2024, 1, 2), D(2024, 2, 1), D(2024, 1, 2, 15, 4), D(2024, 3, 4), xmas]
+    assert one(spark, parse_timestamp("s"), data, "s string") == month_first
+    day_first = [xmas, xmas, xmas, xmas, D(2024, 1, 2), D(2024, 1, 2), D(2024, 1, 2), D(2024, 2, 1, 15, 4), D(2024, 4, 3), xmas]
+    assert one(spark, parse_timestamp("s", day_first=True), data, "s string") == day_first
+
+
 def test_strip_all_unicode_whitespace(spark):
     data = [("\u00a0 ab\u3000",), ("\t\nx y\r",), (" ",), (None,)]
     assert one(spark, strip_all("s"), data, "s string") == ["ab", "x y", "", None]
@@ -50,7 +60,7 @@ def test_strip_all_unicode_whitespace(spark):
 
 def test_clean_text_value_tokens(spark):
     data = [(" nan ",), ("None",), ("na",), ("",), (None,), (" abc ",), (" NA ",), ("n/a",)]
-    got = one(spark, clean_text_value("s"), data, "s string")
+    got = one(spark, placeholder_if_missing(normalize_text("s")), data, "s string")
     p = rules.PLACEHOLDER
     assert got == [p, p, p, p, p, "ABC", p, "N/A"]
 

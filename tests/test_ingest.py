@@ -138,6 +138,6 @@ def test_read_upload_from_parquet_makes_text(spark, tmpdir_path):
     path = f"{tmpdir_path}/up.parquet"
     spark.createDataFrame([(1, dt.date(2024, 1, 2), 3.5)], "File int, `Fecha File` date, Monto double").write.parquet(path)
     up = read_upload(spark, path, fmt="parquet")
-    assert dict(up.dtypes) == {"File": "string", "Fecha File": "string", "Monto": "string", "_ordinal": "bigint"}
+    assert dict(up.dtypes) == {"File": "string", "Fecha File": "string", "Monto": "string", "_ordinal": "struct<file:string,block:bigint,row:bigint>"}
     row = up.first()
     assert (row["File"], row["Fecha File"]) == ("1", "2024-01-02")

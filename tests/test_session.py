@@ -1,16 +1,6 @@
 from pyspark.sql import functions as F
 
 from opsmetrics import checkpoint_dir
-from opsmetrics.sources.readers import spread
-
-
-def test_spread_only_when_fewer_partitions_than_cores(spark, tmpdir_path):
-    one = spark.range(1000).coalesce(1)
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(one, ["id"]).rdd.getNumPartitions() == cores
-    many = spark.range(1000).repartition(cores * 2)
-    assert spread(many, ["id"]) is many
-    assert sorted(r.id for r in spread(one, ["id"]).collect()) == list(range(1000))
 
 
 def test_checkpoint_dir_is_kept_once_set(spark):

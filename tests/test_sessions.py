@@ -74,29 +74,6 @@ def test_streaming_sessions_match_batch_and_drop_late_events(spark, tmpdir_path)
     assert not any("late" in r.pages_visited for r in again.collect())
 
 
-def test_bucketed_phases_equal_single_pass(spark):
-    import random
-
-    rng = random.Random(7)
-    data = []
-    for user in ("hot", "u1", "u2"):
-        t = T0
-        for _ in range(400 if user == "hot" else 40):
-            t += dt.timedelta(minutes=rng.choice([1, 5, 30, 90, 359, 360, 361, 600]))
-            data.append((user, t, rng.choice(["a", "b", "c"])))
-    ev = spark.createDataFrame(data, EV_SCHEMA)
-    cols = ("username", "session_start", "session_end", "duration_minutes", "pages_visited")
-    fine = rows(S.sessionize(ev, bucket="1 hour"), *cols)
-    coarse = rows(S.sessionize(ev, bucket="3650 days"), *cols)
-    assert fine == coarse
-    # brute force: split where the gap exceeds 6 hours
-    expected = 0
-    for user in ("hot", "u1", "u2"):
-        times = sorted(t for u, t, _ in data if u == user)
-        expected += 1 + sum(1 for a, b in zip(times, times[1:]) if b - a > dt.timedelta(hours=6))
-    assert len(fine) == expected
-
-
 def test_duration_micros():
     import pytest
 
@@ -133,9 +110,73 @@ def test_sessions_equal_python_brute_force(spark):
         for u, s in expected
     )
     ev = spark.createDataFrame(data, EV_SCHEMA)
-    for bucket in ("1 day", "2 hours"):
-        got = sorted(
-            (r.username, r.session_start, r.session_end, r.duration_minutes, list(r.pages_visited))
-            for r in S.sessionize(ev, bucket=bucket).collect()
-        )
-        assert got == want
+    got = sorted(
+        (r.username, r.session_start, r.session_end, r.duration_minutes, list(r.pages_visited)) for r in S.sessionize(ev).collect()
+    )
+    assert got == want
+
+
+def test_hot_user_is_combined_before_the_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    ev = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id"))).alias("username"),
+        F.timestamp_add("SECOND", F.col("id") % 80_000, F.lit(T0).cast("timestamp_ntz")).alias("ts"),
+        F.lit("view").alias("event_type"),
+    )
+    out = S.sessionize(ev)
+    assert out.where("username = 'hot'").count() == 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    first_exchange = plan.rindex("Exchange hashpartitioning(username")
+    assert "partial_" in plan[first_exchange:]  # below the first shuffle
+
+
+def _stream(spark, folder, name, **options):
+    stream = spark.readStream.schema(EV_SCHEMA).options(**options).parquet(f"{folder}/{name}")
+    return sessionize_stream(stream, gap="6 hours", watermark="1 hour")
+
+
+def test_second_stream_keeps_the_sessions_of_the_first(spark, tmpdir_path):
+    for user in ("x", "y"):
+        data = [(user, h(0), "view"), ("end", h(48), "view")]
+        spark.createDataFrame(data, EV_SCHEMA).coalesce(1).write.parquet(f"{tmpdir_path}/{user}")
+        q = start_sessions_sink(_stream(spark, tmpdir_path, user), f"{tmpdir_path}/out", f"{tmpdir_path}/dead", f"{tmpdir_path}/ckpt-{user}")
+        q.awaitTermination(120)
+        assert q.dead_letters == []
+    assert {r.username for r in spark.read.parquet(f"{tmpdir_path}/out").collect()} == {"x", "y"}
+
+
+def test_failed_write_is_reported_and_kept_whole(spark, tmpdir_path):
+    data = [("x", h(0), "view"), ("end", h(48), "view")]
+    spark.createDataFrame(data, EV_SCHEMA).coalesce(1).write.parquet(f"{tmpdir_path}/in")
+    q = start_sessions_sink(
+        _stream(spark, tmpdir_path, "in"), f"{tmpdir_path}/out", f"{tmpdir_path}/dead", f"{tmpdir_path}/ckpt", fmt="no_such_format"
+    )
+    q.awaitTermination(120)
+    assert q.dead_letters
+    dead = spark.read.json(f"{tmpdir_path}/dead").collect()
+    assert [r.username for r in dead if r.username] == ["x"] and "no_such_format" in dead[0].error
+
+
+def test_upstream_error_ends_the_stream(spark, tmpdir_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    data = [("x", h(0), "view"), ("end", h(48), "view")]
+    spark.createDataFrame(data, EV_SCHEMA).coalesce(1).write.parquet(f"{tmpdir_path}/in")
+    broken = _stream(spark, tmpdir_path, "in").withColumn("username", F.raise_error(F.lit("broken upstream")).cast("string"))
+    q = start_sessions_sink(broken, f"{tmpdir_path}/out", f"{tmpdir_path}/dead", f"{tmpdir_path}/ckpt")
+    with pytest.raises(Exception, match="broken upstream"):
+        q.awaitTermination(120)
+    assert q.dead_letters == []
+
+
+def test_several_micro_batches_equal_one(spark, tmpdir_path):
+    for i, data in enumerate([[("x", h(0), "a")], [("x", h(1), "b")], [("end", h(48), "view")]]):
+        spark.createDataFrame(data, EV_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmpdir_path}/in")
+    q = start_sessions_sink(
+        _stream(spark, tmpdir_path, "in", maxFilesPerTrigger=1), f"{tmpdir_path}/out", f"{tmpdir_path}/dead", f"{tmpdir_path}/ckpt"
+    )
+    q.awaitTermination(120)
+    got = [(r.username, r.session_start, r.session_end) for r in spark.read.parquet(f"{tmpdir_path}/out").collect()]
+    assert got == [("x", h(0), h(1))]

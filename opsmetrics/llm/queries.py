@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsmetrics.llm import decontaminate, exact_dedup, langid, licenses, ngram_join, packing, pii, pu_quality, rlz_dedup
+from opsmetrics.llm import decontaminate, exact_dedup, langid, licenses, ngram_join, packing, pii, pu_quality, rlz_dedup, suffix_dedup
 from opsmetrics.llm.common import crc_bucket, read_table
 
 
@@ -29,6 +29,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeated_bytes(read_table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = decontaminate.passage_blocks(read_table(spark, sf_dir, "benchmark"))
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), blocks)
@@ -85,6 +92,7 @@ FROM d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op5_license_scan": op5_license_scan,

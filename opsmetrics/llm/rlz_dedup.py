@@ -73,7 +73,7 @@ _CELL = pa.struct([("low", pa.int32()), ("high", pa.int32()), ("anchor", pa.int6
 _WINDOW = pa.struct([("place", pa.int32()), ("anchor", pa.int64()), ("hash", pa.int64())])
 
 
-def _lists(kind: pa.StructType, parts: list[tuple[np.ndarray, ...]]) -> pa.ListArray:
+def lists(kind: pa.StructType, parts: list[tuple[np.ndarray, ...]]) -> pa.ListArray:
     """A list of structs for each row, from its columns."""
     offsets = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts]))).astype(np.int32)
     columns = [
@@ -91,7 +91,7 @@ def _parse(own: DataFrame, length: int, anchor_words: int) -> DataFrame:
                 for t in batch.column(2)
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), _lists(_CELL, parts)], names=["doc_id", "text_hash", "cells"]
+                [batch.column(0), batch.column(1), lists(_CELL, parts)], names=["doc_id", "text_hash", "cells"]
             )
 
     return own.mapInArrow(
@@ -113,7 +113,7 @@ def _windows(with_cells: DataFrame, length: int) -> DataFrame:
                 anchor = np.repeat(np.array([c["anchor"] for c in cells], dtype=np.int64), times)
                 parts.append((place, anchor, range_hash(sums, place, place + length).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), _lists(_WINDOW, parts)], names=["doc_id", "text_hash", "windows"]
+                [batch.column(0), batch.column(1), lists(_WINDOW, parts)], names=["doc_id", "text_hash", "windows"]
             )
 
     return with_cells.select("doc_id", "text_hash", "text", "cells").mapInArrow(
@@ -146,7 +146,7 @@ def _cut(with_spans: DataFrame) -> DataFrame:
                     batch.column(0),
                     pa.array(total, pa.int64()),
                     pa.array(removed, pa.int64()),
-                    _lists(_SPAN, runs),
+                    lists(_SPAN, runs),
                     pa.array(kept, pa.string()),
                 ],
                 names=["doc_id", "n_words", "n_removed", "spans", "kept"],

@@ -18,7 +18,7 @@ import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from opsmetrics.plans.catalog import catalog  # noqa: E402
 from opsmetrics import build_session  # noqa: E402
 from opsmetrics.functions.expr import PY_WHITESPACE  # noqa: E402
 
@@ -64,14 +64,15 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     shapes = {}
-    for name, build in E.queries().items():
+    for name, query in catalog().items():
+        build = query.build
         spark.sparkContext.setJobGroup(name, name)
         df = build(spark, sf_dir)
         qe = df._jdf.queryExecution()
         qe.toRdd().count()  # runs this query execution, so its AQE plan is final
         plan = final_sections(qe.executedPlan().toString())
         counts = {k: len(re.findall(p, plan)) for k, p in PATTERNS.items()}
-        pushed = bool(re.search(r"PushedFilters: \[[^\]]+\]", plan))
+        pushed = bool(re.search(r"PushedFilters: \[[^\]]", plan))
         shapes[name] = (counts, pushed)
     spark.stop()
     group_of, rows_read = {}, {}

@@ -44,9 +44,12 @@ def clean(x: str) -> str:
 
 
 def parse_ts(x: str) -> str:
-    layouts = ["%m/%d/%Y %I:%M %p", "%m/%d/%Y", "%m-%d-%Y", "%m/%d/%y", "%d/%m/%Y", "%d-%m-%Y", "%d/%m/%y", "%Y/%m/%d"]
-    iso = f"CASE WHEN regexp_matches({strip(x)}, '^[0-9]{{4}}-') THEN try_cast({strip(x)} AS TIMESTAMP) END"
-    return f"coalesce({iso}, " + ", ".join(f"try_strptime({strip(x)}, '{f}')" for f in layouts) + ")"
+    layouts = ["%m/%d/%Y %I:%M %p", "%m/%d/%Y", "%m-%d-%Y", "%d/%m/%Y", "%d-%m-%Y", "%Y/%m/%d"]
+    iso = f"WHEN regexp_matches({strip(x)}, '^[0-9]{{4}}-') THEN try_cast({strip(x)} AS TIMESTAMP)"
+    short = f"WHEN regexp_matches({strip(x)}, '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}$') THEN " + (
+        f"coalesce(try_strptime({strip(x)}, '%m/%d/%y'), try_strptime({strip(x)}, '%d/%m/%y'))"
+    )
+    return f"(CASE {iso} {short} ELSE coalesce(" + ", ".join(f"try_strptime({strip(x)}, '{f}')" for f in layouts) + ") END)"
 
 
 def r6(x: str) -> str:

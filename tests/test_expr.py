@@ -44,12 +44,12 @@ def test_parse_timestamp_coerces_and_nulls(spark):
 
 
 def test_parse_timestamp_layouts_in_both_orders(spark):
-    texts = ["25/12/2023", "25-12-2023", "2023/12/25", "12-25-2023", "Jan 2, 2024", "2 January 2024", "02/01/24", "1/2/2024 3:04 PM", "03/04/2024", "25.12.2023"]
+    texts = ["25/12/2023", "25-12-2023", "2023/12/25", "12-25-2023", "Jan 2, 2024", "2 January 2024", "02/01/24", "1/2/2024 3:04 PM", "03/04/2024", "25.12.2023", "1/2/99"]
     data = [(t,) for t in texts]
     xmas = D(2023, 12, 25)
-    month_first = [xmas, xmas, xmas, xmas, D(2024, 1, 2), D(2024, 1, 2), D(2024, 2, 1), D(2024, 1, 2, 15, 4), D(2024, 3, 4), xmas]
+    month_first = [xmas, xmas, xmas, xmas, D(2024, 1, 2), D(2024, 1, 2), D(2024, 2, 1), D(2024, 1, 2, 15, 4), D(2024, 3, 4), xmas, D(1999, 1, 2)]
     assert one(spark, parse_timestamp("s"), data, "s string") == month_first
-    day_first = [xmas, xmas, xmas, xmas, D(2024, 1, 2), D(2024, 1, 2), D(2024, 1, 2), D(2024, 2, 1, 15, 4), D(2024, 4, 3), xmas]
+    day_first = [xmas, xmas, xmas, xmas, D(2024, 1, 2), D(2024, 1, 2), D(2024, 1, 2), D(2024, 2, 1, 15, 4), D(2024, 4, 3), xmas, D(1999, 2, 1)]
     assert one(spark, parse_timestamp("s", day_first=True), data, "s string") == day_first
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,8 @@ from opsmetrics.llm.graph import components
 from opsmetrics.llm.words import mix, run_hashes, word_hashes
 
 _MINHASH_SEED = 20
+#: Grams in more sets than this are counted by matrix products of so many columns.
+_FEW, _COLUMNS = 12, 2048
 #: n-grams hashed at once; bounds a task's memory and keeps them in cache.
 _SLICE = 1 << 15
 
@@ -34,12 +35,37 @@ def choose_bands(threshold: float, recall: float, max_hashes: int) -> tuple[int,
     return best
 
 
-def grams(text: str, n: int) -> set[tuple[str, ...]]:
-    """The n-grams of the words; a text with fewer words is one gram, one without words has none."""
-    words = _split(text)
-    if len(words) < n:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[k:] for k in range(n))))
+def grams(text: str, n: int) -> np.ndarray:
+    """The set of n-grams of the words, as sorted 64-bit hashes; a text with fewer words is one gram, one without words has none."""
+    words = word_hashes(text.encode("utf-8", "surrogatepass"))
+    return np.unique(run_hashes(words, min(n, len(words)))) if len(words) else words
+
+
+def common_grams(sets: list[np.ndarray]) -> np.ndarray:
+    """How many grams each two sets share."""
+    common = np.zeros((len(sets), len(sets)), dtype=np.int32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    held = np.diff(np.append(first, len(flat)))
+    n = len(sets)
+    for size in range(2, _FEW + 1):  # grams of few sets: their pairs
+        own = owner[first[held == size][:, None] + np.arange(size)]
+        if len(own):
+            pairs = (own[:, :, None] * n + own[:, None, :]).ravel()
+            common += np.bincount(pairs, minlength=n * n).reshape(n, n).astype(np.int32)
+    many = np.flatnonzero(held > _FEW)
+    for begin in range(0, len(many), _COLUMNS):  # the others: a product of incidence matrices
+        part = many[begin : begin + _COLUMNS]
+        sizes = held[part]
+        column = np.repeat(np.arange(len(part)), sizes)
+        place = np.repeat(first[part] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        incidence = np.zeros((n, len(part)), dtype=np.float32)
+        incidence[owner[place], column] = 1
+        common += (incidence @ incidence.T).astype(np.int32)
+    return common
 
 
 _BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
@@ -110,30 +136,71 @@ def _sign(base: DataFrame, text_col: str, n: int, bands: int, rows: int) -> Data
     return base.withColumn("text", record_text(text_col)).mapInArrow(sign, schema)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) with the exact similarity of their full n-gram sets, those under the threshold too."""
+def _compare(texts: list[str], half: list[int], bands: np.ndarray, band: int, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the texts of one or two blocks of a bucket: links of each, and the smallest place it is joined to.
+
+    With two blocks only pairs across them count. ``bands`` holds the band hashes of
+    each text: a link counts in the first band that the two texts share, so it
+    counts once however many buckets hold both.
+    """
+    sets = [grams(t, n) for t in texts]
+    size = np.array([len(s) for s in sets])
+    side = np.array(half)
+    common = common_grams(sets)
+    linked = common >= threshold * (size[:, None] + size[None, :] - common)
+    np.fill_diagonal(linked, False)
+    if side.any():
+        linked &= side[:, None] != side[None, :]
+    label = np.arange(len(sets))
+    while True:
+        low = np.minimum(label, np.where(linked, label[None, :], len(sets)).min(axis=1))
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    count = np.zeros(len(sets), dtype=np.int64)
+    rows, columns = np.nonzero(linked)
+    first = np.concatenate(
+        [(bands[rows[k : k + 65536]] == bands[columns[k : k + 65536]]).argmax(axis=1) for k in range(0, len(rows), 65536)]
+        or [np.zeros(0, dtype=np.int64)]
+    )
+    np.add.at(count, rows[first == band], 1)
+    return count, label
+
+
+def _verify(parts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Compares the texts of each block pair on their full n-gram sets.
+
+    ``parts`` is sorted by block pair within its partitions. Returns a row for each
+    text with a link: the id it is joined to and the links that count here.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
+        key, held = None, []
+
+        def close() -> pa.RecordBatch | None:
+            if len(held) < 2:
+                return None
+            ids = [h["id"] for h in held]
+            bands = np.array([h["bands"] for h in held])
+            count, label = _compare([h["text"] for h in held], [h["half"] for h in held], bands, key[0], n, threshold)
+            joined = np.flatnonzero(label != np.arange(len(ids)))
+            rows = sorted({*joined.tolist(), *np.flatnonzero(count).tolist()})
+            columns = ([ids[i] for i in rows], [ids[label[i]] for i in rows], [int(count[i]) for i in rows])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n_links"])
+
         for batch in batches:
-            similar = []
-            for a, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if a != last:
-                    last, own = a, grams(text_a.as_py(), n)
-                other = grams(text_b.as_py(), n)
-                both = len(own & other)
-                similar.append(both / (len(own) + len(other) - both) if own or other else 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(similar, pa.float64())], names=["a", "b", "similarity"]
-            )
+            for row in batch.to_pylist():
+                own = (row["band"], row["hash"], row["low"], row["high"])
+                if own != key:
+                    if (out := close()) is not None:
+                        yield out
+                    key, held = own, []
+                held.append(row)
+        if (out := close()) is not None:
+            yield out
 
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return (
-        left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(compare, "a long, b long, similarity double")
-        .withColumn("linked", F.col("similarity") >= threshold)
-    )
+    return parts.mapInArrow(compare, "a long, b long, n_links long")
 
 
 def similar_classes(
@@ -144,25 +211,26 @@ def similar_classes(
     threshold: float = 0.8,
     recall: float = 0.9999,
     max_hashes: int = 128,
-    pivot_rounds: int = 5,
+    block_texts: int = 512,
+    block_chars: int = 4_000_000,
 ) -> DataFrame:
     """A row per document: ``doc_id``, ``class_id``, ``class_size``, ``n_links`` and ``kept``.
 
     Documents are linked when the sets of their word n-grams have a Jaccard
     similarity of ``threshold`` or more. Classes are the connected components,
     ``class_id`` the smallest doc_id of the class; that document is kept.
-    ``n_links`` counts the other texts that a document's text was compared with
-    and linked to; copies share it.
+    ``n_links`` counts the other texts that a document's text is linked to;
+    copies share it.
 
     1. Documents with the same word sequence become one text.
     2. MinHash bands, chosen for ``recall`` at the threshold, are shuffled; a
-       bucket is the texts that share a band hash.
-    3. In a bucket the texts that are not yet in its largest class are compared
-       with one pivot text of that class, on their full sets, so the pairs stay
-       linear in the bucket. After ``pivot_rounds`` such rounds every pair of a
-       bucket whose texts are still in different classes, and that was not
-       compared, is compared. So no link between classes that shares a bucket is
-       lost; only links inside a class already joined are left uncompared.
+       bucket is the texts that share a band hash. Buckets of the same texts are one.
+    3. A bucket is dealt into blocks of about ``block_texts`` texts and
+       ``block_chars`` characters, and each block meets each: so every pair of a
+       bucket is compared on the full sets, in tasks of bounded size, however
+       large the bucket. A task returns a row for each text, never pairs: how
+       many links it has there and one text it is joined to.
+    4. The classes are the components of those joins.
 
     Null and empty texts, and texts of separators alone, have no n-gram: each
     is a class of its own. A text with fewer than ``n`` words is one gram. Rows
@@ -172,7 +240,7 @@ def similar_classes(
     """
     shared = Shared(docs.sparkSession, "ngrams")
     signed = shared.table(_sign(tagged(docs.select(id_col, text_col)), text_col, n, *choose_bands(threshold, recall, max_hashes)))
-    classes = _classes(signed, shared, id_col, text_col, n, threshold, pivot_rounds)
+    classes = _classes(signed, shared, id_col, text_col, n, threshold, block_texts, block_chars)
     return classes.select("doc_id", "class_id", "class_size", "n_links", "kept")
 
 
@@ -185,85 +253,66 @@ def keep_one(
     threshold: float = 0.8,
     recall: float = 0.9999,
     max_hashes: int = 128,
-    pivot_rounds: int = 5,
+    block_texts: int = 512,
+    block_chars: int = 4_000_000,
 ) -> DataFrame:
     """One document of each class, with all its columns. Cases as in ``similar_classes``."""
     signed = shared.table(_sign(tagged(docs), text_col, n, *choose_bands(threshold, recall, max_hashes)))
-    gone = shared.table(_classes(signed, shared, id_col, text_col, n, threshold, pivot_rounds).where("not kept").select("row"))
+    gone = shared.table(_classes(signed, shared, id_col, text_col, n, threshold, block_texts, block_chars).where("not kept").select("row"))
     return signed.join(gone, "row", "left_anti").select("record.*")
 
 
 def _classes(
-    signed: DataFrame, shared: Shared, id_col: str, text_col: str, n: int, threshold: float, pivot_rounds: int
+    signed: DataFrame, shared: Shared, id_col: str, text_col: str, n: int, threshold: float, block_texts: int, block_chars: int
 ) -> DataFrame:
     # one text for each word sequence, named by the smallest row that has it
     text_of = shared.table(signed.where("bands is not null").groupBy("digest").agg(F.min("row").alias("id")))
-    entries = shared.table(
-        signed.select("row", "bands")
-        .join(text_of.select(F.col("id").alias("row")), "row", "left_semi")
-        .select(F.col("row").alias("id"), F.posexplode("bands").alias("band", "hash"))
-    )
-    shared_bands = shared.table(
-        entries.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("id").alias("bucket_first")).where("n > 1")
-    )
-    members = shared.table(
-        entries.join(shared_bands.select("band", "hash", "bucket_first"), ["band", "hash"]).select(
-            F.xxhash64("band", "hash").alias("bucket"), "id", "bucket_first"
+    # joins with tables that grow with the input are merge joins at every size
+    sized = signed.select(F.col("row").alias("id"), "bands", F.length(record_text(text_col)).alias("chars"))
+    texts = sized.join(text_of.select("id").hint("merge"), "id", "left_semi")
+    entries = shared.table(texts.select("id", "chars", F.posexplode("bands").alias("band", "hash")))
+    # buckets with the same texts are one: the sums of two hashes name a set of ids
+    buckets = (
+        entries.groupBy("band", "hash")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("chars").alias("chars"),
+            F.sum(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40))).alias("set_1"),
+            F.sum(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 40))).alias("set_2"),
         )
+        .where("n > 1")
+        .groupBy("n", "chars", "set_1", "set_2")
+        .agg(F.min(F.struct("band", "hash")).alias("first"))
     )
-    shared.drop(entries, shared_bands)
-    texts = shared.table(
-        signed.select(F.col("row").alias("id"), record_text(text_col).alias("text")).join(
-            members.select("id").distinct(), "id", "left_semi"
-        )
+    blocks = F.greatest(F.ceil(F.col("n") / block_texts), F.ceil(F.col("chars") / block_chars)).cast("int")
+    buckets = shared.table(buckets.select("first.band", "first.hash", blocks.alias("blocks")))
+    members = entries.select("id", "band", "hash").join(buckets.hint("merge"), ["band", "hash"])
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
+    members = shared.table(members.select("id", "band", "hash", "blocks", own.alias("block")))
+    shared.drop(entries, buckets)
+    # every block meets itself and every other one: a text goes to as many pairs as its bucket has blocks
+    pairs = members.select(
+        "id", "band", "hash", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select(
+        "id",
+        "band",
+        "hash",
+        F.least("block", "other").alias("low"),
+        F.greatest("block", "other").alias("high"),
+        F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("half"),
     )
-
-    # first the pair of each text with the smallest text it shares any bucket with
-    pairs = members.where("id <> bucket_first").groupBy(F.col("id").alias("b")).agg(F.min("bucket_first").alias("a"))
-    found = [shared.table(_verify(pairs.select("a", "b"), texts, n, threshold))]
-    step = 0
-    while True:
-        step += 1
-        labels = components(_union(found).where("linked"), shared)
-        named = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select(
-            "bucket", "id", F.coalesce("label", "id").alias("label")
-        )
-        named = shared.table(named)
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        inside = shared.table(named.join(mixed.where("low <> high").select("bucket"), "bucket"))
-        shared.drop(labels, named)
-        sizes = inside.groupBy("bucket", "label").agg(
-            F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.col("id") + F.lit(step)).alias("h"), "id")).alias("pivot")
+    bodies = shared.table(
+        signed.select(F.col("row").alias("id"), record_text(text_col).alias("text"), "bands").join(
+            members.select("id").distinct().hint("merge"), "id", "left_semi"
         )
-        largest = shared.table(
-            sizes.groupBy("bucket")
-            .agg(F.max(F.struct("n", "label", "pivot")).alias("top"))
-            .select("bucket", F.col("top.label").alias("main"), F.col("top.pivot.id").alias("pivot"))
-        )
-        outside = inside.join(largest, "bucket").where("label <> main")
-        if step <= pivot_rounds:
-            new = outside.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        else:  # all that is left: texts outside the largest class with all of other classes
-            other = inside.select("bucket", F.col("id").alias("other"), F.col("label").alias("other_label"))
-            new = (
-                outside.join(other, "bucket")
-                .where("label <> other_label")
-                .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-            )
-        new = shared.table(new.distinct().join(_union(found).select("a", "b"), ["a", "b"], "left_anti"))
-        shared.drop(inside, largest)
-        if not new.isEmpty():
-            found.append(shared.table(_verify(new, texts, n, threshold)))
-        elif step <= pivot_rounds:
-            step = pivot_rounds  # every text was compared with these pivots; go on to what is left
-        shared.drop(new)
-        if step > pivot_rounds:
-            break
-    shared.drop(members, texts)
+    )
+    keys = ["band", "hash", "low", "high"]
+    parts = pairs.join(bodies.hint("merge"), "id").repartition(*keys).sortWithinPartitions(*keys)
+    found = shared.table(_verify(parts, n, threshold))
+    shared.drop(members, bodies)
 
-    links = _union(found).where("linked")
-    labels = components(links, shared)
-    degree = _union([links.select(F.col(c).alias("id")) for c in ("a", "b")]).groupBy("id").agg(F.count("*").alias("n_links"))
+    labels = components(found.where("a <> b"), shared)
+    degree = found.groupBy(F.col("a").alias("id")).agg(F.sum("n_links").alias("n_links"))
     per_text = (
         text_of.join(labels.withColumnRenamed("node", "id"), "id", "left")
         .join(degree, "id", "left")
@@ -271,7 +320,7 @@ def _classes(
     )
     named_rows = shared.table(
         signed.select("row", record_id(id_col).alias("doc_id"), "digest", F.col("bands").isNull().alias("blank"))
-        .join(shared.table(per_text), "digest", "left")
+        .join(shared.table(per_text).hint("merge"), "digest", "left")
         .select(
             "row",
             "doc_id",
@@ -279,7 +328,7 @@ def _classes(
             F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         )
     )
-    shared.drop(text_of, labels, *found)
+    shared.drop(text_of, labels, found)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     classes = shared.table(
         named_rows.groupBy("label")
@@ -289,7 +338,3 @@ def _classes(
     return named_rows.join(classes, "label").select(
         "doc_id", "class_id", "class_size", "n_links", (F.col("row") == F.col("first_row")).alias("kept"), "row"
     )
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionAll, frames)

@@ -1,6 +1,6 @@
 """Benchmark decontamination by q-gram filtering and banded alignment.
 
-Benchmark texts are cut into passages. A passage of m characters that occurs in
+Benchmark texts are cut into passages: the whole and overlapping windows. A passage of m characters that occurs in
 a document with at most k edits shares at least ``m - q + 1 - k * q`` of its
 q-grams with it (the q-gram lemma), all within a band of diagonals no wider than
 k. Diagonals are dealt into bands that overlap by half, so one band holds them
@@ -23,6 +23,8 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SLOT_BITS = 22
 #: Documents are searched together up to so many characters, a longer one alone.
 _TOGETHER = 1 << 20
+#: So many passages of one length are aligned at once.
+_ALIGNED = 4096
 
 
 def fold(text: str) -> np.ndarray:
@@ -59,28 +61,28 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) * _FACTOR
 
 
-def banded_distance(passage: np.ndarray, codes: np.ndarray, low: int, width: int) -> tuple[int, int]:
-    """Fewest edits between the passage and a part of ``codes``, on diagonals low to low + width - 1.
+def banded_distances(passages: np.ndarray, codes: np.ndarray, lows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits between each passage and a part of ``codes``, on diagonals low to low + width - 1.
 
-    Returns the edits and the place in ``codes`` after the part. Diagonal d aligns
-    passage place i with place i + d.
+    The passages, a row each, are of one length. Returns the edits and the places in
+    ``codes`` after the parts. Diagonal d aligns passage place i with place i + d.
     """
-    beyond = len(passage) + width + 1
-    places = low + np.arange(width)
-    row = np.where((places >= 0) & (places <= len(codes)), 0, beyond)
+    size = passages.shape[1]
+    beyond = size + width + 1
     steps = np.arange(width)
-    for i, code in enumerate(passage):
+    places = lows[:, None] + steps
+    row = np.where((places >= 0) & (places <= len(codes)), 0, beyond)
+    for i in range(size):
         at = places + i  # the document character that a match on this diagonal uses
         inside = (at >= 0) & (at < len(codes))
-        same = np.zeros(width, dtype=bool)
-        same[inside] = codes[at[inside]] == code
+        same = inside & (codes.take(at, mode="clip") == passages[:, i, None])
         row_next = np.where(inside, row + ~same, beyond)
-        row_next[:-1] = np.minimum(row_next[:-1], row[1:] + 1)  # the passage character is missing in the document
-        end = at + 1
-        row_next = np.where((end >= 0) & (end <= len(codes)), row_next, beyond)
-        row = np.minimum.accumulate(row_next - steps) + steps  # more document characters
-    best = int(row.argmin())
-    return int(row[best]), int(places[best] + len(passage))
+        row_next[:, :-1] = np.minimum(row_next[:, :-1], row[:, 1:] + 1)  # the passage character is missing in the document
+        row_next[(at < -1) | (at >= len(codes))] = beyond
+        row = np.minimum.accumulate(row_next - steps, axis=1) + steps  # more document characters
+    best = row.argmin(axis=1)
+    nth = np.arange(len(row))
+    return row[nth, best], places[nth, best] + size
 
 
 @dataclass(frozen=True)
@@ -159,14 +161,17 @@ class PassageIndex:
     def matches(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(passage, place after it, edits), the best of each passage and place."""
         best: dict[tuple[int, int], int] = {}
+        sizes: dict[int, list[tuple[int, int]]] = {}
         for passage, low in self.regions(codes):
-            own = self.block.codes[passage]
-            begin = max(low - 1, 0)
-            part = codes[begin : low + self.band + len(own) + 1]
-            edits, end = banded_distance(own, part, low - begin, self.band)
-            if edits <= self.edits[passage]:
-                key = (passage, begin + end)
-                best[key] = min(best.get(key, edits), edits)
+            sizes.setdefault(len(self.block.codes[passage]), []).append((passage, low))
+        for regions in sizes.values():
+            for begin in range(0, len(regions), _ALIGNED):
+                some = regions[begin : begin + _ALIGNED]
+                own = np.stack([self.block.codes[p] for p, _ in some])
+                edits, ends = banded_distances(own, codes, np.array([low for _, low in some]), self.band)
+                for (passage, _), e, end in zip(some, edits.tolist(), ends.tolist()):
+                    if e <= self.edits[passage]:
+                        best[passage, end] = min(best.get((passage, end), e), e)
         for passage in self.short:
             own = self.block.codes[passage]
             if len(own):
@@ -178,10 +183,18 @@ class PassageIndex:
         return [(p, end, edits) for (p, end), edits in best.items()]
 
 
-def cut_passages(codes: np.ndarray, longest: int) -> list[np.ndarray]:
-    """Parts of equal length, none over ``longest``; the whole if it is no longer."""
+def cut_passages(codes: np.ndarray, longest: int, window: int) -> list[np.ndarray]:
+    """The whole or, if over ``longest``, parts of equal length; then windows that overlap by half, the last at the end.
+
+    Any ``window + window // 2 - 1`` characters in a row hold a whole window.
+    """
     parts = -(-len(codes) // longest)
-    return [p for p in np.array_split(codes, parts)] if parts else []
+    whole = [p for p in np.array_split(codes, parts)] if parts else []
+    if len(codes) <= window:
+        return whole
+    last = len(codes) - window
+    starts = [*range(0, last, max(window // 2, 1)), last]
+    return whole + [codes[s : s + window] for s in starts]
 
 
 def passage_blocks(
@@ -191,11 +204,15 @@ def passage_blocks(
     q: int = 8,
     edit_share: float = 0.05,
     longest: int = 400,
+    window: int = 64,
     block_chars: int = 2_000_000,
 ) -> list[Passages]:
     """All benchmark texts as passages, in blocks of about ``block_chars`` characters.
 
-    Blocks are read one after the other, each bounded; the benchmark is the stated
+    An item counts whole and in windows of ``window`` folded characters at every half
+    of that, so a document that copies any 95 characters in a row of an item (with
+    ``window`` 64) is found, and one that copies less than a window of a longer item
+    is not. An item no longer than a window counts whole only. Blocks are read one after the other, each bounded; the benchmark is the stated
     query set. Null and empty texts give no passage.
     """
     items = id_text(benchmark, item_col, text_col).orderBy("doc_id", "text")
@@ -211,7 +228,7 @@ def passage_blocks(
         names, codes, size = [], [], 0
 
     for row in items.toLocalIterator():
-        for part in cut_passages(fold(row["text"]), longest):
+        for part in cut_passages(fold(row["text"]), longest, window):
             names.append(row["doc_id"])
             codes.append(part)
             size += len(part)
@@ -231,7 +248,8 @@ def find_leaks(
     """A row per document: ``contaminated``, ``item_ids`` (sorted), ``n_passages`` and ``edits`` (fewest of a match).
 
     Case, punctuation and runs of blanks do not count. A document is contaminated
-    if a whole passage occurs in it within the edit budget. Null and empty texts
+    if a whole passage occurs in it within the edit budget (see ``passage_blocks``
+    for the passages of an item; ``n_passages`` counts them). Null and empty texts
     are clean; a passage shorter than a q-gram must occur exactly, between
     blanks. Items without id count, but name nothing. Rows that repeat an id are
     judged each. Without passages every document is clean; an empty table gives

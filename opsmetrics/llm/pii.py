@@ -20,7 +20,10 @@ _FIRST_DAY, _DAYS_A, _DAYS_B = "1700-01-01", 27, 5411
 _AREAS, _GROUPS, _SERIALS = 898, 99, 9999
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-_SECRET = r"(?i:(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_=-]{8,256}"
+_SECRET_NAME = r"(?i:(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
+#: Of any length; a dot at the end belongs to the sentence.
+_SECRET_VALUE = r"[A-Za-z0-9+/_=.-]{7,}[A-Za-z0-9+/_=-]"
+_SECRET = _SECRET_NAME + _SECRET_VALUE
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _ISO_DATE = r"(?<![0-9./-])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9]|[./-][0-9])"
 _DATE = r"(?<![0-9./-])[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4}(?![0-9]|[./-][0-9])"
@@ -253,9 +256,13 @@ def _email(text: Column, key: Column) -> Column:
 
 def _secret(text: Column, key: Column) -> Column:
     """The name and sign stay, the value becomes a keyed token of its length."""
-    value = F.regexp_extract(text, "[A-Za-z0-9+/_=-]+$", 0)
-    name = F.substring(text, F.lit(1), F.length(text) - F.length(value))
-    return F.concat(name, F.substring(F.repeat(_keyed_hex(value, key, "secret"), 4), F.lit(1), F.length(value)))
+    name = F.regexp_extract(text, "^" + _SECRET_NAME, 0)
+
+    def shown(value: Column) -> Column:
+        times = F.ceil(F.length(value) / 64).cast("int")
+        return F.concat(name, F.substring(F.repeat(_keyed_hex(value, key, "secret"), times), F.lit(1), F.length(value)))
+
+    return let(F.substring(text, F.length(name) + 1, F.length(text)), shown)
 
 
 def _full(pattern: str) -> str:

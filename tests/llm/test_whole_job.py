@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from opsmetrics.llm import decontaminate
+from opsmetrics.llm import decontaminate, pii
 
 
 # 3
@@ -27,3 +27,22 @@ def test_partial_and_straddling_copies_are_leaks(spark):
         blocks = decontaminate.passage_blocks(bench, block_chars=block_chars)
         got = {r["doc_id"]: r["item_ids"] for r in decontaminate.find_leaks(docs, blocks).collect()}
         assert got == {i: want for i, _, want in rows}
+
+
+# 4
+def pseudonyms(spark, cases):
+    rows = [(i, f"left {c} right") for i, c in enumerate(cases)]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    return [(got[i]["text"][5:-6], {k for k in pii.KINDS if got[i][f"n_{k}"]}) for i in range(len(cases))]
+
+
+def test_secrets_of_any_length_and_with_dots(spark):
+    long_, jwt = "Ab3" * 400, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    values = [long_, jwt, "x" * 257, "abcdefgh"]
+    for sign in ('token = "{}"', "api_key={}", "password: {}."):
+        for value, (new, kinds) in zip(values, pseudonyms(spark, [sign.format(v) for v in values])):
+            head, tail = sign.split("{}")
+            assert new.startswith(head) and new.endswith(tail) and kinds == {"secret"}
+            fresh = new[len(head) : len(new) - len(tail)]
+            assert len(fresh) == len(value) and set(fresh) <= set("0123456789abcdef")
+    assert len({new.split("=")[1].strip(' "') for new, _ in pseudonyms(spark, [f"token={jwt}", f'secret = "{jwt}"'])}) == 1

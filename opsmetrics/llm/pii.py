@@ -16,6 +16,8 @@ from opsmetrics.llm.common import let
 _ROUNDS = 10
 #: The Gregorian calendar repeats after 400 years: 146,097 days, here from 1700-01-01, as 27 * 5411.
 _FIRST_DAY, _DAYS_A, _DAYS_B = "1700-01-01", 27, 5411
+#: Two-digit years are those from 1969 to 2068: 36,525 days, as 75 * 487.
+_SHORT_FIRST_DAY, _SHORT_A, _SHORT_B = "1969-01-01", 75, 487
 #: Valid social security numbers: areas 001-899 but 666, groups 01-99, serials 0001-9999.
 _AREAS, _GROUPS, _SERIALS = 898, 99, 9999
 
@@ -27,6 +29,16 @@ _SECRET = _SECRET_NAME + _SECRET_VALUE
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _ISO_DATE = r"(?<![0-9./-])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9]|[./-][0-9])"
 _DATE = r"(?<![0-9./-])[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4}(?![0-9]|[./-][0-9])"
+_SHORT_DATE = (
+    r"(?<![0-9./-])(?:[0-9]{1,2}([-/])[0-9]{1,2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{2})(?![0-9]|[./-][0-9])"
+)
+_MONTHS = "january february march april may june july august september october november december".split()
+_MONTH = "(?:" + "|".join(_MONTHS) + "|sept|" + "|".join(m[:3] for m in _MONTHS if m != "may") + ")"
+_NAMED_DATE = (
+    rf"(?i:(?<![A-Za-z0-9])[0-9]{{1,2}}(?:st|nd|rd|th)?(?: of)?[ -]?{_MONTH}\.?,?[ -]?[0-9]{{4}}(?![A-Za-z0-9])"
+    rf"|(?<![A-Za-z0-9])[0-9]{{1,2}}-{_MONTH}-[0-9]{{2}}(?![A-Za-z0-9])"
+    rf"|(?<![A-Za-z0-9]){_MONTH}\.? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}(?![A-Za-z0-9]))"
+)
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 _PHONE = (
@@ -34,6 +46,17 @@ _PHONE = (
     r"|(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]{1,4}){2,5}(?![0-9])"
     r"|(?<![0-9(])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 )
+#: Three, three and four digits, also after a 1; between blanks only as North American numbers go.
+_NATIONAL = (
+    r"(?<![0-9+(])(?<![0-9][.-])(?:1([-.])[0-9]{3}\1[0-9]{3}\1[0-9]{4}|(?:1 )?[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}"
+    r"|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|(?:1[ -])?[0-9]{3}[ ./][0-9]{3}-[0-9]{4})(?![0-9]|[-.][0-9])"
+)
+#: A trunk 0 and ten or eleven digits in all.
+_TRUNK = (
+    r"(?<![0-9+(])(?<![0-9][./-])(?=0(?:[ ./-]?[0-9]){9,10}(?![0-9]|[./-][0-9]))"
+    r"(?:0[1-9][0-9]{0,4}([ ./-])[0-9]{2,4}(?:\1[0-9]{2,4}){1,3}|0[1-9][0-9]{0,4}[ /-][0-9]{5,8})(?![0-9]|[./-][0-9])"
+    r"|(?<![0-9(])\(0[1-9][0-9]{0,3}\) ?(?:[0-9]{3,4}[ -]?[0-9]{3,4}|[0-9]{5,8})(?![0-9])"
+)
 _CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 
 KINDS = ("email", "secret", "iban", "date", "ssn", "ip", "phone", "card")
@@ -46,7 +69,21 @@ def _capture_free(pattern: str, group: int) -> str:
 
 #: Everything that may be personal; what follows validates it.
 CANDIDATE = "|".join(
-    [_EMAIL, _SECRET, _IBAN, _capture_free(_ISO_DATE, 1), _capture_free(_DATE, 2), _SSN, _IP, _PHONE, _CARD]
+    [
+        _EMAIL,
+        _SECRET,
+        _IBAN,
+        _capture_free(_ISO_DATE, 1),
+        _capture_free(_DATE, 2),
+        _capture_free(_SHORT_DATE, 3),
+        _NAMED_DATE,
+        _SSN,
+        _IP,
+        _PHONE,
+        _capture_free(_NATIONAL, 4),
+        _capture_free(_TRUNK, 5),
+        _CARD,
+    ]
 )
 #: A text without any of these cannot hold a candidate.
 _QUICK = r"[0-9@]|(?i:token|secret|password|passwd|key)"
@@ -141,11 +178,11 @@ def _number(text: Column, key: Column) -> Column:
 
 
 def _phone(text: Column, key: Column) -> Column:
-    """The last ten digits move (or all, without a country code); the country code stays."""
+    """The last ten digits move (or all, without a country code); the country code and a trunk 0 stay."""
 
     def moved(digits: Column) -> Column:
         size = F.length(digits)
-        kept = F.greatest(size - 10, F.when(text.startswith("+"), 1).otherwise(0))
+        kept = F.greatest(size - 10, F.when(text.rlike("^(?:[+]|[(]?0)"), 1).otherwise(0))
         fresh = F.concat(
             F.substring(digits, F.lit(1), kept), _permuted_digits(F.substring(digits, kept + 1, size - kept), key, "phone")
         )
@@ -211,6 +248,76 @@ def _date(text: Column, key: Column) -> Column:
     return F.when(valid, let(moved, show))
 
 
+def _moved_day(day: Column, first: str, size_a: int, size_b: int, key: Column, kind: str, show) -> Column:
+    """What ``show`` makes of the day that a day moves to, among size_a * size_b days from the first; null for others."""
+    start = F.lit(first).cast("date")
+    sizes = F.lit(size_a).cast("long"), F.lit(size_b).cast("long")
+
+    def moved(number: Column) -> Column:
+        to = feistel(F.floor(number / size_b), F.pmod(number, F.lit(size_b)), *sizes, key, kind)
+        fresh = let(to, lambda m: F.date_add(start, (m["a"] * size_b + m["b"]).cast("int")))
+        return F.when(number.between(0, size_a * size_b - 1), let(fresh, show))
+
+    return let(F.datediff(day, start), moved)
+
+
+def _short_date(text: Column, key: Column) -> Column:
+    """Day, month or year first, whichever is a date first; years from 1969 to 2068."""
+    parts = F.split(text, "[-/.]")
+    sign = F.substring(F.regexp_replace(text, "[0-9]", ""), 1, 1)
+
+    def as_date(y: int, m: int, d: int) -> Column:
+        year = parts[y].cast("int")
+        full = (year + F.when(year < 69, 2000).otherwise(1900)).cast("string")
+        return F.when(F.length(parts[y]) == 2, F.try_to_date(F.concat_ws("-", full, parts[m], parts[d]), "yyyy-M-d"))
+
+    orders = [(2, 1, 0), (2, 0, 1), (0, 1, 2)]
+    two = lambda v, like: F.when(F.length(like) == 2, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
+
+    def written(y: int, m: int, d: int):
+        def show(fresh: Column) -> Column:
+            value = {y: F.pmod(F.year(fresh), F.lit(100)), m: F.month(fresh), d: F.dayofmonth(fresh)}
+            return F.concat(two(value[0], parts[0]), sign, two(value[1], parts[1]), sign, two(value[2], parts[2]))
+
+        return show
+
+    tries = [_moved_day(as_date(*o), _SHORT_FIRST_DAY, _SHORT_A, _SHORT_B, key, "short date", written(*o)) for o in orders]
+    return F.coalesce(*tries)
+
+
+def _named_date(text: Column, key: Column) -> Column:
+    """The day, the month's name (whole or short, in its case) and the year move; all else stays but the ordinal's end."""
+    lead = F.regexp_extract(text, "^[^0-9]*", 0)
+    number = r"^[^0-9]*([0-9]{1,2})((?i:st|nd|rd|th)?)"
+    dom, end = F.regexp_extract(text, number, 1), F.regexp_extract(text, number, 2)
+    between = F.regexp_extract(text, number + "(.*?)[0-9]+$", 3)
+    year = F.regexp_extract(text, "[0-9]+$", 0)
+    name = F.regexp_extract(text, f"(?i){_MONTH}", 0)
+    low = F.lower(name)
+    month = F.array_position(F.array(*(F.lit(m[:3]) for m in _MONTHS)), F.substring(low, 1, 3)).cast("int")
+    short_year = F.length(year) == 2
+    century = F.when(short_year, F.when(year.cast("int") < 69, 2000).otherwise(1900)).otherwise(0)
+    day = F.try_to_date(F.concat_ws("-", F.lpad((year.cast("int") + century).cast("string"), 4, "0"), month.cast("string"), dom), "yyyy-M-d")
+
+    def show(fresh: Column) -> Column:
+        own = F.element_at(F.array(*map(F.lit, _MONTHS)), F.month(fresh))
+        own = F.when(low.isin("sept", *(m[:3] for m in _MONTHS if m != "may")), F.substring(own, 1, 3)).otherwise(own)
+        own = F.when(name == F.upper(name), F.upper(own)).when(name == low, own).otherwise(F.initcap(own))
+        d = F.dayofmonth(fresh)
+        ends = F.when(d.isin(1, 21, 31), "st").when(d.isin(2, 22), "nd").when(d.isin(3, 23), "rd").otherwise("th")
+        ends = F.when(end == "", "").when(end == F.upper(end), F.upper(ends)).otherwise(ends)
+        day_ = F.when(dom.startswith("0"), F.lpad(d.cast("string"), 2, "0")).otherwise(d.cast("string"))
+        year_ = F.when(short_year, F.lpad(F.pmod(F.year(fresh), F.lit(100)).cast("string"), 2, "0")).otherwise(
+            F.lpad(F.year(fresh).cast("string"), 4, "0")
+        )
+        named = lambda part: F.regexp_replace(part, F.lit(f"(?i){_MONTH}"), own)
+        return F.concat(named(lead), day_, ends, named(between), year_)
+
+    return F.when(
+        short_year, _moved_day(day, _SHORT_FIRST_DAY, _SHORT_A, _SHORT_B, key, "short date", show)
+    ).otherwise(_moved_day(day, _FIRST_DAY, _DAYS_A, _DAYS_B, key, "date", show))
+
+
 def _mod97(text: Column) -> Column:
     """The text as a number, letters from A = 10, modulo 97."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
@@ -277,9 +384,11 @@ def pseudonym(value: Column, key: Column) -> Column:
         ("iban", _IBAN, _iban),
         ("date", _ISO_DATE, _date),
         ("date", _DATE, _date),
+        ("date", _SHORT_DATE, _short_date),
+        ("date", _NAMED_DATE, _named_date),
         ("ssn", _SSN, _ssn),
         ("ip", _IP, _ip),
-        ("phone", _PHONE, _phone),
+        ("phone", f"{_PHONE}|{_NATIONAL}|{_capture_free(_TRUNK, 2)}", _phone),
         ("card", _CARD, _card),
         ("card", _CARD, _number),
     ]
@@ -295,12 +404,22 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """A row per document: ``doc_id``, ``text`` with pseudonyms, and how many of each kind (``n_card`` ...).
 
     Cards (Luhn), IBANs (modulo 97), social security numbers, IPv4 addresses and
-    dates from 1700 to 2099 are validated and stay valid. Phone numbers keep
-    their country code and layout. A number as long as a card's that fails the
+    dates from 1700 to 2099 are validated and stay valid, also with a two-digit
+    year (1969 to 2068) or an English month name. Phone numbers keep their country
+    code, a trunk 0 and their layout: with +country, with a bracketed area code,
+    3-3-4 digits with ``-``, ``.`` or blanks (between blanks only if area and
+    exchange begin with 2 to 9), or 10 to 11 digits in groups after a 0. A number as long as a card's that fails the
     check is moved as plain digits and counts as card. E-mail names and secrets
     have no number format and become keyed tokens. What does not validate as
     anything stays as it is. Whole texts are read.
 
+    Left out, and so left in clear: phone numbers without any separator or area
+    code (2125551234, 555-1234), with a 00 prefix, with extensions (the extension
+    alone stays), and national layouts without a trunk 0 other than 3-3-4; dates
+    without a day or a year, with month names of other languages or with a
+    two-digit year after a blank (3 March 24), and d.m.yy with a one-digit day or
+    month, which is how versions are written.
+
     A null text stays null, an empty one empty, both with zero counts; rows that
     repeat an id are rewritten each, alike for equal texts; other columns are not
     read; an empty table gives no rows.

@@ -1,7 +1,6 @@
 """Cases that earlier versions of the operators left out."""
 
 import numpy as np
-import pytest
 
 from opsmetrics.llm import decontaminate, pii
 
@@ -46,3 +45,21 @@ def test_secrets_of_any_length_and_with_dots(spark):
             fresh = new[len(head) : len(new) - len(tail)]
             assert len(fresh) == len(value) and set(fresh) <= set("0123456789abcdef")
     assert len({new.split("=")[1].strip(' "') for new, _ in pseudonyms(spark, [f"token={jwt}", f'secret = "{jwt}"'])}) == 1
+
+
+def test_national_phones_and_other_dates(spark):
+    phones = ["212-555-1234", "212.555.1234", "212 555 1234", "1-212-555-1234", "1 212 555 1234", "212 555-1234"]
+    phones += ["020 7946 0958", "06 12 34 56 78", "030 1234567", "0171/1234567", "(020) 7946 0958"]
+    dates = ["12/25/23", "25/12/23", "31-12-99", "01.02.03", "3 March 2024", "3rd of March 2024", "March 3, 2024", "MAR 3 2024"]
+    dates += ["03-Mar-24", "1 sept. 1999", "May 21st, 2001", "29 February 2024"]
+    shape = lambda s: "".join("9" if c.isdigit() else c for c in s)
+    new = pseudonyms(spark, phones + dates)
+    for old, (fresh, kinds) in zip(phones, new):
+        assert kinds == {"phone"} and fresh != old and shape(fresh) == shape(old), (old, fresh)
+    assert new[0][0].replace("-", "") == new[1][0].replace(".", "") == new[2][0].replace(" ", "")
+    for old, (fresh, kinds) in zip(dates, new[len(phones) :]):
+        assert kinds == {"date"} and fresh != old, (old, fresh)
+        assert not any(c.isalpha() for c in old) or any(c.isalpha() for c in fresh)
+    assert all(kinds == {"date"} for _, kinds in pseudonyms(spark, [f for f, _ in new[len(phones) :]]))  # they stay dates
+    plain = ["31/31/31", "30 February 2024", "March 2024", "version 1.2.10", "100 200 3000", "32 March 2024", "Marching 3 2024"]
+    assert pseudonyms(spark, plain) == [(p, set()) for p in plain]

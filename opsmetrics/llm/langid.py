@@ -36,6 +36,11 @@ def fold(text: str) -> np.ndarray:
     """Code points in lower case, with one 32 for each run of anything but letters."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     folded = _folding()[np.minimum(points, 0xFFFF)]
+    beyond = np.flatnonzero(points > 0xFFFF)
+    if len(beyond):
+        distinct, nth = np.unique(points[beyond], return_inverse=True)
+        letter = np.array([chr(p).isalpha() for p in distinct.tolist()])
+        folded[beyond] = np.where(letter[nth], 0xFFFF, 32)
     apart = folded == 32
     return folded[~(apart & np.concatenate(([True], apart[:-1])))] if len(folded) else folded
 
@@ -44,7 +49,7 @@ _FOLDING: list[np.ndarray] = []
 
 
 def _folding() -> np.ndarray:
-    """Lower case of each letter of the basic plane; 32 for what is no letter. Letters beyond it share one code."""
+    """Lower case of each letter of the basic plane; 32 for what is no letter. Letters beyond it share the code 0xFFFF."""
     if not _FOLDING:
         table = np.full(0x10000, 32, dtype=np.uint16)
         for point in range(0xFFFF):
@@ -52,7 +57,6 @@ def _folding() -> np.ndarray:
             if char.isalpha():
                 low = char.lower()
                 table[point] = ord(low) if len(low) == 1 else point
-        table[0xFFFF] = 0xFFFF
         _FOLDING.append(table)
     return _FOLDING[0]
 

@@ -50,18 +50,22 @@ class TokenIds:
     thing as a table of ranks. ``tiktoken`` reads that several times as fast, with the
     byte-level pattern less its look-ahead: the look-ahead only matters where two
     blanks meet, and a text with such a place is encoded by ``tokenizers`` itself,
-    as is every text if the vocabulary is of another kind.
+    as is every text if the vocabulary is of another kind. With ``added`` the strings
+    of added tokens are one id each, as ``tokenizers`` has it by default, and texts
+    that hold one go to it too; without, they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole.encode_special_tokens = not added
         self.ranked = _ranked(path)
+        own = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
+        self.apart = re.compile("|".join([_RUN.pattern, *map(re.escape, own)]))
 
     def ids(self, text: str) -> bytes:
-        if self.ranked is not None and not _RUN.search(text):
+        if self.ranked is not None and not self.apart.search(text):
             return array("I", self.ranked.encode_ordinary(text)).tobytes()
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -104,7 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TokenIds(tokenizer_path)
+        coder = TokenIds(tokenizer_path, added=True)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = {}

@@ -60,6 +60,77 @@ TEMPLATES = (
     ),
 )
 
+_GNU = (
+    "This {it} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name}General"
+    " Public License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your"
+    " option) any later version."
+)
+
+
+def _gnu(name: str, version: str, it: str = "program", colon: str = ":", comma: str = ",") -> str:
+    return _GNU.format(it=it, colon=colon, name=name, comma=comma, version=version)
+
+
+_MIT_GRANT = next(text for name, text in TEMPLATES if text.startswith("Permission is hereby granted"))
+_ISC_GRANT = next(text for name, text in TEMPLATES if name == "ISC")
+_MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of"
+    " the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT"
+    " NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"
+    " SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF"
+    " CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN"
+    " THE SOFTWARE."
+)
+_ISC_REST = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL"
+    " IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,"
+    " INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN"
+    " ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF"
+    " THIS SOFTWARE."
+)
+TEMPLATES += (
+    ("MIT", _MIT_GRANT + " " + _MIT_REST),
+    ("MIT", _MIT_REST),
+    ("ISC", _ISC_GRANT + " " + _ISC_REST),
+    ("GPL-2.0", _gnu("", "2", colon=";")),
+    ("GPL-2.0", _gnu("", "2")),
+    ("LGPL-2.0", _gnu("Library ", "2", "library", ";", ";")),
+    ("LGPL-2.1", _gnu("Lesser ", "2.1", "library", ";", ";")),
+    ("LGPL-2.1", _gnu("Lesser ", "2.1", "library")),
+    ("LGPL-2.1", _gnu("Lesser ", "2.1")),
+    ("LGPL-3.0", _gnu("Lesser ", "3")),
+    ("LGPL-3.0", _gnu("Lesser ", "3", "library")),
+    ("AGPL-3.0", _gnu("Affero ", "3")),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,"
+        " use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any"
+        " purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held"
+        " liable for any damages arising from the use of this software. Permission is granted to anyone to use this software"
+        " for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the"
+        " following restrictions:",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to"
+        " this software to the public domain worldwide. This software is distributed without any warranty.",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+        " which is available at",
+    ),
+    (
+        "EPL-1.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"
+        " which accompanies this distribution, and is available at",
+    ),
+)
+
 _SHINGLE = 3
 _SMALLEST_CLASS = 8
 

@@ -65,7 +65,7 @@ def run_upload(spark, args) -> dict[str, int]:
     raw = read_upload(spark, args.upload, fmt=args.upload_format)
     # every stored row counts as existing, also those without fecha_file
     stored = spark.read.format(args.format).load(args.stored)
-    result = ingest.analyze_upload(raw, stored, checkpoint=True, day_first=args.day_first, sort_duplicates=True)
+    result = ingest.analyze_upload(raw, stored, checkpoint=True, day_first=args.day_first, serials=args.serials, sort_duplicates=True)
     out = args.out.rstrip("/")
     export_csv(result.duplicates, f"{out}/duplicados", single_file=False)
     export_csv(result.quality, f"{out}/calidad", single_file=True)
@@ -108,6 +108,7 @@ def main(argv: list[str] | None = None) -> None:
     u.add_argument("--out", required=True)
     u.add_argument("--append", action="store_true")
     u.add_argument("--day-first", action="store_true")
+    u.add_argument("--serials", action="store_true", help="five-digit numbers in date columns are days since 1899-12-30")
     args = parser.parse_args(argv)
     spark = build_session()
     if args.command == "dashboard":

@@ -28,21 +28,6 @@ PY_WHITESPACE = "".join(chr(cp) for cp in PY_WHITESPACE_CODEPOINTS)
 MICROS_PER_DAY = 86_400_000_000
 MICROS_PER_MINUTE = 60_000_000
 
-# Text layouts accepted when coercing dates, tried in order after
-# the ISO-8601 forms that a plain cast already accepts. a/b/yyyy is read month
-# first (or day first on request) and the other way round where that is no date.
-MONTH_FIRST = ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm a", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy"]
-DAY_FIRST = ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy h:mm a", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy"]
-NAMED_OR_YEAR_FIRST = [
-    "yyyy/M/d H:mm:ss", "yyyy/M/d", "yyyyMMdd", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
-]
-
-
-def date_patterns(day_first: bool = False) -> list[str]:
-    """All layouts in the order they are tried."""
-    first, second = (DAY_FIRST, MONTH_FIRST) if day_first else (MONTH_FIRST, DAY_FIRST)
-    return [*first, *second, *NAMED_OR_YEAR_FIRST]
-
 
 def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -75,22 +60,6 @@ def to_timestamp_ntz(c: ColumnOrName) -> Column:
     return _col(c).cast("timestamp_ntz")
 
 
-def parse_timestamp(c: ColumnOrName, patterns: list[str] | None = None, day_first: bool = False) -> Column:
-    """``pd.to_datetime(errors='coerce')`` for text: unparseable -> NULL.
-
-    ISO-8601 text is handled by ``try_cast``; other layouts by ``try_to_timestamp``
-    per pattern. Each row may match a different pattern.
-    """
-    text = strip_all(_col(c).cast("string"))
-    # two-digit years from 69 on are 19xx, the others 20xx
-    text = F.regexp_replace(text, "^([0-9]{1,2}/[0-9]{1,2}/)(69|[7-9][0-9])$", "$119$2")
-    text = F.regexp_replace(text, "^([0-9]{1,2}/[0-9]{1,2}/)([0-9]{2})$", "$120$2")
-    attempts = [text.try_cast("timestamp_ntz")]
-    for pattern in patterns if patterns is not None else date_patterns(day_first):
-        attempts.append(F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz"))
-    return F.coalesce(*attempts)
-
-
 def floor_days(start: ColumnOrName, end: ColumnOrName) -> Column:
     """``(end - start).dt.days``: whole days, floored (-6 hours is -1)."""
     micros = F.timestamp_diff("MICROSECOND", _col(start), _col(end))

@@ -182,6 +182,7 @@ def analyze_upload(
     key: str = "file",
     checkpoint: bool = False,
     day_first: bool = False,
+    serials: bool = False,
     sort_duplicates: bool = False,
 ) -> UploadAnalysis:
     """The whole upload analysis as lazy frames (new, existing, duplicates,
@@ -207,10 +208,10 @@ def analyze_upload(
     new = split_new(deduped, stored, key)
     existing = split_existing(deduped, stored, key)
     return UploadAnalysis(
-        new=project_contract(coerce_dates(new, day_first=day_first)),
+        new=project_contract(coerce_dates(new, day_first=day_first, serials=serials)),
         existing=existing,
         duplicates=duplicates,
         quality=quality_summary(new),
         counts=upload_counts(cleaned, stored, key),
-        bad_dates=unreadable_dates(cleaned, day_first=day_first),
+        bad_dates=unreadable_dates(cleaned, day_first=day_first, serials=serials),
     )

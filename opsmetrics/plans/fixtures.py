@@ -62,15 +62,41 @@ def upload_file_text(orderkey: Column, linenumber: Column) -> Column:
     return F.concat(F.lit(" l"), orderkey.cast("string"), F.lit("-"), linenumber.cast("string"), F.lit(" "))
 
 
-#: How the fixture writes the date of a line, by line number; others are ISO and 7 is no date.
-DATE_TEXTS = {2: "dd/MM/yyyy", 3: "dd-MM-yyyy", 4: "yyyy/MM/dd", 5: "MM/dd/yy", 6: "MM/dd/yyyy hh:mm a"}
-
-
-def upload_date_text(day: Column, linenumber: Column) -> Column:
-    text = F.when(linenumber == 7, F.lit("bad-date"))
-    for line, layout in DATE_TEXTS.items():
-        text = text.when(linenumber == line, F.date_format(day, layout))
-    return text.otherwise(day.cast("string"))
+#: How the fixture writes the date of a line, as Spark and as DuckDB patterns.
+DATE_LAYOUTS = [
+    ("yyyy-MM-dd", "%Y-%m-%d"),
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
+    ("yyyy-MM-dd'T'HH:mm", "%Y-%m-%dT%H:%M"),
+    ("yyyy/MM/dd", "%Y/%m/%d"),
+    ("yyyy/MM/dd HH:mm", "%Y/%m/%d %H:%M"),
+    ("yyyyMMdd", "%Y%m%d"),
+    ("yyyyMMddHHmmss", "%Y%m%d%H%M%S"),
+    ("dd/MM/yyyy", "%d/%m/%Y"),
+    ("dd-MM-yyyy", "%d-%m-%Y"),
+    ("dd.MM.yyyy HH:mm", "%d.%m.%Y %H:%M"),
+    ("MM/dd/yyyy hh:mm a", "%m/%d/%Y %I:%M %p"),
+    ("MM/dd/yy", "%m/%d/%y"),
+    ("M/d/yy HH:mm", "%-m/%-d/%y %H:%M"),
+    ("MM-dd-yy", "%m-%d-%y"),
+    ("M.d.yy", "%-m.%-d.%y"),
+    ("d-MMM-yy", "%-d-%b-%y"),
+    ("dd MMM yyyy", "%d %b %Y"),
+    ("d MMMM yyyy", "%-d %B %Y"),
+    ("MMMM d, yyyy HH:mm", "%B %-d, %Y %H:%M"),
+    ("MMM d, yyyy hh:mm:ss a", "%b %-d, %Y %I:%M:%S %p"),
+]
+
+
+def upload_date_text(day: Column, orderkey: Column, linenumber: Column) -> Column:
+    """The order date with a time of day, in one of the layouts; line 7 has no date, or a sheet's serial number."""
+    minutes = F.pmod(orderkey, F.lit(24)) * 60 + linenumber * 7
+    moment = F.timestamp_add("MINUTE", minutes, day.cast("timestamp_ntz"))
+    serial = F.date_diff(day, F.lit("1899-12-30").cast("date")).cast("string")
+    text = F.when(linenumber == 7, F.when(F.pmod(orderkey, F.lit(2)) == 0, serial).otherwise(F.lit("bad-date")))
+    pick = F.pmod(orderkey * 7 + linenumber, F.lit(len(DATE_LAYOUTS)))
+    for i, (layout, _) in enumerate(DATE_LAYOUTS):
+        text = text.when(pick == i, F.date_format(moment, layout))
+    return text
 
 
 def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +133,7 @@ def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("com"), F.pmod(F.col("l_suppkey"), F.lit(20)).cast("string")))
         .alias("Comercial"),
         F.col("l_linestatus").alias("Estado"),
-        upload_date_text(F.to_date("o_orderdate"), ln).alias("Fecha File"),
+        upload_date_text(F.to_date("o_orderdate"), F.col("l_orderkey"), ln).alias("Fecha File"),
         ship_text.alias("Fecha Cierre"),
         ship_text.alias("Fch Primera Fact Prov"),
         F.col("l_returnflag").alias("Envío Facturar"),

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 
 from opsmetrics import rules
 from opsmetrics.functions.expr import PY_WHITESPACE_CODEPOINTS
-from opsmetrics.plans.fixtures import TYPE_CODES
+from opsmetrics.plans.fixtures import DATE_LAYOUTS, TYPE_CODES
 
 WS = " || ".join(f"chr({cp})" for cp in PY_WHITESPACE_CODEPOINTS)
 
@@ -44,12 +44,27 @@ def clean(x: str) -> str:
 
 
 def parse_ts(x: str) -> str:
-    layouts = ["%m/%d/%Y %I:%M %p", "%m/%d/%Y", "%m-%d-%Y", "%d/%m/%Y", "%d-%m-%Y", "%Y/%m/%d"]
-    iso = f"WHEN regexp_matches({strip(x)}, '^[0-9]{{4}}-') THEN try_cast({strip(x)} AS TIMESTAMP)"
-    short = f"WHEN regexp_matches({strip(x)}, '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}$') THEN " + (
-        f"coalesce(try_strptime({strip(x)}, '%m/%d/%y'), try_strptime({strip(x)}, '%d/%m/%y'))"
+    """A date text by layouts: DuckDB tries each of a kind, month first before day first."""
+    t = strip(x)
+    numeric = f"regexp_replace({t}, '^([0-9]+)[-/.]([0-9]+)[-/.]([0-9]+)', '\\1/\\2/\\3')"
+    named = f"replace(replace({t}, '-', ' '), ',', '')"
+    times = ["", " %H:%M", " %I:%M %p"]
+
+    def first_of(text: str, layouts: list[str]) -> str:
+        return "coalesce(" + ", ".join(f"try_strptime({text}, '{f}')" for f in layouts) + ")"
+
+    short = first_of(numeric, [d + t for d in ("%m/%d/%y", "%d/%m/%y") for t in times])
+    long = first_of(numeric, [d + t for d in ("%m/%d/%Y", "%d/%m/%Y") for t in times])
+    days = ["%d %b %y", "%d %b %Y", "%d %B %Y", "%B %d %Y %H:%M", "%b %d %Y %I:%M:%S %p"]
+    return (
+        f"(CASE WHEN regexp_matches({t}, '^[0-9]{{4}}-') THEN try_cast(replace({t}, 'T', ' ') AS TIMESTAMP) "
+        f"WHEN regexp_matches({t}, '^[0-9]{{14}}$') THEN try_strptime({t}, '%Y%m%d%H%M%S') "
+        f"WHEN regexp_matches({t}, '^[0-9]{{8}}$') THEN try_strptime({t}, '%Y%m%d') "
+        f"WHEN regexp_matches({t}, '^[0-9]{{4}}/') THEN {first_of(t, ['%Y/%m/%d %H:%M', '%Y/%m/%d'])} "
+        f"WHEN regexp_matches({t}, '^[0-9]+[-/.][0-9]+[-/.][0-9]{{2}}( |$)') THEN {short} "
+        f"WHEN regexp_matches({t}, '^[0-9]+[-/.][0-9]+[-/.][0-9]{{4}}') THEN {long} "
+        f"WHEN regexp_matches({t}, '[A-Z][a-z]+') THEN {first_of(named, days)} END)"
     )
-    return f"(CASE {iso} {short} ELSE coalesce(" + ", ".join(f"try_strptime({strip(x)}, '{f}')" for f in layouts) + ") END)"
 
 
 def r6(x: str) -> str:
@@ -103,6 +118,12 @@ def _file_text(k: str, ln: str) -> str:
     return f"' l' || CAST({k} AS VARCHAR) || '-' || CAST({ln} AS VARCHAR) || ' '"
 
 
+def _layouts() -> str:
+    moment = "CAST(CAST(o.o_orderdate AS DATE) AS TIMESTAMP) + to_minutes(CAST((l.l_orderkey % 24) * 60 + l.l_linenumber * 7 AS BIGINT))"
+    pick = f"(l.l_orderkey * 7 + l.l_linenumber) % {len(DATE_LAYOUTS)}"
+    return " ".join(f"WHEN {pick} = {i} THEN strftime({moment}, '{layout}')" for i, (_, layout) in enumerate(DATE_LAYOUTS))
+
+
 RAW_UPLOAD_CTE = f"""raw_upload AS (
   SELECT
     CASE WHEN l.l_quantity = 1 THEN (CASE l.l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN 'nan' WHEN 2 THEN ' None ' END)
@@ -113,10 +134,9 @@ RAW_UPLOAD_CTE = f"""raw_upload AS (
     CASE WHEN l.l_tax = 0 THEN NULL ELSE ' op' || CAST(l.l_suppkey AS VARCHAR) END AS "Operativo",
     CASE WHEN l.l_returnflag = 'N' THEN 'na' ELSE 'com' || CAST(l.l_suppkey % 20 AS VARCHAR) END AS "Comercial",
     l.l_linestatus AS "Estado",
-    CASE l.l_linenumber WHEN 7 THEN 'bad-date' WHEN 2 THEN strftime(CAST(o.o_orderdate AS DATE), '%d/%m/%Y')
-         WHEN 3 THEN strftime(CAST(o.o_orderdate AS DATE), '%d-%m-%Y') WHEN 4 THEN strftime(CAST(o.o_orderdate AS DATE), '%Y/%m/%d')
-         WHEN 5 THEN strftime(CAST(o.o_orderdate AS DATE), '%m/%d/%y') WHEN 6 THEN strftime(CAST(o.o_orderdate AS DATE), '%m/%d/%Y') || ' 12:00 AM'
-         ELSE CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) END AS "Fecha File",
+    CASE WHEN l.l_linenumber = 7 THEN (CASE WHEN l.l_orderkey % 2 = 0
+           THEN CAST(date_diff('day', DATE '1899-12-30', CAST(o.o_orderdate AS DATE)) AS VARCHAR) ELSE 'bad-date' END)
+         {_layouts()} END AS "Fecha File",
     CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR) AS "Fecha Cierre",
     CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR) AS "Fch Primera Fact Prov",
     l.l_returnflag AS "Envío Facturar",

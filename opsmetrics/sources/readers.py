@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsmetrics import rules, schema
-from opsmetrics.functions import parse_timestamp, strip_all, to_timestamp_ntz, ts_literal
+from opsmetrics.functions import date_fields, fields_timestamp, serial_timestamp, strip_all, to_timestamp_ntz, ts_literal
 
 
 def _load(spark: SparkSession, path: str | None, fmt: str, options: dict | None) -> DataFrame:
@@ -18,31 +18,49 @@ def _load(spark: SparkSession, path: str | None, fmt: str, options: dict | None)
     return reader.load(path) if path is not None else reader.load()
 
 
-def coerce_dates(df: DataFrame, columns: list[str] | None = None, day_first: bool = False) -> DataFrame:
-    """Coerce the date columns that exist: text is parsed (bad -> NULL), dates and
-    timestamps are cast to timestamp_ntz. Absent columns are left absent.
+def _text_dates(df: DataFrame, columns: list[str]) -> list[str]:
+    return [c for c in columns if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
+
+
+def _fields_column(i: int) -> str:
+    return f"_date_fields_{i}"
+
+
+def coerce_dates(
+    df: DataFrame, columns: list[str] | None = None, day_first: bool = False, serials: bool = False
+) -> DataFrame:
+    """Coerce the date columns that exist: text is read by its shape (bad -> NULL),
+    dates and timestamps are cast to timestamp_ntz. Absent columns are left absent.
     ``day_first`` settles text such as 03/04/2024; text that is a date in one
-    order only is read in that order either way."""
-    present = [c for c in (columns or schema.DATE_COLUMNS) if c in df.columns]
-    replaced = {}
-    for name in present:
-        dtype = df.schema[name].dataType
-        if isinstance(dtype, T.StringType):
-            replaced[name] = parse_timestamp(name, day_first=day_first)
-        elif not isinstance(dtype, T.TimestampNTZType):
-            replaced[name] = to_timestamp_ntz(name)
-    return df.withColumns(replaced) if replaced else df
-
-
-def unreadable_dates(df: DataFrame, columns: list[str] | None = None, day_first: bool = False) -> DataFrame:
+    order only is read in that order either way. With ``serials`` five-digit
+    numbers are a sheet's days since 1899-12-30; they are no dates otherwise.
+
+    Two projections: the fields of each text are found once, and then read.
+    """
+    wanted = columns or schema.DATE_COLUMNS
+    text = _text_dates(df, wanted)
+    other = [c for c in wanted if c in df.columns and c not in text and not isinstance(df.schema[c].dataType, T.TimestampNTZType)]
+    if not text and not other:
+        return df
+    df = df.withColumns({_fields_column(i): date_fields(c) for i, c in enumerate(text)} | {c: to_timestamp_ntz(c) for c in other})
+    read = {}
+    for i, c in enumerate(text):
+        read[c] = fields_timestamp(F.col(_fields_column(i)), day_first)
+        if serials:
+            read[c] = F.coalesce(read[c], serial_timestamp(c))
+    return df.withColumns(read).drop(*(_fields_column(i) for i in range(len(text)))) if read else df
+
+
+def unreadable_dates(
+    df: DataFrame, columns: list[str] | None = None, day_first: bool = False, serials: bool = False
+) -> DataFrame:
     """Per text date column: how many non-blank values cannot be read as a date (one row per column)."""
-    present = [c for c in (columns or schema.DATE_COLUMNS) if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
+    present = _text_dates(df, columns or schema.DATE_COLUMNS)
     if not present:
         return df.sparkSession.createDataFrame([], "campo string, fechas_ilegibles bigint")
-    filled = lambda c: F.upper(strip_all(c)).isin(*rules.MISSING_TOKENS) == F.lit(False)
-    counts = df.agg(
-        *[F.count_if(filled(c) & parse_timestamp(c, day_first=day_first).isNull()).alias(f"_m{i}") for i, c in enumerate(present)]
-    )
+    filled = {f"_filled_{c}": F.upper(strip_all(c)).isin(*rules.MISSING_TOKENS) == F.lit(False) for c in present}
+    read = coerce_dates(df.select(*present, *(f.alias(n) for n, f in filled.items())), present, day_first, serials)
+    counts = read.agg(*[F.count_if(F.col(f"_filled_{c}") & F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(present)])
     stacked = ", ".join(f"'{c}', _m{i}" for i, c in enumerate(present))
     return counts.select(F.expr(f"stack({len(present)}, {stacked}) AS (campo, fechas_ilegibles)"))
 

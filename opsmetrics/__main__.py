@@ -3,7 +3,7 @@
     python -m opsmetrics dashboard --operations PATH --out DIR [--years 2024 ...]
         [--months 2024-01 ...] [--tipos A M ...] [--owners X ...] [--views a,b] [--csv] [--day-first]
     python -m opsmetrics usage --sessions PATH --out DIR [--loads PATH] [--as-of DATE] [--days 30] [--csv]
-    python -m opsmetrics upload --upload FILE --stored PATH --out DIR [--append] [--day-first]
+    python -m opsmetrics upload --upload FILE --stored PATH --out DIR [--store] [--append] [--day-first] [--serials]
 
 Each view or report is written by the executors under DIR/<name>.
 """
@@ -17,6 +17,7 @@ from opsmetrics.operators import ingest
 from opsmetrics.plans.dashboard import dashboard, loads, usage
 from opsmetrics.session import build_session
 from opsmetrics.sources import (
+    OperationsStore,
     append_load_log,
     append_operations,
     export_csv,
@@ -64,7 +65,7 @@ def run_usage(spark, args) -> list[str]:
 def run_upload(spark, args) -> dict[str, int]:
     raw = read_upload(spark, args.upload, fmt=args.upload_format)
     # every stored row counts as existing, also those without fecha_file
-    stored = spark.read.format(args.format).load(args.stored)
+    stored = OperationsStore(spark, args.stored) if args.store else spark.read.format(args.format).load(args.stored)
     result = ingest.analyze_upload(raw, stored, checkpoint=True, day_first=args.day_first, serials=args.serials, sort_duplicates=True)
     out = args.out.rstrip("/")
     export_csv(result.duplicates, f"{out}/duplicados", single_file=False)
@@ -72,8 +73,8 @@ def run_upload(spark, args) -> dict[str, int]:
     counts = result.counts.first().asDict()
     counts["fechas_ilegibles"] = {r["campo"]: r["fechas_ilegibles"] for r in result.bad_dates.collect()}
     if args.append:
-        written = append_operations(result.new, args.stored, fmt=args.format)
-        append_load_log(result.counts, result.quality, f"{out}/cargas_log")
+        written = stored.append(result.new) if args.store else append_operations(result.new, args.stored, fmt=args.format)
+        append_load_log(result.summary, f"{out}/cargas_log")
         counts["insertados"] = written
     return counts
 
@@ -106,6 +107,7 @@ def main(argv: list[str] | None = None) -> None:
     u.add_argument("--stored", required=True)
     u.add_argument("--format", default="parquet")
     u.add_argument("--out", required=True)
+    u.add_argument("--store", action="store_true", help="--stored is a store of committed loads with a key index")
     u.add_argument("--append", action="store_true")
     u.add_argument("--day-first", action="store_true")
     u.add_argument("--serials", action="store_true", help="five-digit numbers in date columns are days since 1899-12-30")

@@ -23,6 +23,7 @@ from opsmetrics import rules, schema
 from opsmetrics.functions.expr import normalize_text, placeholder_if_missing, quality_label
 from opsmetrics.session import checkpoint_dir
 from opsmetrics.sources.readers import coerce_dates, stored_key_values, unreadable_dates
+from opsmetrics.sources.store import OperationsStore
 
 ORDINAL = "_ordinal"
 # Alternative headers seen in uploads, in normalised form, and their contract name.
@@ -149,21 +150,65 @@ def project_contract(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in schema.CONTRACT_COLUMNS if c in df.columns])
 
 
-def upload_counts(valid: DataFrame, existing: DataFrame, key: str = "file") -> DataFrame:
-    """The load-log figures of an upload in one pass, one row:
-    ``nuevos`` (new keys), ``existentes`` (keys already stored) and
-    ``duplicados`` (rows of keys that occur more than once, every copy).
-
-    Upload rows and stored keys are counted per key together, with map-side
-    partial aggregation: one shuffle, no join and no ``distinct``.
+def upload_summary(
+    valid: DataFrame,
+    existing: DataFrame,
+    key: str = "file",
+    order: list[str] | None = None,
+    fields: list[str] | None = None,
+    placeholder: str = rules.PLACEHOLDER,
+) -> DataFrame:
+    """All figures of the load log in one pass over the upload, one row:
+    ``nuevos`` (new keys), ``existentes`` (keys already stored), ``duplicados`` (rows of
+    keys that occur more than once, every copy) and ``faltantes``: for each of the
+    checked fields, how many new rows hold the placeholder.
+
+    Upload rows and stored keys are aggregated per key together, with map-side
+    partial aggregation: one shuffle, no join and no ``distinct``. Of a key's copies
+    the first one by ``order`` counts for the fields, as in ``upload_dedupe``.
     """
-    rows = valid.select(key, F.lit(1).alias("_up"), F.lit(0).alias("_st"))
-    stored = existing.select(key, F.lit(0).alias("_up"), F.lit(1).alias("_st"))
-    per_key = rows.unionAll(stored).groupBy(key).agg(F.sum("_up").alias("_n"), F.max("_st").alias("_stored"))
-    return per_key.where(F.col("_n") > 0).agg(
-        F.count_if(F.col("_stored") == 0).alias("nuevos"),
-        F.count_if(F.col("_stored") == 1).alias("existentes"),
+    fields = fields or rules.QUALITY_FIELDS
+    flags = F.array(*[(F.col(f) == F.lit(placeholder)).alias(f) for f in fields])
+    # nulls last, as the copies are ordered there
+    places = [F.struct(F.col(c).isNull(), F.col(c)).alias(f"o{i}") for i, c in enumerate(order or [ORDINAL])]
+    first = F.struct(*places, flags.alias("missing"))
+    rows = valid.select(key, first.alias("_first"))
+    stored = existing.select(key, F.lit(None).cast(rows.schema["_first"].dataType).alias("_first"))
+    per_key = (
+        rows.unionAll(stored)
+        .groupBy(key)
+        .agg(
+            F.count("_first").alias("_n"),  # of an upload row the struct is not null, whatever it holds
+            F.count_if(F.col("_first").isNull()).alias("_stored"),
+            F.min("_first").alias("_first"),
+        )
+        .where(F.col("_n") > 0)
+        .select("_n", "_stored", F.col("_first.missing").alias("_missing"))
+    )
+    new = F.col("_stored") == 0
+    return per_key.agg(
+        F.count_if(new).alias("nuevos"),
+        F.count_if(~new).alias("existentes"),
         F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("bigint").alias("duplicados"),
+        F.array(*[F.count_if(new & F.get("_missing", F.lit(i))) for i in range(len(fields))]).alias("faltantes"),
+    )
+
+
+def upload_counts(valid: DataFrame, existing: DataFrame, key: str = "file") -> DataFrame:
+    """The three counts of ``upload_summary``, without the fields."""
+    rows = valid.select(key, F.lit("").alias("_any"))
+    return upload_summary(rows, existing, key, ["_any"], ["_any"], "").select("nuevos", "existentes", "duplicados")
+
+
+def summary_quality(summary: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """``quality_summary`` from the figures of ``upload_summary``."""
+    labels = F.array(*[F.lit(quality_label(f)) for f in fields or rules.QUALITY_FIELDS])
+    return (
+        summary.where(F.col("nuevos") > 0)
+        .select("nuevos", F.inline(F.arrays_zip(labels.alias("campo"), F.col("faltantes").alias("registros_faltantes"))))
+        .select(
+            "campo", "registros_faltantes", (F.col("registros_faltantes") / F.col("nuevos") * F.lit(100.0)).alias("porcentaje")
+        )
     )
 
 
@@ -172,13 +217,14 @@ class UploadAnalysis(NamedTuple):
     existing: DataFrame
     duplicates: DataFrame
     quality: DataFrame
+    summary: DataFrame
     counts: DataFrame
     bad_dates: DataFrame
 
 
 def analyze_upload(
     raw: DataFrame,
-    stored_ops: DataFrame,
+    stored_ops: DataFrame | OperationsStore,
     key: str = "file",
     checkpoint: bool = False,
     day_first: bool = False,
@@ -186,10 +232,12 @@ def analyze_upload(
     sort_duplicates: bool = False,
 ) -> UploadAnalysis:
     """The whole upload analysis as lazy frames (new, existing, duplicates,
-    quality summary, load-log counts, unreadable dates per column).
+    quality summary, load-log figures, unreadable dates per column).
 
-    The stored table goes straight into the semi and anti joins with the
-    deduplicated rows: repeated stored keys need no ``distinct`` there.
+    ``stored_ops`` is the stored table, or a store with a key index. A table's keys
+    go straight into the semi and anti joins with the deduplicated rows: repeated
+    stored keys need no ``distinct`` there. A store is asked for the upload's
+    keys only, which reads the upload's buckets of its index.
 
     The cleaned frame feeds three outputs. With ``checkpoint=True`` it is written
     once to the reliable checkpoint folder (``spark.checkpoint.dir``), which cuts
@@ -204,14 +252,19 @@ def analyze_upload(
     order = [ORDINAL] if ORDINAL in cleaned.columns else sorted(c for c in cleaned.columns if c != key)
     duplicates = upload_duplicates(cleaned, key, sort=sort_duplicates)
     deduped = upload_dedupe(cleaned, key, order)
-    stored = stored_key_values(stored_ops, key)
+    if isinstance(stored_ops, OperationsStore):
+        stored = stored_ops.stored_keys(cleaned.select(key))
+    else:
+        stored = stored_key_values(stored_ops, key)
     new = split_new(deduped, stored, key)
     existing = split_existing(deduped, stored, key)
+    summary = upload_summary(cleaned, stored, key, order)
     return UploadAnalysis(
         new=project_contract(coerce_dates(new, day_first=day_first, serials=serials)),
         existing=existing,
         duplicates=duplicates,
-        quality=quality_summary(new),
-        counts=upload_counts(cleaned, stored, key),
+        quality=summary_quality(summary),
+        summary=summary,
+        counts=summary.select("nuevos", "existentes", "duplicados"),
         bad_dates=unreadable_dates(cleaned, day_first=day_first, serials=serials),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsmetrics import rules, schema
-from opsmetrics.functions import quality_label, round_half_even
+from opsmetrics.functions import quality_label, round_half_even, strip_all
 from opsmetrics.functions.display import ALLOCATION_LABELS, with_labels
 from opsmetrics.operators import allocation, cycle, filters, forecast, ingest, loadlog, sessions, volume, workload
 from opsmetrics.plans import fixtures as fx
@@ -30,6 +30,7 @@ from opsmetrics.sources.readers import (
     read_upload,
 )
 from opsmetrics.sources.sinks import append_operations, append_sessions, export_csv, load_log_row
+from opsmetrics.sources.store import OperationsStore
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,7 @@ FILTER_YEARS = [1996, 1997]
 FILTER_MONTHS = ["1996-03", "1996-04"]
 FILTER_TYPES = ["A", "M", "Z"]
 FILTER_OWNERS = [f"OP{i:05d}" for i in range(100)]
+STORE_BUCKETS = 16
 UPLOAD_COLUMNS = ["file", "cliente", "tipo", "operativo", "comercial", "estado"]
 
 
@@ -222,6 +224,35 @@ def _append_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> OperationsStore:
+    """The stored keys of the fixture as a store: half of them in the index, half in a later load."""
+    store = OperationsStore(spark, _io_path(spark, "store"))
+    stored = fx.existing_ops(spark, sf_dir)
+    early = F.pmod(F.xxhash64("file"), F.lit(2)) == 0
+    store.commit(store.begin(stored.where(early)))
+    store.refresh_index(STORE_BUCKETS)
+    store.commit(store.begin(stored.where(~early)))
+    return store
+
+
+def _store_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 and J4 through the key index: each upload row with whether its key is stored."""
+    upload = ingest.analyze_upload(fx.raw_upload(spark, sf_dir), _stored(spark, sf_dir))
+    flagged = [part.select(*UPLOAD_COLUMNS, F.lit(known).alias("almacenada")) for part, known in ((upload.new, False), (upload.existing, True))]
+    return flagged[0].unionByName(flagged[1])
+
+
+def _store_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 by commits: two loads of one upload at once, and one that never commits; each key is stored once."""
+    store = _stored(spark, sf_dir)
+    rows = ingest.upload_dedupe(_valid_upload(spark, sf_dir))
+    first, second = store.begin(rows.where("tipo <> 'C'")), store.begin(rows.where("tipo <> 'A'"))
+    store.begin(rows)
+    store.commit(second)
+    store.commit(first)
+    return store.read().select(F.upper(strip_all("file")).alias("file"), "tipo", "operativo")
+
+
 def _upload_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _io_path(spark, "upload")
     export_csv(fx.awkward_upload(spark, sf_dir), path)
@@ -311,7 +342,7 @@ def _spark_queries() -> dict[str, Builder]:
     def _log_entry(s, d):
         a = _upload(s, d)
         record = lambda r: F.concat_ws(":", r["campo"], r["registros_faltantes"].cast("string"), r["porcentaje"])
-        return load_log_row(a.counts, a.quality).select(
+        return load_log_row(a.summary).select(
             "registros_limpios", "registros_duplicados", F.array_join(F.transform("calidad_json", record), ",").alias("calidad")
         )
 
@@ -324,6 +355,8 @@ def _spark_queries() -> dict[str, Builder]:
     # sources and sinks, written to the shared folder and read back
     q["ops_read"] = _ops_read
     q["append_operations"] = _append_operations
+    q["store_split"] = _store_split
+    q["store_loads"] = _store_loads
     q["upload_csv_roundtrip"] = _upload_csv
     q["export_csv_roundtrip"] = _export_csv
     q["load_log_read"] = _load_log_read
@@ -459,6 +492,12 @@ def _oracle() -> dict[str, str]:
         "SELECT count(*) FILTER (WHERE estado IS NULL) AS primera, count(*) FILTER (WHERE estado IS NOT NULL) AS segunda, "
         "count(*) AS filas, count(DISTINCT file) AS claves FROM ops"
     )
+    sql["store_split"] = w(*UPLOAD) + (
+        f"SELECT {UPCOLS}, file IN (SELECT file FROM existing_keys) AS almacenada FROM upload_dedupe"
+    )
+    sql["store_loads"] = w(*UPLOAD) + (
+        "SELECT file, tipo, operativo FROM upload_new UNION ALL SELECT file, NULL, NULL FROM existing_keys"
+    )
     awkward = (
         "SELECT l_orderkey || '-' || l_linenumber AS clave, '  say \"' || l_returnflag || '\", x ' AS cita, "
         "'a,' || l_orderkey || '-' || l_linenumber || chr(10) || 'line two' || chr(13) || chr(10) || 'three ' AS lineas, "

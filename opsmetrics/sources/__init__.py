@@ -15,3 +15,4 @@ from opsmetrics.sources.sinks import (  # noqa: F401
     export_csv,
     load_log_row,
 )
+from opsmetrics.sources.store import OperationsStore  # noqa: F401

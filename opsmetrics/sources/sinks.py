@@ -43,47 +43,42 @@ def append_operations(
     return int(observation.get.get("rows", 0))
 
 
-def load_log_row(counts: DataFrame, quality_df: DataFrame, loaded_at: dt.datetime | None = None) -> DataFrame:
-    """One load-log row from ``ingest.upload_counts`` and ``ingest.quality_summary``.
+def load_log_row(summary: DataFrame, loaded_at: dt.datetime | None = None, fields: list[str] | None = None) -> DataFrame:
+    """One load-log row from the figures of ``ingest.upload_summary``.
 
     ``registros_duplicados`` counts every copy of a duplicated key (including
     the kept one) plus the keys that already existed, as the log always did.
-    The quality records keep the field order of the summary.
+    The quality records are in the order of the fields; none if nothing is new.
     """
-    order = F.array(*[F.lit(quality_label(f)) for f in rules.QUALITY_FIELDS])
-    text = F.format_string("%.1f%%", round_half_even("porcentaje", 1))
-    record = F.struct(
-        F.array_position(order, F.col("campo")).alias("pos"),
-        F.col("campo"),
-        F.col("registros_faltantes").cast("bigint").alias("registros_faltantes"),
-        text.alias("porcentaje"),
-    )
-    ordered = F.array_sort(F.collect_list(record))
-    calidad = F.transform(
-        ordered,
-        lambda r: F.struct(
-            r["campo"].alias("campo"), r["registros_faltantes"].alias("registros_faltantes"), r["porcentaje"].alias("porcentaje")
-        ),
-    ).cast(T.ArrayType(schema.QUALITY_RECORD))
+    labels = F.array(*[F.lit(quality_label(f)) for f in fields or rules.QUALITY_FIELDS])
+
+    def record(missing, i):
+        share = F.try_divide(missing, F.col("nuevos")) * F.lit(100.0)
+        return F.struct(
+            F.get(labels, i).alias("campo"),
+            missing.cast("bigint").alias("registros_faltantes"),
+            F.format_string("%.1f%%", round_half_even(share, 1)).alias("porcentaje"),
+        )
+
+    records = F.when(F.col("nuevos") > 0, F.transform("faltantes", record)).otherwise(F.array())
     stamp = ts_literal(loaded_at) if loaded_at is not None else F.localtimestamp()
-    return counts.select(
+    return summary.select(
         F.col("nuevos").cast("bigint").alias("registros_limpios"),
         (F.col("duplicados") + F.col("existentes")).cast("bigint").alias("registros_duplicados"),
-        quality_df.select(calidad).scalar().alias("calidad_json"),
+        records.cast(T.ArrayType(schema.QUALITY_RECORD)).alias("calidad_json"),
         stamp.cast("timestamp_ntz").alias("fecha_carga"),
     )
 
 
 def append_load_log(
-    counts: DataFrame,
-    quality_df: DataFrame,
+    summary: DataFrame,
     path: str | None,
     fmt: str = "parquet",
     options: dict | None = None,
     loaded_at: dt.datetime | None = None,
 ) -> None:
     """Append the one-row load log entry for an upload."""
-    row = load_log_row(counts, quality_df, loaded_at)
+    row = load_log_row(summary, loaded_at)
     writer = _writer(row, fmt, "append", options)
     writer.save(path) if path is not None else writer.save()
 

@@ -87,14 +87,19 @@ def test_upload_counts_and_load_log_row(spark):
     counts = ingest.upload_counts(valid, stored).collect()[0]
     assert (counts.nuevos, counts.existentes, counts.duplicados) == (2, 1, 5)
     new = ingest.split_new(ingest.upload_dedupe(valid), stored)
-    row = load_log_row(ingest.upload_counts(valid, stored), ingest.quality_summary(new), dt.datetime(2024, 5, 1)).collect()[0]
+    summary = ingest.upload_summary(valid, stored)
+    assert rows(ingest.summary_quality(summary)) == rows(ingest.quality_summary(new))
+    row = load_log_row(summary, dt.datetime(2024, 5, 1)).collect()[0]
     assert (row.registros_limpios, row.registros_duplicados) == (2, 6)
     assert [(q.campo, q.registros_faltantes, q.porcentaje) for q in row.calidad_json] == [
         ("Operativo", 0, "0.0%"), ("Comercial", 2, "100.0%"), ("Estado", 2, "100.0%")
     ]
     assert row.fecha_carga == dt.datetime(2024, 5, 1)
-    empty_new = new.where(F.lit(False))
-    assert load_log_row(ingest.upload_counts(valid, stored), ingest.quality_summary(empty_new)).collect()[0].calidad_json == []
+    nothing_new = ingest.upload_summary(valid, valid.select("file"))
+    assert load_log_row(nothing_new).collect()[0].calidad_json == []
+    assert ingest.summary_quality(nothing_new).count() == 0
+    none = ingest.upload_summary(valid.where(F.lit(False)), stored).first()
+    assert (none.nuevos, none.existentes, none.duplicados, none.faltantes) == (0, 0, 0, [0, 0, 0])
 
 
 def test_upload_roundtrip_through_csv_and_sinks(spark, tmpdir_path):
@@ -118,7 +123,7 @@ def test_upload_roundtrip_through_csv_and_sinks(spark, tmpdir_path):
     assert stored_now.columns == ingest.schema.CONTRACT_COLUMNS
     assert stored_now.count() == 1
     log_path = f"{tmpdir_path}/log"
-    append_load_log(result.counts, result.quality, log_path)
+    append_load_log(result.summary, log_path)
     log = spark.read.parquet(log_path).collect()
     assert (log[0].registros_limpios, log[0].registros_duplicados) == (1, 3)
     # the stored keys now include F1, so the same upload has no new rows

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from math import isqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsmetrics import rules
 from opsmetrics.functions import floor_days, is_open, rule_lookup
 from opsmetrics.sources.readers import coerce_dates
 
-# The grid is joined on (owner salt, type bucket): so many of each, whatever the
-# number of owners and types, so that the join has many small keys.
-GRID_BUCKETS = 32
+
+def grid_buckets(spark: SparkSession) -> int:
+    """How many owner salts, and as many type buckets, the grid is joined on: the
+    pairs of both are at least as many as the shuffle partitions, so that the whole
+    cluster makes the grid."""
+    return isqrt(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 64) - 1) + 1
 
 
 def owner_type_stats(
@@ -55,6 +59,26 @@ def owner_type_stats(
 STAT_FIELDS = ["_open", "_vel", "_ok"]
 
 
+def pin_stats(stats: DataFrame, owner_col: str = "operativo", type_col: str = "tipo") -> DataFrame:
+    """The same stats, read whole by every branch of a plan.
+
+    The condition is always true, but it keeps all columns of the stats in each
+    branch, above the aggregate: their plans stay equal, so the exchange of the
+    one fact scan is reused.
+    """
+    whole = (F.col("_open") >= 0) & (F.coalesce("_vel", F.lit(0.0)) >= 0) & (F.coalesce("_ok", F.lit(0.0)) >= 0)
+    return stats.select(
+        F.when(whole, F.col(owner_col)).alias(owner_col), F.when(whole, F.col(type_col)).alias(type_col), *STAT_FIELDS
+    )
+
+
+def spare_capacity(ideal: Mapping[str, float] | None = None, type_col: str = "tipo", open_: str | None = "_open") -> Column:
+    """Extra operations of a pair: max(ideal - open, 0); without ``open_`` nothing is open."""
+    rate = rule_lookup(type_col, ideal or rules.IDEAL_PER_MONTH, rules.DEFAULT_IDEAL)
+    taken = F.lit(0) if open_ is None else F.coalesce(F.col(open_), F.lit(0))
+    return F.greatest(rate - taken, F.lit(0)).cast("bigint")
+
+
 def capacity_grid(
     stats: DataFrame,
     ideal: Mapping[str, float] | None = None,
@@ -69,22 +93,15 @@ def capacity_grid(
     each type for every salt, so the pairs come from an equi-join, with no list
     of types in any row. The stats of the pair are then joined on (owner, type).
     """
-    # always true, but it keeps all columns of the stats in each of the three
-    # branches, above the aggregate: their plans stay equal, so the exchange
-    # of the one fact scan is reused
-    whole = (F.col("_open") >= 0) & (F.coalesce("_vel", F.lit(0.0)) >= 0) & (F.coalesce("_ok", F.lit(0.0)) >= 0)
-    pinned = stats.select(
-        F.when(whole, F.col(owner_col)).alias(owner_col), F.when(whole, F.col(type_col)).alias(type_col), *STAT_FIELDS
-    )
-    n = F.lit(GRID_BUCKETS)
+    pinned = pin_stats(stats, owner_col, type_col)
+    n = F.lit(grid_buckets(stats.sparkSession))
     every = F.explode(F.sequence(F.lit(0), n - 1))
     owners = pinned.select(owner_col).where(F.col(owner_col).isNotNull()).distinct()
     owners = owners.select(owner_col, F.pmod(F.xxhash64(owner_col), n).cast("int").alias("_s"), every.alias("_b"))
     types = pinned.select(type_col).where(F.col(type_col).isNotNull()).distinct()
     types = types.select(type_col, F.pmod(F.xxhash64(type_col), n).cast("int").alias("_b"), every.alias("_s"))
     grid = owners.join(types, ["_s", "_b"]).select(owner_col, type_col)
-    ideal_rate = rule_lookup(type_col, ideal or rules.IDEAL_PER_MONTH, rules.DEFAULT_IDEAL)
-    spare = F.greatest(ideal_rate - F.coalesce(F.col("_open"), F.lit(0)), F.lit(0)).cast("bigint")
+    spare = spare_capacity(ideal, type_col)
     return grid.join(pinned, [owner_col, type_col], "left").withColumn("cargas_posibles_adicionales", spare)
 
 

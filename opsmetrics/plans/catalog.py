@@ -245,7 +245,9 @@ def _store_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _store_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6 by commits: two loads of one upload at once, and one that never commits; each key is stored once."""
     store = _stored(spark, sf_dir)
-    rows = ingest.upload_dedupe(_valid_upload(spark, sf_dir))
+    path = _io_path(spark, "load")
+    ingest.upload_dedupe(_valid_upload(spark, sf_dir)).drop("_ordinal").write.parquet(path)
+    rows = spark.read.parquet(path)
     first, second = store.begin(rows.where("tipo <> 'C'")), store.begin(rows.where("tipo <> 'A'"))
     store.begin(rows)
     store.commit(second)
@@ -408,7 +410,7 @@ def _spark_queries() -> dict[str, Builder]:
         allocation.allocation_guide(_ops(s, d)), "velocidad_promedio_dias", "eficacia_historica"
     )
     q["allocation_top"] = lambda s, d: r6(
-        allocation.allocation_top(allocation.allocation_guide(_ops(s, d), sort=False)),
+        allocation.top_allocations(_ops(s, d)),
         "velocidad_promedio_dias",
         "eficacia_historica",
     )

@@ -52,7 +52,6 @@ def dashboard(
         filtered = filtered.persist(StorageLevel.MEMORY_AND_DISK)
     closed = filters.closed_durations(filtered)
     load = workload.open_load_by_owner(filtered)
-    guide = allocation.allocation_guide(filtered, sort=False)
     comparison = cycle.cycle_time_vs_standard(closed)
     flow = volume.flow_classification(filtered)
     daily = forecast.daily_series(ops)
@@ -63,7 +62,7 @@ def dashboard(
             "type_distribution": volume.type_distribution(filtered),
             "owner_workload_top": volume.owner_workload(filtered),
             "allocation_guide": allocation.allocation_guide(filtered),
-            "allocation_top": allocation.allocation_top(guide),
+            "allocation_top": allocation.top_allocations(filtered),
             "open_load": load,
             "top_open_count": workload.top_open(load, "cantidad_operaciones"),
             "top_open_effort": workload.top_open(load, "esfuerzo_total"),

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from opsmetrics import schema
-from opsmetrics.sources.readers import stored_key_values
+from opsmetrics.sources.readers import coerce_dates, stored_key_values
 from opsmetrics.sources.sinks import to_contract
 
 _COMMIT = "version bigint, load string, rows bigint, base string, buckets int, covers bigint"
@@ -186,10 +186,11 @@ class OperationsStore:
         """Write the rows whose key is not stored yet; readers do not see them before ``commit``.
 
         ``rows`` have one row for each normalised key (``ingest.upload_dedupe``).
-        They are written first, so that they are computed once.
+        They are written first, so that they are computed once. Dates that are still
+        text are read with the defaults of ``coerce_dates``.
         """
         staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-        to_contract(rows).write.parquet(staged)
+        to_contract(coerce_dates(rows)).write.parquet(staged)
         given = self.spark.read.schema(schema.OPERATIONS).parquet(staged)
         at = self.snapshot()
         return self._stage(given.join(self.stored_keys(given, at), self.key, "left_anti"), at.version)

@@ -107,6 +107,32 @@ def test_allocation_guide_by_hand(spark, seed):
         assert got[key][3] == pytest.approx(index, abs=0.0051)
 
 
+@pytest.mark.parametrize("seed, n", [(1, 15), (2, 4), (3, 400), (4, 1)])
+def test_top_allocations_without_the_grid(spark, seed, n):
+    ops = spark.createDataFrame(random_ops(seed, 40 if n < 10 else 300), OPS_SCHEMA)
+    want = allocation.allocation_top(allocation.allocation_guide(ops, sort=False), n)
+    top = allocation.top_allocations(ops, n)
+    assert sorted(map(tuple, top.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_grid_is_made_once_and_not_at_all_for_the_top(spark):
+    ops = spark.createDataFrame(random_ops(5), OPS_SCHEMA)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    exploded = "Generate explode("
+    assert plan(workload.available_capacity(ops)).count(exploded) == plan(allocation.allocation_guide(ops)).count(exploded) > 0
+    assert exploded not in plan(allocation.top_allocations(ops))
+
+
+def test_top_allocations_with_few_pairs(spark):
+    rows = [("F1", "A", "o1", "ABIERTO", dt.datetime(2024, 1, 1), None), ("F2", None, "o2", "ABIERTO", dt.datetime(2024, 1, 1), None)]
+    rows += [("F3", "M", None, "CERRADO", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 9))]
+    for given in (rows, rows[:1], []):
+        ops = spark.createDataFrame(given, OPS_SCHEMA)
+        want = sorted(map(tuple, allocation.allocation_guide(ops).collect()))
+        assert sorted(map(tuple, allocation.top_allocations(ops).collect())) == want
+    assert len(allocation.allocation_guide(spark.createDataFrame(rows, OPS_SCHEMA)).collect()) == 4
+
+
 def test_capacity_of_twenty_thousand_types(spark):
     rows = [(f"F{i}", f"T{i}", f"o{i % 2}", "ABIERTO", dt.datetime(2024, 1, 1), None) for i in range(20_000)]
     out = workload.available_capacity(spark.createDataFrame(rows, OPS_SCHEMA))

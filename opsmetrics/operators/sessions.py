@@ -118,6 +118,41 @@ def session_summary(sessions: DataFrame, as_of: dt.datetime, days: int = 30) ->
     )
 
 
+def session_summaries(sessions: DataFrame, as_of: dt.datetime, periods: tuple[int, ...] = rules.USAGE_PERIODS) -> DataFrame:
+    """``session_summary`` of several periods at once, a row for each (``days``) that has a session.
+
+    A session belongs to the shortest period that reaches back to it, and to all
+    longer ones; a user to the shortest period of any of their sessions. So one
+    aggregate by user, and one over the users, hold the figures of each period
+    by itself; those of a period are the sums up to it.
+    """
+    periods = sorted(set(periods))
+    shortest = F.coalesce(
+        *[F.when(F.col("session_start") >= ts_literal(as_of - dt.timedelta(days=d)), F.lit(i)) for i, d in enumerate(periods)]
+    )
+    placed = _window(sessions, as_of, periods[-1]).select("username", "duration_minutes", shortest.alias("_p"))
+    own = range(len(periods))
+    per_user = placed.groupBy("username").agg(
+        F.min("_p").alias("_first"),
+        F.array(*[F.count_if(F.col("_p") == i) for i in own]).alias("_n"),
+        F.array(*[F.count(F.when(F.col("_p") == i, F.col("duration_minutes"))) for i in own]).alias("_timed"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col("_p") == i, F.col("duration_minutes"))), F.lit(0)) for i in own]).alias("_minutes"),
+    )
+    known = F.col("username").isNotNull()
+    up_to = lambda what, i: sum((F.sum(F.get(what, F.lit(j))) for j in range(i + 1)), F.lit(0))
+    rows = [
+        F.struct(
+            F.lit(d).alias("days"),
+            up_to("_n", i).cast("bigint").alias("total_sessions"),
+            F.count_if(known & (F.col("_first") <= i)).alias("unique_users"),
+            F.try_divide(up_to("_minutes", i).cast("double"), up_to("_timed", i)).alias("avg_duration_minutes"),
+            F.when(up_to("_timed", i) > 0, up_to("_minutes", i) / F.lit(60.0)).alias("total_hours"),
+        )
+        for i, d in enumerate(periods)
+    ]
+    return per_user.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows")).where(F.col("total_sessions") > 0)
+
+
 def sessions_by_user(sessions: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFrame:
     """Sessions per user in the period."""
     return (

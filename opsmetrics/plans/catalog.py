@@ -20,7 +20,8 @@ from opsmetrics.operators import allocation, cycle, filters, forecast, ingest, l
 from opsmetrics.plans import fixtures as fx
 from opsmetrics.plans import oracle as o
 from opsmetrics.session import checkpoint_dir
-from opsmetrics.streaming import sessionize_stream, start_sessions_sink
+from opsmetrics.streaming import sessionize_cells_stream, sessionize_stream, start_event_split, start_sessions_sink
+from opsmetrics.streaming.cells import LATE, STATE_STORE
 from opsmetrics.sources.readers import (
     coerce_dates,
     existing_keys,
@@ -200,6 +201,39 @@ def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*SESSION_OUT, F.array_join("pages_visited", ",").alias("pages"))
 
 
+def _stream_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 in two levels of state, over the events written as a folder."""
+    base = _io_path(spark, "cells")
+    events = fx.events_with_user(spark, sf_dir)
+    events.write.parquet(f"{base}/in")
+    before = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)
+    try:
+        stream = sessionize_cells_stream(spark.readStream.schema(events.schema).parquet(f"{base}/in"), STREAM_GAP, STREAM_WATERMARK)
+        query = start_sessions_sink(stream, f"{base}/out", f"{base}/dead", f"{base}/checkpoint")
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE[0], before)
+    if query.dead_letters:
+        raise RuntimeError(f"batches in the dead letters {base}/dead: {query.dead_letters}")
+    out = spark.read.parquet(f"{base}/out") if query.lastProgress else spark.createDataFrame([], schema.SESSIONS)
+    return out.select(*SESSION_OUT, F.array_join("pages_visited", ",").alias("pages"))
+
+
+def _stream_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with why it is in the side sink, if it is: one event in five arrives after all others."""
+    base = _io_path(spark, "split")
+    events = fx.events_with_user(spark, sf_dir)
+    second = F.pmod(F.minute("ts"), F.lit(5)) == 0
+    for arrival in (~second, second):
+        events.where(F.coalesce(arrival, F.lit(False))).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        start_event_split(source, f"{base}/accepted", f"{base}/late", f"{base}/checkpoint", STREAM_WATERMARK).awaitTermination()
+    columns = ["username", "ts", "event_type"]
+    taken = spark.read.parquet(f"{base}/accepted").select(*columns, F.lit(None).cast("string").alias("motivo"))
+    return taken.unionByName(spark.read.parquet(f"{base}/late").select(*columns, "motivo"))
+
+
 def _ops_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1: stored operations whose dates are text, one in seven of them unreadable."""
     path = _io_path(spark, "operations")
@@ -438,7 +472,12 @@ def _spark_queries() -> dict[str, Builder]:
     q["sessions_by_user"] = lambda s, d: sessions.sessions_by_user(fx.sessions(s, d), AS_OF, SUMMARY_DAYS)
     q["sessions_by_day"] = lambda s, d: sessions.sessions_by_day(fx.sessions(s, d), AS_OF, SUMMARY_DAYS)
     q["recent_sessions"] = lambda s, d: sessions.recent_sessions(fx.sessions(s, d))
+    q["session_summary_periods"] = lambda s, d: r6(
+        sessions.session_summaries(fx.sessions(s, d), AS_OF), "avg_duration_minutes", "total_hours"
+    )
     q["sessionize_stream"] = _stream_sessions
+    q["sessionize_stream_cells"] = _stream_cells
+    q["stream_event_split"] = _stream_split
     return q
 
 
@@ -656,6 +695,13 @@ def _oracle() -> dict[str, str]:
     for days in USAGE_DAYS:
         since = f"TIMESTAMP '{(AS_OF - dt.timedelta(days=days)).isoformat(sep=' ')}'"
         sql[f"session_summary_{days}"] = sql["session_summary"].replace(SINCE, since)
+    sql["session_summary_periods"] = w(o.SESSIONS_CTE) + " UNION ALL ".join(
+        f"SELECT {days} AS days, * FROM (SELECT count(*) AS total_sessions, count(DISTINCT username) AS unique_users, "
+        "round_even(avg(duration_minutes), 6) AS avg_duration_minutes, "
+        "round_even(CAST(sum(duration_minutes) AS DOUBLE) / 60.0, 6) AS total_hours FROM sessions "
+        f"WHERE session_start >= TIMESTAMP '{(AS_OF - dt.timedelta(days=days)).isoformat(sep=' ')}') WHERE total_sessions > 0"
+        for days in rules.USAGE_PERIODS
+    )
     sql["sessions_by_user"] = w(o.SESSIONS_CTE) + (
         f"SELECT username, count(*) AS sesiones FROM sessions WHERE session_start >= {SINCE} "
         "AND username IS NOT NULL GROUP BY 1"
@@ -676,6 +722,19 @@ def _oracle() -> dict[str, str]:
         f"FROM sessions WHERE session_end + INTERVAL {STREAM_GAP.split()[0]} HOUR "
         f"<= (SELECT max(ts) FROM events) - INTERVAL {STREAM_WATERMARK.split()[0]} HOUR"
     )
+    # in two levels a session comes out once the watermark reaches the end of
+    # the cell of one gap that holds the end of its gap
+    gap_us = int(STREAM_GAP.split()[0]) * 3_600_000_000
+    sql["sessionize_stream_cells"] = w(o.SESSIONS_CTE) + (
+        "SELECT username, session_start, session_end, duration_minutes, array_to_string(pages_visited, ',') AS pages "
+        f"FROM sessions WHERE ((epoch_us(session_end) + {gap_us}) // {gap_us} + 1) * {gap_us} "
+        f"<= epoch_us((SELECT max(ts) FROM events) - INTERVAL {STREAM_WATERMARK.split()[0]} HOUR)"
+    )
+    sql["stream_event_split"] = (
+        "SELECT 'user' || CAST(user_id AS VARCHAR) AS username, ts, event_type, "
+        f"CASE WHEN minute(ts) % 5 = 0 AND ts < (SELECT max(ts) FROM events WHERE minute(ts) % 5 <> 0) - INTERVAL 1 HOUR THEN '{LATE}' END AS motivo "
+        "FROM events WHERE ts IS NOT NULL"
+    )
     return sql
 
 

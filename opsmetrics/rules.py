@@ -32,6 +32,7 @@ FORECAST_MIN_ROWS = 10
 FORECAST_MIN_DAYS = 2
 FORECAST_HORIZON_DAYS = 90
 RECENT_SESSIONS = 50
+USAGE_PERIODS = (7, 15, 30, 60, 90)
 TOP_OWNERS = 15
 QUALITY_FIELDS = ["operativo", "comercial", "estado"]
 # Spanish month names used by the month label (the reference formats months

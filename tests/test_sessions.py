@@ -48,6 +48,20 @@ def test_usage_metrics(spark):
     ]
 
 
+def test_all_periods_at_once_equal_each_by_itself(spark):
+    as_of = D(2024, 1, 31)
+    data = [("a", 1, 5), ("a", 6.9, 7), ("a", 80, 1), ("b", 15, 2), ("b", 15.01, 3), ("c", 91, 4), (None, 20, 6), ("d", 59, None), ("e", -2, 9)]
+    sess = spark.createDataFrame(
+        [(u, as_of - dt.timedelta(days=d), m) for u, d, m in data], "username string, session_start timestamp_ntz, duration_minutes bigint"
+    )
+    for given in (sess, sess.where("username = 'd'"), sess.where("username is null"), sess.where("false")):
+        want = [(d, *r) for d in (7, 15, 30, 60, 90) for r in S.session_summary(given, as_of, d).collect()]
+        out = S.session_summaries(given, as_of)
+        assert sorted(map(tuple, out.collect())) == [tuple(r) for r in want]
+    plan = S.session_summaries(sess, as_of)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_streaming_sessions_match_batch_and_drop_late_events(spark, tmpdir_path):
     src, out, dead, ckpt = (os.path.join(tmpdir_path, p) for p in ("src", "out", "dead", "ckpt"))
     first = EVENTS[:-1] + [("u3", h(48), "view")]  # u3 advances the watermark

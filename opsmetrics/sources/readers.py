@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from opsmetrics import rules, schema
 from opsmetrics.functions import date_fields, fields_timestamp, serial_timestamp, strip_all, to_timestamp_ntz, ts_literal
+from opsmetrics.sources import sheets
 
 
 def _load(spark: SparkSession, path: str | None, fmt: str, options: dict | None) -> DataFrame:
@@ -92,32 +93,31 @@ def read_upload(
     fmt: str = "csv",
     options: dict | None = None,
     ordinal_column: str | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read an uploaded sheet with every column as text, plus ``_ordinal``.
 
     CSV is read as spreadsheets write it: quotes are doubled inside quotes, blanks
-    count, and a quoted value may hold line breaks. ``multi_line=False`` lets
-    Spark split large files that have no such value.
+    count, and a quoted value may hold line breaks. All the same a file is read by
+    many tasks (``sheets.read_quoted_csv``). Spark's own reader takes over with
+    ``multi_line=True`` (one task for each file), ``multi_line=False`` (no line breaks
+    in values) and options that change how records are found.
 
     ``_ordinal`` defines which copy of a duplicated key is "first". It comes from
     ``ordinal_column`` when the source carries one (row number of the sheet);
-    otherwise it is the file name and the position in the file.
+    otherwise it counts the rows from 0, by file name and position in the file.
     """
+    given = {k.lower() for k in options or {}}
+    if fmt == "csv" and multi_line is None and ordinal_column is None and not given & sheets.OWN_PARSING:
+        return sheets.read_quoted_csv(spark, path, options)
     opts = {}
     if fmt == "csv":
-        opts = {"header": "true", "inferSchema": "false", "escape": '"', "multiLine": str(multi_line).lower()}
+        opts = {"header": "true", "inferSchema": "false", "escape": '"', "multiLine": str(multi_line is not False).lower()}
     opts.update(options or {})
     df = _load(spark, path, fmt, opts)
+    numbered = sheets.number_rows(df) if ordinal_column is None else df
     text = [F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if c != ordinal_column]
-    if ordinal_column is not None:
-        return df.select(*text, F.col(ordinal_column).cast("bigint").alias("_ordinal"))
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return df.select(*text, place.alias("_ordinal"))
+    return numbered.select(*text, F.col(f"`{ordinal_column or sheets.ORDINAL}`").cast("bigint").alias(sheets.ORDINAL))
 
 
 def stored_key_values(ops: DataFrame, key: str = "file") -> DataFrame:

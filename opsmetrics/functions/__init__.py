@@ -18,4 +18,5 @@ from opsmetrics.functions.expr import (  # noqa: F401
     strip_all,
     to_timestamp_ntz,
     ts_literal,
+    within_standard,
 )

@@ -95,6 +95,11 @@ def rule_lookup(c: ColumnOrName, table: Mapping[str, float | int], default: floa
     return looked_up if default is None else F.coalesce(looked_up, F.lit(default))
 
 
+def within_standard(duration: ColumnOrName, type_col: ColumnOrName, standard: Mapping[str, int] | None = None) -> Column:
+    """Success: closed within the type's standard; an unknown type or no duration is none."""
+    return F.coalesce(_col(duration) <= rule_lookup(type_col, standard or rules.STANDARD_DAYS), F.lit(False))
+
+
 def is_open(estado: ColumnOrName, closed_state: str = rules.CLOSED_STATE) -> Column:
     """Open = upper(estado) is not the closed state; NULL estado counts as open."""
     return ~F.upper(_col(estado)).eqNullSafe(F.lit(closed_state))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics import rules
-from opsmetrics.functions import round_half_even, rule_lookup
+from opsmetrics.functions import round_half_even, within_standard
 
 DURATION = "duracion_real_dias"
 
@@ -77,8 +77,7 @@ def owner_performance(closed: DataFrame, owner_col: str = "operativo", sort: boo
 
 def success_flag(standard: Mapping[str, int] | None = None, type_col: str = "tipo"):
     """Closed within the type's standard; an unknown type is never a success."""
-    std = rule_lookup(type_col, standard or rules.STANDARD_DAYS)
-    return F.coalesce(F.col(DURATION) <= std, F.lit(False))
+    return within_standard(DURATION, type_col, standard)
 
 
 def owner_efficacy(

@@ -3,17 +3,17 @@
 The model family follows Taylor & Letham, "Forecasting at Scale" (2018):
 piecewise-linear trend with changepoints (Laplace prior on the rate changes),
 Fourier weekly and yearly seasonality, no daily term. Each series is fitted
-independently by a MAP solve (iteratively reweighted ridge), all series in
-parallel with ``groupBy().applyInPandas``.
-A series group holds one row per observed day, so its size is bounded by the
-calendar, not by the number of operations.
+independently by a MAP solve (iteratively reweighted ridge) of its normal
+equations, which are a distributed aggregate over the days.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics import rules
@@ -72,73 +72,149 @@ def _fourier(days: np.ndarray, period: float, order: int) -> np.ndarray:
     return np.hstack([np.sin(angles), np.cos(angles)])
 
 
-def fit_predict(pdf: pd.DataFrame, horizon: int) -> pd.DataFrame:
-    """Fit one series (columns serie, ds, y) and predict history plus horizon days."""
-    pdf = pdf.sort_values("ds")
-    serie = pdf["serie"].iloc[0]
-    ds = pd.to_datetime(pdf["ds"]).to_numpy().astype("datetime64[D]")
-    y = pdf["y"].to_numpy(dtype=float)
-    n = len(ds)
-    future = ds[-1] + np.arange(1, horizon + 1).astype("timedelta64[D]")
-    all_ds = np.concatenate([ds, future])
-    span = max(float((ds[-1] - ds[0]).astype(int)), 1.0)
-    t = (all_ds - ds[0]).astype(int).astype(float) / span
-    y_scale = max(float(np.abs(y).max()), 1.0)
-    ys = y / y_scale
-
-    n_window = int(np.floor(n * CHANGEPOINT_RANGE))
-    n_cp = min(N_CHANGEPOINTS, max(n_window - 1, 0))
-    cps = t[np.linspace(0, n_window - 1, n_cp + 1).round().astype(int)[1:]] if n_cp > 0 else np.empty(0)
-    hinges = np.maximum(t[:, None] - cps[None, :], 0.0)
-    trend_x = np.hstack([np.ones((len(t), 1)), t[:, None], hinges])
-    epoch_days = (all_ds - np.datetime64("1970-01-01")).astype(int).astype(float)
-    weekly_x = _fourier(epoch_days, WEEKLY_PERIOD, WEEKLY_ORDER)
-    yearly_x = _fourier(epoch_days, YEARLY_PERIOD, YEARLY_ORDER)
-    x = np.hstack([trend_x, weekly_x, yearly_x])
+def _design(t: np.ndarray, epoch_days: np.ndarray, changepoints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trend (level, slope, a hinge for each changepoint), weekly and yearly columns of the given days."""
+    hinges = np.maximum(t[:, None] - changepoints[None, :], 0.0)
+    trend = np.hstack([np.ones((len(t), 1)), t[:, None], hinges])
+    return trend, _fourier(epoch_days, WEEKLY_PERIOD, WEEKLY_ORDER), _fourier(epoch_days, YEARLY_PERIOD, YEARLY_ORDER)
+
+
+def _of_series(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row = pdf.iloc[0]
+    epoch = pdf["epoch"].to_numpy(dtype=float)
+    return _design((epoch - row["first_epoch"]) / row["span"], epoch, np.asarray(row["changepoints"], dtype=float))
+
+
+def series_frame(
+    daily: DataFrame, min_rows: int = rules.FORECAST_MIN_ROWS, min_days: int = rules.FORECAST_MIN_DAYS
+) -> DataFrame:
+    """What the fit needs to know of each eligible series: days, span, scale and changepoints.
+
+    Time runs from 0 to 1 over the observed span. Changepoints are at up to 25
+    evenly spaced of the first 80 % of the observed days.
+    """
+    order = Window.partitionBy("serie").orderBy("ds")
+    days = daily.select("serie", F.unix_date("ds").alias("epoch"), "y", (F.row_number().over(order) - 1).alias("rank"))
+    stats = days.groupBy("serie").agg(
+        F.sum("y").alias("filas"),
+        F.count(F.lit(1)).alias("days"),
+        F.min("epoch").alias("first_epoch"),
+        F.max("epoch").alias("last_epoch"),
+        F.greatest(F.max(F.abs("y")).cast("double"), F.lit(1.0)).alias("scale"),
+        F.collect_list(F.struct("rank", "epoch")).alias("at"),  # of one series: bounded by the calendar
+    )
+    window = F.floor(F.col("days") * F.lit(CHANGEPOINT_RANGE)).cast("int")
+    n_cp = F.greatest(F.least(F.lit(N_CHANGEPOINTS), window - 1), F.lit(0))
+    span = F.greatest(F.col("last_epoch") - F.col("first_epoch"), F.lit(1)).cast("double")
+    step = (F.col("window") - 1) / F.col("n_cp")
+    ranks = F.when(F.col("n_cp") > 0, F.transform(F.sequence(F.lit(1), F.col("n_cp")), lambda k: F.rint(k * step).cast("int")))
+    chosen = F.filter("at", lambda p: F.array_contains(F.col("ranks"), p["rank"]))
+    return (
+        stats.where((F.col("filas") >= min_rows) & (F.col("days") >= min_days))
+        .withColumns({"window": window, "n_cp": n_cp, "span": span})
+        .withColumn("ranks", F.coalesce(ranks, F.array().cast("array<int>")))
+        .select(
+            "serie", "days", "first_epoch", "last_epoch", "scale", "span",
+            F.transform(F.array_sort(chosen), lambda p: (p["epoch"] - F.col("first_epoch")) / F.col("span")).alias("changepoints"),
+        )
+    )
+
+
+def normal_equations(daily: DataFrame, series: DataFrame) -> DataFrame:
+    """The normal equations of each series as rows ``(serie, i, j, valor)``, i <= j.
+
+    They are the products of the design's columns and, as the last column, of the
+    scaled counts, summed over the days. Each batch of days adds up its own part;
+    an aggregate adds up the parts, so their number and the number of days do not
+    matter to what solves them.
+    """
+    days = daily.select("serie", F.unix_date("ds").alias("epoch"), "y").join(series, "serie")
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for serie, own in frame.groupby("serie", sort=False):
+                x = np.hstack([*_of_series(own), (own["y"].to_numpy(dtype=float) / own["scale"].iloc[0])[:, None]])
+                i, j = np.triu_indices(x.shape[1])
+                yield pd.DataFrame({"serie": serie, "i": i, "j": j, "valor": (x.T @ x)[i, j]})
+
+    parts = days.mapInPandas(partial, "serie string, i int, j int, valor double")
+    return parts.groupBy("serie", "i", "j").agg(F.sum("valor").alias("valor"))
+
+
+def solve(products: np.ndarray, n: int, n_cp: int) -> tuple[np.ndarray, float]:
+    """Coefficients and residual variance from the products of columns and counts over ``n`` days.
+
+    MAP by iteratively reweighted ridge: Gaussian priors on level, slope and
+    seasonality; the Laplace prior on changepoint rates as a ridge weight
+    sigma^2 / (scale * |delta|) from the previous solve.
+    """
+    gram, rhs, squares = products[:-1, :-1], products[:-1, -1], products[-1, -1]
     prior_sd = np.concatenate(
         [
             [TREND_PRIOR_SCALE, TREND_PRIOR_SCALE],
             np.full(n_cp, CHANGEPOINT_PRIOR_SCALE),
-            np.full(weekly_x.shape[1] + yearly_x.shape[1], SEASONALITY_PRIOR_SCALE),
+            np.full(2 * (WEEKLY_ORDER + YEARLY_ORDER), SEASONALITY_PRIOR_SCALE),
         ]
     )
-    xh = x[:n]
-    gram, rhs = xh.T @ xh, xh.T @ ys
-    sigma2 = max(float(np.var(ys)), 1e-4)
+    sigma2 = max(squares / n - (rhs[0] / n) ** 2, 1e-4)
     penalty = sigma2 / prior_sd**2
     cp = slice(2, 2 + n_cp)
     for _ in range(IRLS_ITERATIONS):
-        # MAP by iteratively reweighted ridge: Gaussian priors on level, slope
-        # and seasonality; the Laplace prior on changepoint rates as a ridge
-        # weight sigma^2 / (scale * |delta|) from the previous solve
         beta = np.linalg.solve(gram + np.diag(penalty), rhs)
-        sigma2 = max(float(np.mean((ys - xh @ beta) ** 2)), 1e-8)
+        sigma2 = max((squares - 2.0 * beta @ rhs + beta @ gram @ beta) / n, 1e-8)
         penalty = sigma2 / prior_sd**2
         penalty[cp] = sigma2 / (CHANGEPOINT_PRIOR_SCALE * np.maximum(np.abs(beta[cp]), 1e-6))
-    k_t, k_w = trend_x.shape[1], weekly_x.shape[1]
-    trend = trend_x @ beta[:k_t]
-    weekly = weekly_x @ beta[k_t : k_t + k_w]
-    yearly = yearly_x @ beta[k_t + k_w :]
-    yhat = trend + weekly + yearly
+    return beta, float(sigma2)
+
+
+def _solutions(equations: DataFrame, series: DataFrame) -> DataFrame:
+    """Per series the coefficients: one small matrix for each, however many days it has."""
+    matrices = equations.groupBy("serie").agg(F.array_sort(F.collect_list(F.struct("i", "j", "valor"))).alias("products"))
+
+    def solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for serie, days, n_cp, entries in zip(frame["serie"], frame["days"], frame["n_cp"], frame["products"]):
+                p = entries[-1]["i"] + 1
+                products = np.zeros((p, p))
+                for e in entries:
+                    products[e["i"], e["j"]] = products[e["j"], e["i"]] = e["valor"]
+                out.append((serie, *solve(products, days, n_cp)))
+            yield pd.DataFrame(out, columns=["serie", "beta", "sigma2"])
+
+    given = matrices.join(series.select("serie", "days", F.size("changepoints").alias("n_cp")), "serie")
+    return given.mapInPandas(solved, "serie string, beta array<double>, sigma2 double")
+
+
+def _predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     z = 1.2815515655446004  # two-sided 80 % normal quantile
-    # past the end the trend may go on changing as often (n_cp a unit of time)
-    # and as much (mean absolute change) as in the history: the variance of such
-    # a trend grows with the cube of the time past the end
-    change = float(np.mean(np.abs(beta[cp]))) if n_cp else 0.0
-    past = np.maximum(t - 1.0, 0.0)
-    half = z * np.sqrt(sigma2 + 2.0 * change**2 * n_cp * past**3 / 3.0)
-    return pd.DataFrame(
-        {
-            "serie": serie,
-            "ds": pd.to_datetime(all_ds).date,
-            "yhat": yhat * y_scale,
-            "yhat_lower": (yhat - half) * y_scale,
-            "yhat_upper": (yhat + half) * y_scale,
-            "trend": trend * y_scale,
-            "weekly": weekly * y_scale,
-            "yearly": yearly * y_scale,
-        }
-    )
+    for frame in frames:
+        for serie, own in frame.groupby("serie", sort=False):
+            trend_x, weekly_x, yearly_x = _of_series(own)
+            row = own.iloc[0]
+            beta, scale = np.asarray(row["beta"], dtype=float), float(row["scale"])
+            n_cp, k_t, k_w = trend_x.shape[1] - 2, trend_x.shape[1], weekly_x.shape[1]
+            trend, weekly = trend_x @ beta[:k_t], weekly_x @ beta[k_t : k_t + k_w]
+            yearly = yearly_x @ beta[k_t + k_w :]
+            yhat = trend + weekly + yearly
+            # past the end the trend may go on changing as often (n_cp a unit of time)
+            # and as much (mean absolute change) as in the history: the variance of
+            # such a trend grows with the cube of the time past the end
+            change = float(np.mean(np.abs(beta[2 : 2 + n_cp]))) if n_cp else 0.0
+            past = np.maximum(trend_x[:, 1] - 1.0, 0.0)
+            half = z * np.sqrt(row["sigma2"] + 2.0 * change**2 * n_cp * past**3 / 3.0)
+            yield pd.DataFrame(
+                {
+                    "serie": serie,
+                    "ds": own["ds"],
+                    "yhat": yhat * scale,
+                    "yhat_lower": (yhat - half) * scale,
+                    "yhat_upper": (yhat + half) * scale,
+                    "trend": trend * scale,
+                    "weekly": weekly * scale,
+                    "yearly": yearly * scale,
+                }
+            )
 
 
 def forecast(
@@ -147,15 +223,17 @@ def forecast(
     min_rows: int = rules.FORECAST_MIN_ROWS,
     min_days: int = rules.FORECAST_MIN_DAYS,
 ) -> DataFrame:
-    """History days plus ``horizon`` future days for every eligible series."""
+    """History days plus ``horizon`` future days for every eligible series.
+
+    The days are read in batches, by any number of tasks; only the normal
+    equations of a series, some fifty rows and columns, are in one place.
+    """
     if horizon < 1:
         raise ValueError("horizon must be at least one day")
-
-    def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        # the eligibility rule of ``forecast_eligible``, applied to the group
-        # itself so the daily series is computed once
-        if int(pdf["y"].sum()) < min_rows or len(pdf) < min_days:
-            return pd.DataFrame(columns=[c.split()[0] for c in FORECAST_SCHEMA.split(", ")])
-        return fit_predict(pdf, horizon)
-
-    return daily.groupBy("serie").applyInPandas(fit_one, schema=FORECAST_SCHEMA)
+    series = series_frame(daily, min_rows, min_days)
+    fitted = series.join(_solutions(normal_equations(daily, series), series), "serie")
+    ahead = F.explode(F.sequence(F.col("last_epoch") + 1, F.col("last_epoch") + horizon)).alias("epoch")
+    epochs = daily.select("serie", F.unix_date("ds").alias("epoch")).unionByName(series.select("serie", ahead))
+    rows = epochs.join(fitted, "serie").withColumn("ds", F.date_from_unix_date("epoch"))
+    wanted = ["serie", "epoch", "ds", "first_epoch", "span", "scale", "changepoints", "beta", "sigma2"]
+    return rows.select(*wanted).mapInPandas(_predict, FORECAST_SCHEMA)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsmetrics import rules
-from opsmetrics.functions import floor_days, is_open, rule_lookup
+from opsmetrics.functions import floor_days, is_open, rule_lookup, within_standard
 from opsmetrics.sources.readers import coerce_dates
 
 
@@ -46,8 +46,7 @@ def owner_type_stats(
         closed = F.col(start_col).isNotNull() & F.col(end_col).isNotNull() & (dur >= 0)
     else:
         dur, closed = F.lit(None).cast("bigint"), F.lit(False)
-    std = rule_lookup(type_col, standard or rules.STANDARD_DAYS)
-    ok = F.coalesce(dur <= std, F.lit(False)).cast("double")
+    ok = within_standard(dur, type_col, standard).cast("double")
     open_ = is_open(state_col) if state_col in df.columns else F.lit(False)
     return df.groupBy(owner_col, type_col).agg(
         F.count(F.when(open_, F.col(key))).alias("_open"),

@@ -324,6 +324,13 @@ def _sessions_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dead.select("username", "duration_minutes", F.contains("error", F.lit("no_such_format")).alias("con_error"))
 
 
+def _forecast_equations(ops: DataFrame) -> DataFrame:
+    daily = forecast.daily_series(ops)
+    equations = forecast.normal_equations(daily, forecast.series_frame(daily))
+    # three digits, as sums of thousands of sines depend on their order; no negative zero
+    return equations.withColumn("valor", round_half_even("valor", 3) + F.lit(0.0))
+
+
 def _forecast_checks(ops: DataFrame) -> DataFrame:
     """What must hold of each fitted series, whatever the fit."""
     fitted = forecast.forecast(forecast.daily_series(ops))
@@ -456,6 +463,7 @@ def _spark_queries() -> dict[str, Builder]:
     q["forecast_eligible"] = lambda s, d: forecast.forecast_eligible(forecast.daily_series(_ops(s, d)))
     q["forecast"] = lambda s, d: forecast.forecast(forecast.daily_series(_ops(s, d)))
 
+    q["forecast_equations"] = lambda s, d: _forecast_equations(_ops(s, d))
     q["forecast_checks"] = lambda s, d: _forecast_checks(_ops(s, d))
 
     # sessions
@@ -676,6 +684,27 @@ def _oracle() -> dict[str, str]:
         f"count(*) + {rules.FORECAST_HORIZON_DAYS} AS aditivas, 0 AS mas_estrechas FROM daily GROUP BY serie "
         f"HAVING sum(y) >= {rules.FORECAST_MIN_ROWS} AND count(*) >= {rules.FORECAST_MIN_DAYS}"
     )
+    waves = [(forecast.WEEKLY_PERIOD, forecast.WEEKLY_ORDER), (forecast.YEARLY_PERIOD, forecast.YEARLY_ORDER)]
+    fourier = ", ".join(
+        f"{f}(2 * pi() * (e * {k}) / {period})" for period, order in waves for f in ("sin", "cos") for k in range(1, order + 1)
+    )
+    sql["forecast_equations"] = w(
+        OPS,
+        DAILY_CTE,
+        "dd AS (SELECT serie, CAST(ds - DATE '1970-01-01' AS BIGINT) AS e, CAST(y AS DOUBLE) AS y, "
+        "row_number() OVER (PARTITION BY serie ORDER BY ds) - 1 AS rank FROM daily)",
+        "st AS (SELECT serie, count(*) AS n, min(e) AS e0, greatest(max(e) - min(e), 1)::DOUBLE AS span, greatest(max(y), 1) AS scale, "
+        f"CAST(floor(count(*) * {forecast.CHANGEPOINT_RANGE}::DOUBLE) AS BIGINT) AS win FROM dd GROUP BY serie "
+        f"HAVING sum(y) >= {rules.FORECAST_MIN_ROWS} AND count(*) >= {rules.FORECAST_MIN_DAYS})",
+        f"sc AS (SELECT *, greatest(least({forecast.N_CHANGEPOINTS}, win - 1), 0) AS ncp FROM st)",
+        "cp AS (SELECT sc.serie, list((dd.e - e0) / span ORDER BY dd.e) AS cps FROM sc JOIN dd USING (serie) "
+        "WHERE list_contains(list_transform(range(1, ncp + 1), lambda k: CAST(round_even(k * ((win - 1) / ncp), 0) AS BIGINT)), dd.rank) GROUP BY sc.serie)",
+        "x AS (SELECT serie, list_concat([1.0::DOUBLE, t], list_transform(coalesce(cps, []), lambda c: greatest(t - c, 0)), "
+        f"[{fourier}], [y / scale]) AS v FROM (SELECT dd.serie, e, y, scale, (e - e0) / span AS t, cps "
+        "FROM dd JOIN sc USING (serie) LEFT JOIN cp USING (serie)))",
+        "a AS (SELECT serie, unnest(range(len(v))) AS i, v FROM x)",
+        "b AS (SELECT serie, i, unnest(range(i, len(v))) AS j, v FROM a)",
+    ) + "SELECT serie, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round_even(sum(v[i + 1] * v[j + 1]), 3) + 0.0::DOUBLE AS valor FROM b GROUP BY serie, i, j"
     sql["daily_series"] = w(OPS, DAILY_CTE) + "SELECT serie, ds, y FROM daily"
     sql["forecast_eligible"] = w(OPS, DAILY_CTE) + (
         "SELECT serie, CAST(sum(y) AS BIGINT) AS filas, count(*) AS dias FROM daily GROUP BY serie "

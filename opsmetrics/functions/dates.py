@@ -8,6 +8,7 @@ exception for a text that is no date, and no time zone in between.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -68,8 +69,10 @@ def _shape_pattern() -> tuple[str, str]:
     """One pattern for all shapes, and the replacement that lists the fields in the order of ``_FIELDS``."""
     shapes = [_numbered(shape.format(**_PIECES), i) for i, shape in enumerate(DATE_SHAPES)]
     pattern = f"(?i)^{_WEEKDAY}(?:{'|'.join(shapes)}){_numbered(_TIME, len(shapes))}{_ZONE}$"
-    groups = [[f"${{s{i}{f}}}" for i in range(len(shapes) + 1) if f"(?<s{i}{f}>" in pattern] for f in _FIELDS]
-    return pattern, "".join(_MARK + "".join(g) for g in groups)
+    # by number, as a lookup of each name in each match takes most of the time
+    names = re.findall(r"\(\?<(\w+)>", pattern)
+    groups = [[f"${i}" for i, name in enumerate(names, 1) if re.fullmatch(rf"s\d+{f}", name)] for f in _FIELDS]
+    return re.sub(r"\(\?<\w+>", "(", pattern), "".join(_MARK + "".join(g) for g in groups)
 
 
 _PATTERN, _LISTED = _shape_pattern()
@@ -81,38 +84,54 @@ def date_fields(c: ColumnOrName) -> Column:
     return F.split(F.regexp_replace(text, _PATTERN, _LISTED), _MARK)
 
 
-def fields_timestamp(fields: Column, day_first: bool = False) -> Column:
-    """The timestamp_ntz that the fields make, NULL if they make none.
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    Of two numbers before a year the first is the month (the day with
-    ``day_first``), unless only the other way round can be a date.
-    """
-    text = {f: F.get(fields, F.lit(i + 1)) for i, f in enumerate(_FIELDS)}
+
+def _parts(fields: Column, day_first: bool) -> Column:
+    """Year, month, day, hour, minute and second that the fields name; NULL for those they cannot mean."""
+    # a field that the shape lacks is empty: NULL here, as a cast that fails costs an exception
+    text = {f: F.nullif(F.get(fields, F.lit(i + 1)), F.lit("")) for i, f in enumerate(_FIELDS)}
     number = {f: text[f].try_cast("int") for f in _FIELDS if f not in ("name", "frac", "half")}
-    short = F.length(text["year"]) == 2
     # two-digit years from 69 on are 19xx, the others 20xx
-    century = F.when(short & (number["year"] >= 69), 1900).when(short, 2000).otherwise(0)
-    year = number["year"] + century
+    short = F.length(text["year"]) == 2
+    year = F.when(short, F.pmod(number["year"] - 69, F.lit(100)) + 1969).otherwise(number["year"])
     first, second = number["first"], number["second"]
     swapped = second <= 12 if day_first else first > 12
-    month = F.coalesce(
-        number["month"],
-        rule_lookup(F.lower(F.substring(text["name"], 1, 3)), _MONTH_NUMBERS),
-        F.when(swapped, second).otherwise(first),
-        F.lit(1),
-    )
+    named = F.when(text["name"].isNotNull(), rule_lookup(F.lower(F.substring(text["name"], 1, 3)), _MONTH_NUMBERS))
+    month = F.coalesce(number["month"], F.when(swapped, second).otherwise(first), named, F.lit(1))
     day = F.coalesce(number["day"], F.when(swapped, first).otherwise(second), F.lit(1))
-    hour, half = F.coalesce(number["hour"], F.lit(0)), F.lower(text["half"])
-    in_half = F.when(hour <= 12, F.pmod(hour, F.lit(12)))
-    hour = F.when(half == "p", in_half + 12).when(half == "a", in_half).otherwise(hour)
-    seconds = F.coalesce(F.concat_ws(".", text["sec"], F.nullif(F.substring(text["frac"], 1, 6), F.lit(""))).try_cast("decimal(16,6)"), F.lit(0))
-    possible = (year >= 1) & month.between(1, 12) & day.between(1, 31) & (hour < 24) & (seconds < 60)
+    hour = F.coalesce(number["hour"], F.lit(0))
+    in_half = _once(hour, lambda h: F.when(h <= 12, F.pmod(h, F.lit(12))))
+    hour = F.when(text["half"].isNull(), hour).otherwise(in_half + F.when(F.lower(text["half"]) == "p", 12).otherwise(0))
+    exact = F.concat_ws(".", text["sec"], F.substring(text["frac"], 1, 6)).try_cast("decimal(16,6)")
+    second_ = F.when(text["sec"].isNull(), F.lit(0).cast("decimal(16,6)")).otherwise(exact)
     minute = F.coalesce(number["minute"], F.lit(0))
-    return F.when(
-        possible & (minute < 60), F.try_make_timestamp_ntz(year, month, day, hour, minute, seconds.cast("decimal(16,6)"))
+    return F.struct(
+        year.alias("year"), month.alias("month"), day.alias("day"), hour.alias("hour"), minute.alias("minute"), second_.alias("second")
     )
 
 
+def fields_timestamp(fields: Column, day_first: bool = False) -> Column:
+    """The timestamp_ntz that the fields make, NULL if they make none.
+
+    Of two numbers before a year the first is the month (the day with
+    ``day_first``), unless only the other way round can be a date.
+
+    Each step is computed once and in small functions: written as one expression,
+    the code of a few columns is too large to be compiled as a whole.
+    """
+
+    def made(p: Column) -> Column:
+        possible = (p["year"] >= 1) & p["month"].between(1, 12) & p["day"].between(1, 31)
+        in_time = (p["hour"] < 24) & (p["minute"] < 60) & (p["second"] < 60)
+        stamp = F.try_make_timestamp_ntz(p["year"], p["month"], p["day"], p["hour"], p["minute"], p["second"])
+        return F.when(possible & in_time, stamp)
+
+    return _once(fields, lambda f: _once(_parts(f, day_first), made))
+
+
 #: Serial numbers that a sheet shows when a date cell has no date format: days since this one.
 SERIAL_ORIGIN = "TIMESTAMP_NTZ '1899-12-30 00:00:00'"
 
@@ -124,16 +143,11 @@ def serial_timestamp(c: ColumnOrName) -> Column:
     return F.timestamp_add("SECOND", seconds, F.expr(SERIAL_ORIGIN))
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """The body over a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def parse_timestamp(c: ColumnOrName, day_first: bool = False, serials: bool = False) -> Column:
     """``pd.to_datetime(errors='coerce')`` for text, each value by its own shape: unreadable -> NULL.
 
     Whole columns are cheaper through ``sources.coerce_dates``, which computes
     the fields in a projection of their own.
     """
-    parsed = _once(date_fields(c), lambda fields: fields_timestamp(fields, day_first))
+    parsed = fields_timestamp(date_fields(c), day_first)
     return F.coalesce(parsed, serial_timestamp(c)) if serials else parsed

@@ -44,6 +44,7 @@ FILTER_MONTHS = ["1996-03", "1996-04"]
 FILTER_TYPES = ["A", "M", "Z"]
 FILTER_OWNERS = [f"OP{i:05d}" for i in range(100)]
 STORE_BUCKETS = 16
+OFF_TIES = 0.0000123
 UPLOAD_COLUMNS = ["file", "cliente", "tipo", "operativo", "comercial", "estado"]
 
 
@@ -327,8 +328,8 @@ def _sessions_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _forecast_equations(ops: DataFrame) -> DataFrame:
     daily = forecast.daily_series(ops)
     equations = forecast.normal_equations(daily, forecast.series_frame(daily))
-    # three digits, as sums of thousands of sines depend on their order; no negative zero
-    return equations.withColumn("valor", round_half_even("valor", 3) + F.lit(0.0))
+    # three digits, as sums of thousands of sines depend on their order, and moved off the ties of exact fractions
+    return equations.withColumn("valor", round_half_even(F.col("valor") + F.lit(OFF_TIES), 3) + F.lit(0.0))
 
 
 def _forecast_checks(ops: DataFrame) -> DataFrame:
@@ -704,7 +705,7 @@ def _oracle() -> dict[str, str]:
         "FROM dd JOIN sc USING (serie) LEFT JOIN cp USING (serie)))",
         "a AS (SELECT serie, unnest(range(len(v))) AS i, v FROM x)",
         "b AS (SELECT serie, i, unnest(range(i, len(v))) AS j, v FROM a)",
-    ) + "SELECT serie, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round_even(sum(v[i + 1] * v[j + 1]), 3) + 0.0::DOUBLE AS valor FROM b GROUP BY serie, i, j"
+    ) + "SELECT serie, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round_even(sum(v[i + 1] * v[j + 1]) + " + f"{OFF_TIES}::DOUBLE, 3) + 0.0::DOUBLE AS valor FROM b GROUP BY serie, i, j"
     sql["daily_series"] = w(OPS, DAILY_CTE) + "SELECT serie, ds, y FROM daily"
     sql["forecast_eligible"] = w(OPS, DAILY_CTE) + (
         "SELECT serie, CAST(sum(y) AS BIGINT) AS filas, count(*) AS dias FROM daily GROUP BY serie "

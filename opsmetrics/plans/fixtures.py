@@ -92,11 +92,11 @@ def upload_date_text(day: Column, orderkey: Column, linenumber: Column) -> Colum
     minutes = F.pmod(orderkey, F.lit(24)) * 60 + linenumber * 7
     moment = F.timestamp_add("MINUTE", minutes, day.cast("timestamp_ntz"))
     serial = F.date_diff(day, F.lit("1899-12-30").cast("date")).cast("string")
-    text = F.when(linenumber == 7, F.when(F.pmod(orderkey, F.lit(2)) == 0, serial).otherwise(F.lit("bad-date")))
+    none = F.when(F.pmod(orderkey, F.lit(2)) == 0, serial).otherwise(F.lit("bad-date"))
     pick = F.pmod(orderkey * 7 + linenumber, F.lit(len(DATE_LAYOUTS)))
-    for i, (layout, _) in enumerate(DATE_LAYOUTS):
-        text = text.when(pick == i, F.date_format(moment, layout))
-    return text
+    # one call for all layouts: a branch for each would be too much code for one compiled method
+    layout = F.get(F.array(*[F.lit(layout) for layout, _ in DATE_LAYOUTS]), pick.cast("int"))
+    return F.when(linenumber == 7, none).otherwise(F.call_function("date_format", moment, layout))
 
 
 def raw_upload(spark: SparkSession, sf_dir: str) -> DataFrame:

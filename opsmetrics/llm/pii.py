@@ -14,18 +14,29 @@ from pyspark.sql import functions as F
 from opsmetrics.llm.common import let
 
 _ROUNDS = 10
-#: The Gregorian calendar repeats after 400 years: 146,097 days, here from 1700-01-01, as 27 * 5411.
-_FIRST_DAY, _DAYS_A, _DAYS_B = "1700-01-01", 27, 5411
-#: Two-digit years are those from 1969 to 2068: 36,525 days, as 75 * 487.
-_SHORT_FIRST_DAY, _SHORT_A, _SHORT_B = "1969-01-01", 75, 487
+#: Days from 1700-01-01 to 2099-12-31. Those that a two-digit year can write, 1969 to 2068, move among
+#: themselves (36,525 days as 75 * 487), and so do all others (109,572 days as 276 * 397).
+_FIRST_DAY, _SHORT_FIRST_DAY = "1700-01-01", "1969-01-01"
+_SHORT_A, _SHORT_B, _LONG_A, _LONG_B = 75, 487, 276, 397
+#: An IPv6 address keeps its first group; the other 112 bits move as two halves.
+_HALF_ADDRESS = 1 << 56
 #: Valid social security numbers: areas 001-899 but 666, groups 01-99, serials 0001-9999.
 _AREAS, _GROUPS, _SERIALS = 898, 99, 9999
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-_SECRET_NAME = r"(?i:(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
+_HAS_DIGIT = r"(?=[A-Za-z+/_=.~-]{0,200}[0-9])"
+#: A name and a sign; spoken names and bearers only before a value with a digit, so that plain sentences stay.
+_SECRET_NAME = (
+    r"(?i:(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)"
+    rf"(?:[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?|\s{{1,3}}(?:is|was):?\s{{1,3}}[\"']?{_HAS_DIGIT})"
+    rf"|(?<![A-Za-z0-9_])bearer\s{{1,3}}{_HAS_DIGIT})"
+    r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)(?=[0-9A-Z]{16}(?![A-Za-z0-9]))"
+)
 #: Of any length; a dot at the end belongs to the sentence.
 _SECRET_VALUE = r"[A-Za-z0-9+/_=.-]{7,}[A-Za-z0-9+/_=-]"
-_SECRET = _SECRET_NAME + _SECRET_VALUE
+_SECRET = f"(?:{_SECRET_NAME}){_SECRET_VALUE}"
+_PEM_HEAD, _PEM_TAIL = (rf"-----{word} (?:[A-Z0-9]{{1,9}} ){{0,3}}PRIVATE KEY-----" for word in ("BEGIN", "END"))
+_PEM = _PEM_HEAD + r"[^-]+(?:-[^-]+){0,8}" + _PEM_TAIL
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _ISO_DATE = r"(?<![0-9./-])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9]|[./-][0-9])"
 _DATE = r"(?<![0-9./-])[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4}(?![0-9]|[./-][0-9])"
@@ -40,15 +51,20 @@ _NAMED_DATE = (
     rf"|(?<![A-Za-z0-9]){_MONTH}\.? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}(?![A-Za-z0-9]))"
 )
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-_IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+#: Not after a word that makes it a version.
+_IP = r"(?<![0-9.])(?<!\b(?i:version|release|build|ver|v)[ .:]{0,2})(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+_IP6 = (
+    r"(?<![0-9A-Za-z:.])(?:[23][0-9A-Fa-f]{3}|[fF][c-dC-D][0-9A-Fa-f]{2}|[fF][eE][89abAB][0-9A-Fa-f])"
+    r":(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]|\.[0-9])"
+)
 _PHONE = (
     r"(?<![0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
     r"|(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]{1,4}){2,5}(?![0-9])"
     r"|(?<![0-9(])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 )
-#: Three, three and four digits, also after a 1; between blanks only as North American numbers go.
+#: Three, three and four digits, also after a 1; between blanks only as North American numbers go. Not after "pages".
 _NATIONAL = (
-    r"(?<![0-9+(])(?<![0-9][.-])(?:1([-.])[0-9]{3}\1[0-9]{3}\1[0-9]{4}|(?:1 )?[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}"
+    r"(?<![0-9+(])(?<![0-9][.-])(?<!\b(?i:pages?|pp?)[. ]{1,2})(?:1([-.])[0-9]{3}\1[0-9]{3}\1[0-9]{4}|(?:1 )?[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}"
     r"|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|(?:1[ -])?[0-9]{3}[ ./][0-9]{3}-[0-9]{4})(?![0-9]|[-.][0-9])"
 )
 #: A trunk 0 and ten or eleven digits in all.
@@ -57,7 +73,7 @@ _TRUNK = (
     r"(?:0[1-9][0-9]{0,4}([ ./-])[0-9]{2,4}(?:\1[0-9]{2,4}){1,3}|0[1-9][0-9]{0,4}[ /-][0-9]{5,8})(?![0-9]|[./-][0-9])"
     r"|(?<![0-9(])\(0[1-9][0-9]{0,3}\) ?(?:[0-9]{3,4}[ -]?[0-9]{3,4}|[0-9]{5,8})(?![0-9])"
 )
-_CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+_CARD = r"(?<![0-9])(?<!(?i:isbn(?:-1[03])?)[: ]{0,2})[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 
 KINDS = ("email", "secret", "iban", "date", "ssn", "ip", "phone", "card")
 
@@ -71,6 +87,7 @@ def _capture_free(pattern: str, group: int) -> str:
 CANDIDATE = "|".join(
     [
         _EMAIL,
+        _PEM,
         _SECRET,
         _IBAN,
         _capture_free(_ISO_DATE, 1),
@@ -79,6 +96,7 @@ CANDIDATE = "|".join(
         _NAMED_DATE,
         _SSN,
         _IP,
+        _IP6,
         _PHONE,
         _capture_free(_NATIONAL, 4),
         _capture_free(_TRUNK, 5),
@@ -86,7 +104,7 @@ CANDIDATE = "|".join(
     ]
 )
 #: A text without any of these cannot hold a candidate.
-_QUICK = r"[0-9@]|(?i:token|secret|password|passwd|key)"
+_QUICK = r"[0-9@]|(?i:token|secret|password|passwd|key|f[c-e][0-9a-f]{2}:)|AKIA|ASIA"
 
 
 def _noise(key: Column, kind: str, step: Column, part: Column, modulus: Column) -> Column:
@@ -161,7 +179,9 @@ def _luhn_sum(digits: Column, double_last: bool) -> Column:
 
 def _card(text: Column, key: Column) -> Column:
     def moved(digits: Column) -> Column:
-        valid = F.length(digits).between(13, 19) & (F.pmod(_luhn_sum(digits, False), F.lit(10)) == 0)
+        size = F.length(digits)
+        book = (size == 13) & digits.rlike("^97[89]")
+        valid = size.between(13, 19) & ~digits.startswith("0") & ~book & (F.pmod(_luhn_sum(digits, False), F.lit(10)) == 0)
         body = _permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
         check = lambda p: F.pmod(10 - F.pmod(_luhn_sum(p, True), F.lit(10)), F.lit(10)).cast("string")
         return F.when(valid, _in_layout(text, let(body, lambda p: F.concat(p, check(p)))))
@@ -169,14 +189,6 @@ def _card(text: Column, key: Column) -> Column:
     return let(_digits_of(text), moved)
 
 
-def _number(text: Column, key: Column) -> Column:
-    """Numbers as long as a card's that fail its check: still personal account numbers, moved as plain digits."""
-    return let(
-        _digits_of(text),
-        lambda digits: F.when(F.length(digits).between(13, 19), _in_layout(text, _permuted_digits(digits, key, "number"))),
-    )
-
-
 def _phone(text: Column, key: Column) -> Column:
     """The last ten digits move (or all, without a country code); the country code and a trunk 0 stay."""
 
@@ -202,6 +214,33 @@ def _ip(text: Column, key: Column) -> Column:
     return F.when(valid, let(moved, lambda m: F.concat_ws(".", high(m["a"]), low(m["a"]), high(m["b"]), low(m["b"]))))
 
 
+def _ip6(text: Column, key: Column) -> Column:
+    """All groups but the first move; written whole, in lower case, so all ways to write an address get one pseudonym."""
+    low = F.lower(text)
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(low, "::", 1)), groups(F.substring_index(low, "::", -1))
+    short = low.contains("::")
+    written = F.size(groups(low))
+    gaps = F.size(F.filter(F.split(low, ":"), lambda g: g == ""))
+    valid = F.when(short, (gaps == 1) & (written <= 7)).otherwise((gaps == 0) & (written == 8))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - written, F.lit(0)))
+    whole = F.when(short, F.concat(left, zeros, right)).otherwise(left)
+    digits = F.concat_ws("", F.transform(whole, lambda g: F.lpad(g, 4, "0")))
+
+    def moved(d: Column) -> Column:
+        half = lambda at: F.conv(F.substring(d, at, 14), 16, 10).cast("long")
+        size = F.lit(_HALF_ADDRESS).cast("long")
+        return let(feistel(half(5), half(19), size, size, key, "ip6"), lambda m: shown(d, m))
+
+    def shown(d: Column, m: Column) -> Column:
+        hexed = lambda v: F.lpad(F.lower(F.hex(v)), 14, "0")
+        all_ = F.concat(F.substring(d, 1, 4), hexed(m["a"]), hexed(m["b"]))
+        parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(all_, i * 4 + 1, F.lit(4)))
+        return F.concat_ws(":", F.transform(parts, lambda g: F.regexp_replace(g, "^0{1,3}", "")))
+
+    return F.when(valid, let(digits, moved))
+
+
 def _ssn(text: Column, key: Column) -> Column:
     area, group, serial = (F.substring(text, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
@@ -218,6 +257,37 @@ def _ssn(text: Column, key: Column) -> Column:
     return F.when(valid, let(moved, show))
 
 
+def _moved_day(day: Column, key: Column, show) -> Column:
+    """What ``show`` makes of the day that a day moves to; null for days outside 1700 to 2099.
+
+    One permutation for all ways to write a day, so a day has one pseudonym, and one
+    that a two-digit year can write moves to another such day.
+    """
+    start, short_size = F.lit(_FIRST_DAY).cast("date"), _SHORT_A * _SHORT_B
+    before = F.datediff(F.lit(_SHORT_FIRST_DAY).cast("date"), start)
+
+    def moved(number: Column) -> Column:
+        short = number.between(before, before + short_size - 1)
+        rank = F.when(short, number - before).when(number < before, number).otherwise(number - short_size)
+        size_a = F.when(short, _SHORT_A).otherwise(_LONG_A).cast("long")
+        size_b = F.when(short, _SHORT_B).otherwise(_LONG_B).cast("long")
+
+        def back(m: Column) -> Column:
+            to = m["a"] * size_b + m["b"]
+            return F.date_add(start, (to + F.when(short, before).when(to < before, 0).otherwise(short_size)).cast("int"))
+
+        to = feistel(F.floor(rank / size_b), F.pmod(rank, size_b), size_a, size_b, key, "date")
+        valid = number.between(0, short_size + _LONG_A * _LONG_B - 1)
+        return F.when(valid, let(let(to, back), show))
+
+    return let(F.datediff(day, start), moved)
+
+
+def _two(value: Column, like: Column) -> Column:
+    """The number, with a leading zero if it was written with two digits."""
+    return F.when(F.length(like) == 2, F.lpad(value.cast("string"), 2, "0")).otherwise(value.cast("string"))
+
+
 def _date(text: Column, key: Column) -> Column:
     """Year first, or day first and, where that is no date, month first; written as it was."""
     parts = F.split(text, "[-/.]")
@@ -228,37 +298,17 @@ def _date(text: Column, key: Column) -> Column:
     day = F.when(year_first, as_date(parts[0], parts[1], parts[2])).otherwise(
         F.coalesce(day_first, as_date(parts[2], parts[0], parts[1]))
     )
-    number = F.datediff(day, F.lit(_FIRST_DAY).cast("date"))
-    valid = number.between(0, _DAYS_A * _DAYS_B - 1)
-    moved = feistel(
-        F.floor(number / _DAYS_B), F.pmod(number, F.lit(_DAYS_B)), F.lit(_DAYS_A).cast("long"), F.lit(_DAYS_B).cast("long"), key, "date"
-    )
 
-    def show(m: Column) -> Column:
-        fresh = F.date_add(F.lit(_FIRST_DAY).cast("date"), (m["a"] * _DAYS_B + m["b"]).cast("int"))
+    def show(fresh: Column) -> Column:
         y = F.lpad(F.year(fresh).cast("string"), 4, "0")
-        two = lambda v, like: F.when(F.length(like) == 2, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
         month, dom = F.month(fresh), F.dayofmonth(fresh)
         return (
-            F.when(year_first, F.concat(y, sign, two(month, parts[1]), sign, two(dom, parts[2])))
-            .when(day_first.isNotNull(), F.concat(two(dom, parts[0]), sign, two(month, parts[1]), sign, y))
-            .otherwise(F.concat(two(month, parts[0]), sign, two(dom, parts[1]), sign, y))
+            F.when(year_first, F.concat(y, sign, _two(month, parts[1]), sign, _two(dom, parts[2])))
+            .when(day_first.isNotNull(), F.concat(_two(dom, parts[0]), sign, _two(month, parts[1]), sign, y))
+            .otherwise(F.concat(_two(month, parts[0]), sign, _two(dom, parts[1]), sign, y))
         )
 
-    return F.when(valid, let(moved, show))
-
-
-def _moved_day(day: Column, first: str, size_a: int, size_b: int, key: Column, kind: str, show) -> Column:
-    """What ``show`` makes of the day that a day moves to, among size_a * size_b days from the first; null for others."""
-    start = F.lit(first).cast("date")
-    sizes = F.lit(size_a).cast("long"), F.lit(size_b).cast("long")
-
-    def moved(number: Column) -> Column:
-        to = feistel(F.floor(number / size_b), F.pmod(number, F.lit(size_b)), *sizes, key, kind)
-        fresh = let(to, lambda m: F.date_add(start, (m["a"] * size_b + m["b"]).cast("int")))
-        return F.when(number.between(0, size_a * size_b - 1), let(fresh, show))
-
-    return let(F.datediff(day, start), moved)
+    return _moved_day(day, key, show)
 
 
 def _short_date(text: Column, key: Column) -> Column:
@@ -272,17 +322,15 @@ def _short_date(text: Column, key: Column) -> Column:
         return F.when(F.length(parts[y]) == 2, F.try_to_date(F.concat_ws("-", full, parts[m], parts[d]), "yyyy-M-d"))
 
     orders = [(2, 1, 0), (2, 0, 1), (0, 1, 2)]
-    two = lambda v, like: F.when(F.length(like) == 2, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
 
     def written(y: int, m: int, d: int):
         def show(fresh: Column) -> Column:
             value = {y: F.pmod(F.year(fresh), F.lit(100)), m: F.month(fresh), d: F.dayofmonth(fresh)}
-            return F.concat(two(value[0], parts[0]), sign, two(value[1], parts[1]), sign, two(value[2], parts[2]))
+            return F.concat(_two(value[0], parts[0]), sign, _two(value[1], parts[1]), sign, _two(value[2], parts[2]))
 
         return show
 
-    tries = [_moved_day(as_date(*o), _SHORT_FIRST_DAY, _SHORT_A, _SHORT_B, key, "short date", written(*o)) for o in orders]
-    return F.coalesce(*tries)
+    return F.coalesce(*(_moved_day(as_date(*o), key, written(*o)) for o in orders))
 
 
 def _named_date(text: Column, key: Column) -> Column:
@@ -313,9 +361,7 @@ def _named_date(text: Column, key: Column) -> Column:
         named = lambda part: F.regexp_replace(part, F.lit(f"(?i){_MONTH}"), own)
         return F.concat(named(lead), day_, ends, named(between), year_)
 
-    return F.when(
-        short_year, _moved_day(day, _SHORT_FIRST_DAY, _SHORT_A, _SHORT_B, key, "short date", show)
-    ).otherwise(_moved_day(day, _FIRST_DAY, _DAYS_A, _DAYS_B, key, "date", show))
+    return _moved_day(day, key, show)
 
 
 def _mod97(text: Column) -> Column:
@@ -363,7 +409,7 @@ def _email(text: Column, key: Column) -> Column:
 
 def _secret(text: Column, key: Column) -> Column:
     """The name and sign stay, the value becomes a keyed token of its length."""
-    name = F.regexp_extract(text, "^" + _SECRET_NAME, 0)
+    name = F.regexp_extract(text, f"^(?:{_SECRET_NAME})", 0)
 
     def shown(value: Column) -> Column:
         times = F.ceil(F.length(value) / 64).cast("int")
@@ -372,6 +418,12 @@ def _secret(text: Column, key: Column) -> Column:
     return let(F.substring(text, F.length(name) + 1, F.length(text)), shown)
 
 
+def _pem(text: Column, key: Column) -> Column:
+    """The first and last line stay, what is between becomes a keyed token."""
+    head, tail = F.regexp_extract(text, "^" + _PEM_HEAD, 0), F.regexp_extract(text, _PEM_TAIL + "$", 0)
+    return F.concat_ws("\n", head, _keyed_hex(F.regexp_replace(text, r"\s", ""), key, "secret"), tail)
+
+
 def _full(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
@@ -380,6 +432,7 @@ def pseudonym(value: Column, key: Column) -> Column:
     """A struct (kind, value) for one candidate; kind is null and the value as it was if it is not valid."""
     tries = [
         ("email", _EMAIL, _email),
+        ("secret", _PEM, _pem),
         ("secret", _SECRET, _secret),
         ("iban", _IBAN, _iban),
         ("date", _ISO_DATE, _date),
@@ -388,9 +441,9 @@ def pseudonym(value: Column, key: Column) -> Column:
         ("date", _NAMED_DATE, _named_date),
         ("ssn", _SSN, _ssn),
         ("ip", _IP, _ip),
+        ("ip", _IP6, _ip6),
         ("phone", f"{_PHONE}|{_NATIONAL}|{_capture_free(_TRUNK, 2)}", _phone),
         ("card", _CARD, _card),
-        ("card", _CARD, _number),
     ]
     def named(kind: str):
         return lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value")))
@@ -403,22 +456,28 @@ def pseudonym(value: Column, key: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: ``doc_id``, ``text`` with pseudonyms, and how many of each kind (``n_card`` ...).
 
-    Cards (Luhn), IBANs (modulo 97), social security numbers, IPv4 addresses and
-    dates from 1700 to 2099 are validated and stay valid, also with a two-digit
-    year (1969 to 2068) or an English month name. Phone numbers keep their country
+    Cards (Luhn, 13 to 19 digits), IBANs (modulo 97), social security numbers,
+    IPv4 and IPv6 addresses and dates from 1700 to 2099 are validated and stay valid. A day has one
+    pseudonym however it is written: with a two-digit year (1969 to 2068, which move
+    among themselves) or an English month name too. Phone numbers keep their country
     code, a trunk 0 and their layout: with +country, with a bracketed area code,
     3-3-4 digits with ``-``, ``.`` or blanks (between blanks only if area and
-    exchange begin with 2 to 9), or 10 to 11 digits in groups after a 0. A number as long as a card's that fails the
-    check is moved as plain digits and counts as card. E-mail names and secrets
-    have no number format and become keyed tokens. What does not validate as
-    anything stays as it is. Whole texts are read.
+    exchange begin with 2 to 9), or 10 to 11 digits in groups after a 0. IPv6 addresses
+    (global, local and link-local) keep their first group. E-mail names and secrets have no number format and
+    become keyed tokens; secrets are values after a name with ``=`` or ``:``, after
+    ``password is`` or ``Bearer`` if they hold a digit, access keys (AKIA, ASIA) and
+    private keys in PEM. What does not validate as anything stays as it is: numbers that fail
+    their check, ISBNs, four numbers after ``version`` or ``release``, ``pages 100-200-3000``.
+    Whole texts are read.
 
     Left out, and so left in clear: phone numbers without any separator or area
     code (2125551234, 555-1234), with a 00 prefix, with extensions (the extension
     alone stays), and national layouts without a trunk 0 other than 3-3-4; dates
     without a day or a year, with month names of other languages or with a
     two-digit year after a blank (3 March 24), and d.m.yy with a one-digit day or
-    month, which is how versions are written.
+    month, which is how versions are written; e-mail names over 64 characters; secrets
+    under 8 characters; bearer tokens and spoken passwords without a digit; PEM keys
+    without their last line; IPv6 addresses that end in ``::`` or an IPv4 address.
 
     A null text stays null, an empty one empty, both with zero counts; rows that
     repeat an id are rewritten each, alike for equal texts; other columns are not

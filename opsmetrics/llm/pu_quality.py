@@ -159,7 +159,8 @@ def learn_quality(
     Both are drawn by a hash of the id alone. A document with label 1 (and no
     other label) is a trusted positive; the unlabelled sample is drawn from all
     documents, whatever their label, so it is the mixture that the risk assumes.
-    Rows without id or label teach nothing. None if there is no positive.
+    Rows without id or label teach nothing; of several rows with one id, the first
+    text in order teaches. So the bounds hold for rows. None if there is no positive.
     """
     own = id_text(docs, id_col, text_col).where("doc_id is not null")
     trusted = (
@@ -175,7 +176,9 @@ def learn_quality(
     drawn_u = ids.distinct().orderBy(*order).limit(max_unlabelled)
     # both bounded by the parameters, so they may be broadcast
     chosen = drawn_p.withColumn("trusted", F.lit(True)).unionAll(drawn_u.withColumn("trusted", F.lit(False)))
-    rows = _feature_rows(own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "trusted")).collect()
+    # an id can have any number of rows: one text speaks for it
+    drawn = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "trusted").agg(F.min("text").alias("text"))
+    rows = _feature_rows(drawn.select("doc_id", "text", "trusted")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["trusted"], r["x"]))
     positive = np.array([r["x"] for r in rows if r["trusted"]]).reshape(-1, N_FEATURES)
     unlabelled = np.array([r["x"] for r in rows if not r["trusted"]]).reshape(-1, N_FEATURES)

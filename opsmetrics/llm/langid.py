@@ -28,6 +28,8 @@ _BREAK = 0
 _BLOCK = 512
 #: So many blocks at once, to bound a task's memory.
 _LANES = 16_384
+#: A sample with more states times signs than this keeps its moves sorted, not in a table.
+_DENSE = 8_000_000
 #: How sharply the score separates the languages: bits a character count so often.
 _SHARPNESS = 4.0
 
@@ -115,30 +117,26 @@ class CrossParser:
         self.languages = [name for name, _ in samples]
         letters = sorted(set("".join(s for _, s in samples)) - {" "})
         self.unknown, self.pad = len(letters) + 1, len(letters) + 2
-        self.width = len(letters) + 3
         self.code_of = np.full(0x10000, self.unknown, dtype=np.uint16)
         self.code_of[32] = _BREAK
         for code, letter in enumerate(letters, 1):
             self.code_of[ord(letter)] = code
         self.bits = np.array([np.log2(max(len(s), 2)) for _, s in samples])
-        self.tables = [self._table([int(self.code_of[ord(c)]) for c in s]) for _, s in samples]
+        self.moves = [self._moves([int(self.code_of[ord(c)]) for c in s]) for _, s in samples]
 
-    def _table(self, codes: list[int]) -> np.ndarray:
-        """For state and code: twice the next state's row, plus 1 where a phrase ends before the code."""
+    def _moves(self, codes: list[int]) -> "DenseMoves | SortedMoves":
         moves = suffix_automaton(codes)
-        restart = np.ones(self.width, dtype=np.int64)  # a code that the sample lacks is a phrase of its own
-        for code, state in moves[0].items():
-            restart[code] = 2 * state * self.width + 1
-        table = np.tile(restart, (len(moves), 1))
-        for state, row in enumerate(moves):
-            for code, to in row.items():
-                table[state, code] = 2 * to * self.width
-        table[:, self.pad] = 2 * self.width * np.arange(len(moves))
-        return table.astype(np.int32 if table.max() < 2**31 else np.int64).ravel()
+        signs = np.array(sorted({_BREAK, *codes}))
+        own = np.full(self.pad + 1, len(signs), dtype=np.uint16)  # signs that the sample lacks are one
+        own[signs] = np.arange(len(signs))
+        own[self.pad] = len(signs) + 1
+        local = [{int(own[code]): to for code, to in row.items()} for row in moves]
+        kind = DenseMoves if len(moves) * (len(signs) + 2) <= _DENSE else SortedMoves
+        return kind(local, own, len(signs) + 2)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases per text and language."""
-        counts = np.zeros((len(texts), len(self.tables)), dtype=np.int64)
+        counts = np.zeros((len(texts), len(self.moves)), dtype=np.int64)
         owner = np.repeat(np.arange(len(texts)), [-(-len(t) // _BLOCK) for t in texts])
         block = np.concatenate([np.arange(-(-len(t) // _BLOCK)) for t in texts] or [np.zeros(0, int)])
         for begin in range(0, len(owner), _LANES):
@@ -148,17 +146,67 @@ class CrossParser:
                 part = texts[doc][k * _BLOCK : (k + 1) * _BLOCK]
                 lanes[lane, : len(part)] = self.code_of[part]
             steps = np.ascontiguousarray(lanes.T)
-            for language, table in enumerate(self.tables):
-                row = np.zeros(len(own), dtype=table.dtype)
-                ended = np.ones(len(own), dtype=np.int64)  # the phrase that the block's end ends
-                for codes in steps:
-                    got = table.take(row + codes)
-                    ended += got & 1
-                    row = got >> 1
+            for language, moves in enumerate(self.moves):
+                ended = moves.ends(steps) + 1  # and the phrase that the block's end ends
                 counts[:, language] += np.bincount(own, weights=ended, minlength=len(texts)).astype(np.int64)
         return counts
 
 
+class DenseMoves:
+    """A suffix automaton as a table of states and the signs of its own sample."""
+
+    def __init__(self, moves: list[dict[int, int]], own: np.ndarray, width: int):
+        """``own`` turns the parser's codes into the sample's; its last two signs are the unknown and the padding."""
+        self.own = own
+        # for state and sign: twice the next state's row, plus 1 where a phrase ends before the sign
+        restart = np.ones(width, dtype=np.int64)  # a sign that the sample lacks is a phrase of its own
+        for sign, state in moves[0].items():
+            restart[sign] = 2 * state * width + 1
+        table = np.tile(restart, (len(moves), 1))
+        for state, row in enumerate(moves):
+            for sign, to in row.items():
+                table[state, sign] = 2 * to * width
+        table[:, width - 1] = 2 * width * np.arange(len(moves))
+        self.table = table.astype(np.int32 if table.max() < 2**31 else np.int64).ravel()
+
+    def ends(self, steps: np.ndarray) -> np.ndarray:
+        """How often a phrase ends in each lane; ``steps`` holds a code of every lane a row."""
+        row = np.zeros(steps.shape[1], dtype=self.table.dtype)
+        ended = np.zeros(steps.shape[1], dtype=np.int64)
+        for codes in steps:
+            got = self.table.take(row + self.own.take(codes))
+            ended += got & 1
+            row = got >> 1
+        return ended
+
+
+class SortedMoves:
+    """A suffix automaton with thousands of signs: only the moves that there are, sorted by state and sign."""
+
+    def __init__(self, moves: list[dict[int, int]], own: np.ndarray, width: int):
+        self.own, self.width = own, width
+        keys = np.array([state * width + sign for state, row in enumerate(moves) for sign in row], dtype=np.int64)
+        to = np.array([to for row in moves for to in row.values()], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], to[order]
+        self.restart = np.zeros(width, dtype=np.int64)  # a sign that the sample lacks is a phrase of its own
+        for sign, state in moves[0].items():
+            self.restart[sign] = state
+
+    def ends(self, steps: np.ndarray) -> np.ndarray:
+        """As in ``DenseMoves``."""
+        state = np.zeros(steps.shape[1], dtype=np.int64)
+        ended = np.zeros(steps.shape[1], dtype=np.int64)
+        for codes in steps:
+            signs = self.own.take(codes)
+            key = state * self.width + signs
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known, text = self.keys[at] == key, signs != self.width - 1
+            ended += text & ~known
+            state = np.where(known, self.to[at], np.where(text, self.restart[signs], state))
+        return ended
+
+
 def learn_languages(
     docs: DataFrame,
     lang_col: str = "lang",
@@ -166,32 +214,41 @@ def learn_languages(
     text_col: str = "text",
     sample_docs: int = 200,
     sample_chars: int = 40_000,
+    max_languages: int = 500,
 ) -> LanguageModel:
     """A sample of at most ``sample_docs`` documents and ``sample_chars`` characters for each language.
 
     Which documents is settled by a hash of their ids alone; only their ids are
-    ranked, so no text moves but that of the sample. Rows without language, id
-    or text give nothing. A language whose sample has no letter is not learned.
+    ranked, so no text moves but that of the sample. A text gives at most
+    ``10 * sample_chars / sample_docs`` (2,000) folded characters. Of several rows with one id and
+    language, the first text in order speaks, so the bounds hold for rows. Rows without language, id
+    or text give nothing. A language whose sample has no letter is not learned, nor
+    are languages beyond the ``max_languages`` with the most rows (ties by name).
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    named = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        # no more of one text than the sample can hold: this bounds what is collected
+        F.substring(F.col(text_col).cast("string"), 1, sample_chars).alias("text"),
+    )
+    learned = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
-        labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("long").alias("doc_id"))
+        named.select("lang", "doc_id")
+        .join(F.broadcast(learned), "lang")
+        .distinct()
         .withColumn("nth", F.row_number().over(order))
         .where(F.col("nth") <= sample_docs)
+        .select("lang", "doc_id")
     )
-    ids = sorted({r["doc_id"] for r in chosen.collect()})  # at most sample_docs a language
+    # bounded by max_languages and sample_docs, so it may be broadcast, and a row for each is collected
     picked = (
-        labelled.where(F.col(id_col).cast("long").isin(ids))
-        .select(
-            F.col(lang_col).cast("string").alias("lang"),
-            F.col(id_col).cast("long").alias("doc_id"),
-            # no more of one text than the sample can hold: this bounds what is collected
-            F.substring(F.col(text_col).cast("string"), 1, sample_chars).alias("text"),
-        )
-        .where("text is not null")
+        named.where("text is not null")
+        .join(F.broadcast(chosen), ["lang", "doc_id"])
+        .groupBy("lang", "doc_id")
+        .agg(F.min("text").alias("text"))
     )
-    rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in picked.toLocalIterator()) if ids else []
+    rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in picked.toLocalIterator())
     share = max(sample_chars // max(sample_docs // 10, 1), 1)  # of one document, so that no long one is all
     samples: dict[str, str] = {}
     for lang, _, text in rows:

@@ -61,7 +61,8 @@ def cells_of(units: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, .
         return none, none, none, none
     grams = run_hashes(units, anchor)
     place = anchors_of(grams, length - anchor + 1)
-    low = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    own = grams[place]
+    low = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))  # by value: a run of one unit is one cell
     high = np.append(low[1:], len(place)) - 1
     at = place[low]
     content = range_hash(prefix_sums(units), low, high + length)
@@ -191,7 +192,8 @@ def remove_repeats(
     meeting = shared.table(cells.join(known, "anchor"))
     shared.drop(parsed, known)
     distinct = shared.table(meeting.groupBy("anchor", "digest").agg(F.min("doc_id").alias("first_id")))
-    varied = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    # a table of its own, so that the join that reads it can split a hot anchor
+    varied = shared.table(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")))
     judged = shared.table(
         meeting.join(shared.table(distinct.join(varied, "anchor")), ["anchor", "digest"]).select(
             "doc_id", "text_hash", "low", "high", "anchor", (F.col("first_id") < F.col("doc_id")).alias("inside"), "kinds"

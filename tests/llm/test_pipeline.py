@@ -10,7 +10,7 @@ from tests.llm import brute
 
 def test_every_operator_is_registered():
     names = [n for n in E.queries() if n[2:].split("_")[0].isdigit() and n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert E.queries()["pipeline"] is corpus_pipeline.run and set(queries.ORACLE_SQL) <= set(E.oracle_sql())
 
 

@@ -25,6 +25,8 @@ _SLOT_BITS = 22
 _TOGETHER = 1 << 20
 #: So many passages of one length are aligned at once.
 _ALIGNED = 4096
+#: So many hits of q-grams, and so many compared q-grams, are held at once.
+_HITS, _COMPARED = 1 << 20, 1 << 22
 
 
 def fold(text: str) -> np.ndarray:
@@ -106,74 +108,97 @@ _INDEXES: dict[int, tuple[Passages, "PassageIndex"]] = {}
 
 
 class PassageIndex:
-    """Sorted q-grams of the passages and where they occur."""
+    """The rarest q-grams of the distinct passages and where they occur.
+
+    A match leaves ``needed`` of a passage's ``n`` q-grams whole, so it leaves one of any
+    ``n - needed + 1``. Only that many are looked up, the rarest of the block: a phrase
+    that many passages hold is no way into any of them.
+    """
 
     def __init__(self, block: Passages):
         self.block, q = block, block.q
-        size = np.array([len(c) for c in block.codes], dtype=np.int64)
+        owners: dict[bytes, list[int]] = {}
+        for nth, own in enumerate(block.codes):
+            owners.setdefault(own.astype("<u4").tobytes(), []).append(nth)
+        self.owners = list(owners.values())  # equal passages are searched as one
+        self.codes = [block.codes[nth[0]] for nth in self.owners]
+        size = np.array([len(c) for c in self.codes], dtype=np.int64)
         # no more edits than leave one shared q-gram; a passage shorter than a q-gram must occur exactly
         self.edits = np.maximum(np.minimum((size * block.edit_share).astype(np.int64), (size - q) // q), 0)
         self.needed = size - q + 1 - self.edits * q
         self.short = np.flatnonzero(size < q)
+        self.longest = int(size.max(initial=0))
         self.band = int(2 * (self.edits.max(initial=0) + 1))
-        hashes = [gram_hashes(c, q) for c in block.codes]
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, int)
-        self.owner, self.place = owner[order].astype(np.int64), place[order].astype(np.int64)
-        self.grams, self.first = np.unique(flat[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(flat)))
+        self.hashes = [gram_hashes(c, q) for c in self.codes]
+        flat = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
+        many = np.array([len(h) for h in self.hashes], dtype=np.int64)
+        owner = np.repeat(np.arange(len(many)), many)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)
+        _, kind, common = np.unique(flat, return_inverse=True, return_counts=True)
+        rarest = np.lexsort((place, common[kind], owner))  # by passage, then from rare to common
+        rank = np.empty(len(flat), dtype=np.int64)
+        rank[rarest] = place  # the places of a passage are 0, 1, 2, ... in the flat order
+        chosen = np.flatnonzero(rank <= (many - self.needed)[owner])
+        chosen = chosen[np.argsort(flat[chosen], kind="stable")]
+        self.owner, self.place = owner[chosen], place[chosen]
+        self.grams, self.first, self.count = np.unique(flat[chosen], return_index=True, return_counts=True)
         self.slots = np.zeros(1 << _SLOT_BITS, dtype=bool)  # which grams can be there at all
         self.slots[self.grams >> np.uint64(64 - _SLOT_BITS)] = True
 
-    def regions(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(passage, first diagonal) of the bands that share enough q-grams."""
-        hashes = gram_hashes(codes, self.block.q)
+    def _bands(self, hashes: np.ndarray, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passages, first diagonals) of the bands that hold a chosen q-gram, from a bounded number of hits at a time."""
         maybe = np.flatnonzero(self.slots[hashes >> np.uint64(64 - _SLOT_BITS)])
         if not len(maybe) or not len(self.grams):
-            return []
+            return
         nth = np.searchsorted(self.grams, hashes[maybe])
         hit = nth < len(self.grams)
         hit[hit] = self.grams[nth[hit]] == hashes[maybe[hit]]
         at, nth = maybe[hit], nth[hit]
-        times = self.count[nth]
-        at = np.repeat(at, times)
-        entry = np.repeat(self.first[nth] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(len(at))
-        passage = self.owner[entry]
-        longest = max((len(c) for c in self.block.codes), default=0)
-        diagonal = at - self.place[entry] + longest + self.band  # never negative
+        total = np.concatenate(([0], np.cumsum(self.count[nth])))
+        shift = self.longest + self.band  # no diagonal is negative
+        n_bands = (len(hashes) + self.block.q + shift + self.band) // half + 3
+        for begin in range(0, int(total[-1]), _HITS):
+            hits = np.arange(begin, min(begin + _HITS, int(total[-1])))
+            of = np.searchsorted(total, hits, side="right") - 1
+            entry = self.first[nth[of]] + hits - total[of]
+            slot = self.owner[entry] * n_bands + (at[of] - self.place[entry] + shift) // half
+            slot = np.unique(slot)
+            bands = np.unique(np.concatenate((slot, slot - 1)))  # a band is two neighbouring halves
+            yield bands // n_bands, (bands % n_bands) * half - shift
+
+    def regions(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passages, first diagonals) of the bands that share enough q-grams; passages of one length at a time."""
+        hashes = gram_hashes(codes, self.block.q)
         half = self.band // 2
-        n_bands = (len(codes) + longest + 2 * self.band) // half + 3
-        slot = passage * n_bands + diagonal // half
-        slots, shared = np.unique(slot, return_counts=True)
-        # a band is two neighbouring halves
-        low = np.concatenate((slots, slots - 1))
-        total = np.concatenate((shared, shared))
-        bands, inverse = np.unique(low, return_inverse=True)
-        total = np.bincount(inverse, weights=total)
-        owner, nth = bands // n_bands, bands % n_bands
-        enough = total >= self.needed[np.minimum(owner, len(self.needed) - 1)]
-        return [
-            (int(p), int(k) * half - longest - self.band) for p, k in zip(owner[enough], nth[enough])
-        ]
+        steps = np.arange(2 * half)
+        for passage, low in self._bands(hashes, half):
+            sizes = np.array([len(h) for h in self.hashes], dtype=np.int64)[passage]
+            for size in np.unique(sizes):
+                same = np.flatnonzero(sizes == size)
+                for some in np.array_split(same, -(-len(same) * size * len(steps) // _COMPARED)):
+                    own = np.stack([self.hashes[p] for p in passage[some]])
+                    shared = np.zeros(len(some), dtype=np.int64)
+                    for step in steps:
+                        at = (low[some] + step)[:, None] + np.arange(size)
+                        inside = (at >= 0) & (at < len(hashes))
+                        shared += (inside & (hashes.take(at, mode="clip") == own)).sum(axis=1)
+                    enough = some[shared >= self.needed[passage[some]]]
+                    if len(enough):
+                        yield passage[enough], low[enough]
 
     def matches(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(passage, place after it, edits), the best of each passage and place."""
         best: dict[tuple[int, int], int] = {}
-        sizes: dict[int, list[tuple[int, int]]] = {}
-        for passage, low in self.regions(codes):
-            sizes.setdefault(len(self.block.codes[passage]), []).append((passage, low))
-        for regions in sizes.values():
-            for begin in range(0, len(regions), _ALIGNED):
-                some = regions[begin : begin + _ALIGNED]
-                own = np.stack([self.block.codes[p] for p, _ in some])
-                edits, ends = banded_distances(own, codes, np.array([low for _, low in some]), self.band)
-                for (passage, _), e, end in zip(some, edits.tolist(), ends.tolist()):
-                    if e <= self.edits[passage]:
-                        best[passage, end] = min(best.get((passage, end), e), e)
+        for passages, lows in self.regions(codes):
+            for begin in range(0, len(passages), _ALIGNED):
+                some = passages[begin : begin + _ALIGNED]
+                own = np.stack([self.codes[p] for p in some])
+                edits, ends = banded_distances(own, codes, lows[begin : begin + _ALIGNED], self.band)
+                for p, e, end in zip(some.tolist(), edits.tolist(), ends.tolist()):
+                    if e <= self.edits[p]:
+                        best[p, end] = min(best.get((p, end), e), e)
         for passage in self.short:
-            own = self.block.codes[passage]
+            own = self.codes[passage]
             if len(own):
                 windows = np.lib.stride_tricks.sliding_window_view(codes, len(own)) if len(codes) >= len(own) else []
                 for at in np.flatnonzero((windows == own).all(axis=1)) if len(windows) else []:
@@ -274,7 +299,7 @@ def find_leaks(
                     joined = np.concatenate([x for c in codes for x in (c, gap)])
                     for passage, end, edits in index.matches(joined):
                         doc = docs_[int(np.searchsorted(starts, end - 1, side="right")) - 1]
-                        found[doc].append((block.value.items[passage], passage, edits))
+                        found[doc].extend((block.value.items[own], own, edits) for own in index.owners[passage])
 
                 for i, text in enumerate(batch.column("text")):
                     folded = fold(text.as_py())

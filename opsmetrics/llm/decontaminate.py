@@ -110,9 +110,10 @@ _INDEXES: dict[int, tuple[Passages, "PassageIndex"]] = {}
 class PassageIndex:
     """The rarest q-grams of the distinct passages and where they occur.
 
-    A match leaves ``needed`` of a passage's ``n`` q-grams whole, so it leaves one of any
-    ``n - needed + 1``. Only that many are looked up, the rarest of the block: a phrase
-    that many passages hold is no way into any of them.
+    A match leaves ``needed`` of a passage's ``n`` q-grams whole, so of any
+    ``n - needed + enter`` it leaves ``enter``. Only that many are looked up, the rarest
+    of the block: a phrase that many passages hold is no way into any of them. Bands with
+    ``enter`` of these have all their q-grams counted.
     """
 
     def __init__(self, block: Passages):
@@ -126,6 +127,7 @@ class PassageIndex:
         # no more edits than leave one shared q-gram; a passage shorter than a q-gram must occur exactly
         self.edits = np.maximum(np.minimum((size * block.edit_share).astype(np.int64), (size - q) // q), 0)
         self.needed = size - q + 1 - self.edits * q
+        self.enter = np.maximum(self.needed // 2, 1)
         self.short = np.flatnonzero(size < q)
         self.longest = int(size.max(initial=0))
         self.band = int(2 * (self.edits.max(initial=0) + 1))
@@ -138,7 +140,7 @@ class PassageIndex:
         rarest = np.lexsort((place, common[kind], owner))  # by passage, then from rare to common
         rank = np.empty(len(flat), dtype=np.int64)
         rank[rarest] = place  # the places of a passage are 0, 1, 2, ... in the flat order
-        chosen = np.flatnonzero(rank <= (many - self.needed)[owner])
+        chosen = np.flatnonzero(rank < (many - self.needed + self.enter)[owner])
         chosen = chosen[np.argsort(flat[chosen], kind="stable")]
         self.owner, self.place = owner[chosen], place[chosen]
         self.grams, self.first, self.count = np.unique(flat[chosen], return_index=True, return_counts=True)
@@ -146,7 +148,7 @@ class PassageIndex:
         self.slots[self.grams >> np.uint64(64 - _SLOT_BITS)] = True
 
     def _bands(self, hashes: np.ndarray, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(passages, first diagonals) of the bands that hold a chosen q-gram, from a bounded number of hits at a time."""
+        """(passages, first diagonals) of the bands that hold enough chosen q-grams, a bounded stretch of text at a time."""
         maybe = np.flatnonzero(self.slots[hashes >> np.uint64(64 - _SLOT_BITS)])
         if not len(maybe) or not len(self.grams):
             return
@@ -155,16 +157,27 @@ class PassageIndex:
         hit[hit] = self.grams[nth[hit]] == hashes[maybe[hit]]
         at, nth = maybe[hit], nth[hit]
         total = np.concatenate(([0], np.cumsum(self.count[nth])))
-        shift = self.longest + self.band  # no diagonal is negative
-        n_bands = (len(hashes) + self.block.q + shift + self.band) // half + 3
-        for begin in range(0, int(total[-1]), _HITS):
-            hits = np.arange(begin, min(begin + _HITS, int(total[-1])))
-            of = np.searchsorted(total, hits, side="right") - 1
-            entry = self.first[nth[of]] + hits - total[of]
-            slot = self.owner[entry] * n_bands + (at[of] - self.place[entry] + shift) // half
-            slot = np.unique(slot)
-            bands = np.unique(np.concatenate((slot, slot - 1)))  # a band is two neighbouring halves
-            yield bands // n_bands, (bands % n_bands) * half - shift
+        reach = self.longest + self.band  # the places of one band are no further apart, and no diagonal is below -reach
+        n_bands = (len(hashes) + self.block.q + reach + self.band) // half + 3
+        begin = 0
+        while begin < len(at):
+            end = max(int(np.searchsorted(total, total[begin] + _HITS)), int(np.searchsorted(at, at[begin] + 2 * reach)))
+            end = min(end, len(at))
+            some, times = nth[begin:end], self.count[nth[begin:end]]
+            entry = np.repeat(self.first[some] - (total[begin:end] - total[begin]), times)
+            entry += np.arange(len(entry))
+            owner = self.owner[entry]
+            slot = owner * n_bands + (np.repeat(at[begin:end], times) - self.place[entry] + reach) // half
+            slot, shared = np.unique(slot, return_counts=True)
+            follows = np.append(slot[1:] == slot[:-1] + 1, False)
+            both = shared + np.where(follows, np.append(shared[1:], 0), 0)  # a band is two neighbouring halves
+            alone = np.concatenate(([True], ~follows[:-1]))  # no half before: that band holds this half only
+            bands = np.concatenate((slot, slot[alone] - 1))
+            held = np.concatenate((both, shared[alone]))
+            enough = held >= self.enter[np.concatenate((slot, slot[alone])) // n_bands]
+            yield bands[enough] // n_bands, (bands[enough] % n_bands) * half - reach
+            # a band that goes on beyond this stretch is whole in the next one
+            begin = int(np.searchsorted(at, at[end] - reach)) if end < len(at) else end
 
     def regions(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(passages, first diagonals) of the bands that share enough q-grams; passages of one length at a time."""

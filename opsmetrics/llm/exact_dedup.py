@@ -33,6 +33,8 @@ def exact_classes(
     and joins the documents to it, so a group with a third of the rows is one row
     there and its documents are split over tasks by the adaptive skew join.
 
+    Very long texts that agree take more rounds, each over only those still together;
+    no row ever holds more than one text.
     Null texts are empty texts, and empty texts are equal to each other. Of equal
     texts the one with the most code points stays, then the smallest id; a null
     id comes last, and of rows that repeat an id one row stays. An empty table

@@ -190,7 +190,8 @@ def scan_licenses(
 
     A window that shares no shingle with any template shares no least hash with
     one either, so documents without a template shingle leave before windows
-    are made: nothing is lost by that. Null and empty texts, and documents with
+    are made: nothing is lost by that. A very long text is cut into windows over its
+    whole length. Null and empty texts, and documents with
     no licence, give no row; rows that repeat an id count as one document; rows
     without id are reported under a null id; an empty table gives no rows; other
     columns are not read.

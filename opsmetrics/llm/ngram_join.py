@@ -233,7 +233,8 @@ def similar_classes(
     4. The classes are the components of those joins.
 
     Null and empty texts, and texts of separators alone, have no n-gram: each
-    is a class of its own. A text with fewer than ``n`` words is one gram. Rows
+    is a class of its own. A text with fewer than ``n`` words is one gram. A very long
+    text counts with all its grams, and its block may be larger than ``block_chars``. Rows
     that repeat an id are separate documents with the same class if their texts
     are similar, and one of them is kept; a null id never names a class unless
     all its ids are null. An empty table gives no rows; other columns are not read.

@@ -175,7 +175,8 @@ def remove_repeats(
     a document with a smaller id. Windows are judged on the input. ``spans`` are
     the maximal removed runs in words, ``kept`` the other words joined by a blank.
 
-    Null and empty texts, and texts with fewer than ``length`` words, lose nothing.
+    Null and empty texts, and texts with fewer than ``length`` words, lose nothing. A
+    very long text is read whole, in one task: its arrays take some tens of bytes for each byte.
     Rows with one id are not smaller than each other; a row without id neither
     loses words nor is a reason to remove any. A passage repeated inside one
     document stays there. An empty table gives no rows; other columns are not read.

@@ -313,7 +313,6 @@ def check_packing(rows, out, capacity):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(tokenizer_file())
-    coder.encode_special_tokens = True
     want = []
     for doc_id, text in rows:
         ids = coder.encode(text or "", add_special_tokens=False).ids + [0]
@@ -364,11 +363,12 @@ def test_packing_plans(seed):
 def test_ids_equal_the_tokenizer(text):
     from tokenizers import Tokenizer
 
-    coder = packing.TokenIds(tokenizer_file())
     whole = Tokenizer.from_file(tokenizer_file())
-    whole.encode_special_tokens = True
-    assert coder.ranked is not None
-    assert coder.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    for added in (True, False):
+        coder = packing.TokenIds(tokenizer_file(), added)
+        whole.encode_special_tokens = not added  # off by default
+        assert coder.ranked is not None
+        assert coder.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def test_passage_is_long_enough():

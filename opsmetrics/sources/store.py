@@ -16,7 +16,9 @@ meanwhile, and tries the next number.
 An upload meets the index bucket by bucket: its keys are broadcast if their size,
 which is counted first, allows it; the scan then reads the buckets that
 occur in the upload (dynamic partition pruning) and no stored key is shuffled.
-Beyond that size the keys are joined by shuffle. Loads newer than the index are
+Beyond that size the keys are joined by shuffle, whatever size the optimizer
+estimates: it takes a key for an even share of its row, but other columns may hold
+next to nothing. Loads newer than the index are
 read from their rows, so the answer is the same with an old index, or without one.
 """
 
@@ -141,20 +143,22 @@ class OperationsStore:
     def stored_keys(self, keys: DataFrame, at: Snapshot | None = None) -> DataFrame:
         """Those of the (normalised) keys that are stored, each once.
 
-        ``keys`` is read twice, once to find its size: give it a written frame.
+        ``keys`` is read twice, once to find its size: give it a written frame. Many
+        keys also make a join with the result one by shuffle.
         """
         at = at or self.snapshot()
         # the comparison also tells the optimizer that this side is worth pruning by
         wanted = keys.select(self.key).where(F.col(self.key) > F.lit("")).distinct()
         few = self._few(wanted)
-        hint = F.broadcast if few else (lambda df: df)
+        hint = F.broadcast if few else (lambda df: df.hint("merge"))
         found = stored_key_values(self._rows(at.newer_than(at.covers)), self.key).join(hint(wanted), self.key, "left_semi")
         if at.base is not None:
             placed = wanted.withColumn("bucket", key_bucket(F.col(self.key), at.buckets))
             found = found.unionByName(
                 self._base(at).join(hint(placed), ["bucket", self.key], "left_semi").select(self.key)
             )
-        return found.distinct()
+        found = found.distinct()
+        return found if few else hint(found)
 
     def refresh_index(self, buckets: int = 256) -> None:
         """Write the key index of the newest version, in ``buckets`` folders.

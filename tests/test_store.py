@@ -75,6 +75,25 @@ def test_index_and_no_index_agree(spark, tmpdir_path, limit):
     assert rows(store.stored_keys(asked.where("false"))) == []
 
 
+def joins_by_shuffle(*frames):
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan, plan
+
+
+def test_many_keys_are_never_broadcast(spark, tmpdir_path):
+    store = OperationsStore(spark, f"{tmpdir_path}/s", broadcast_bytes=0)
+    store.append(ops(spark, [f"K{i}" for i in range(50)]))
+    store.refresh_index(4)
+    store.append(ops(spark, ["K1", "LATE"]))
+    found = store.stored_keys(ops(spark, ["K1", "LATE", "NONE"]))
+    upload = spark.createDataFrame([("k1", 1), ("new1", 2)], "File string, _ordinal bigint")
+    split = ingest.analyze_upload(upload, store)
+    assert rows(split.new, "file") == [("NEW1",)] and rows(split.existing, "file") == [("K1",)]
+    assert rows(found) == [("K1",), ("LATE",)]
+    joins_by_shuffle(found, split.new, split.existing)
+
+
 def test_the_upload_reads_its_buckets_and_shuffles_no_stored_key(spark, tmpdir_path):
     store = OperationsStore(spark, f"{tmpdir_path}/s")
     store.append(ops(spark, [f"K{i}" for i in range(500)]))

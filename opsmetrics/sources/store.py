@@ -140,6 +140,10 @@ class OperationsStore:
         n, size = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(self.key)), F.lit(0))).first()
         return 64 * n + size <= self.broadcast_bytes
 
+    def _sized(self, keys: DataFrame) -> DataFrame:
+        """The keys as one side of a join: broadcast if they are few, else never."""
+        return F.broadcast(keys) if self._few(keys) else keys.hint("merge")
+
     def stored_keys(self, keys: DataFrame, at: Snapshot | None = None) -> DataFrame:
         """Those of the (normalised) keys that are stored, each once.
 
@@ -208,7 +212,7 @@ class OperationsStore:
             newer = at.newer_than(load.seen)
             if newer:  # else only an index was written meanwhile
                 between = stored_key_values(self._rows(newer), self.key)
-                load = self._stage(self._rows([load.load]).join(between, self.key, "left_anti"), at.version)
+                load = self._stage(self._rows([load.load]).join(self._sized(between), self.key, "left_anti"), at.version)
             else:
                 load = load._replace(seen=at.version)
         return 0

@@ -94,6 +94,16 @@ def test_many_keys_are_never_broadcast(spark, tmpdir_path):
     joins_by_shuffle(found, split.new, split.existing)
 
 
+def test_loads_of_many_keys_are_never_broadcast(spark, tmpdir_path):
+    store = OperationsStore(spark, f"{tmpdir_path}/s", broadcast_bytes=0)
+    staged, stage = [], store._stage
+    store._stage = lambda frame, seen: staged.append(frame) or stage(frame, seen)
+    one, two = store.begin(ops(spark, ["K2", "NEW"])), store.begin(ops(spark, ["K3", "NEW", "MORE"]))
+    assert (store.commit(two), store.commit(one)) == (3, 1) and len(staged) == 3
+    assert [k for k, _ in stored(store)] == ["K2", "K3", "MORE", "NEW"]
+    joins_by_shuffle(*staged)
+
+
 def test_the_upload_reads_its_buckets_and_shuffles_no_stored_key(spark, tmpdir_path):
     store = OperationsStore(spark, f"{tmpdir_path}/s")
     store.append(ops(spark, [f"K{i}" for i in range(500)]))

@@ -7,6 +7,7 @@ from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from opsmetrics.llm import langid, licenses, pii, pu_quality, rlz_dedup, suffix_dedup
 from tests.llm import brute, brute_pii
@@ -224,6 +225,19 @@ def test_a_run_is_one_cell():
     assert low.tolist() == [0] and high.tolist() == [100_000 - 50]
 
 
+def test_the_difference_cover_gets_what_meets_only(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    own = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    phrase, long = own(30), own(90)
+    # a phrase under 50 bytes has an anchor that all share, but no window with it is a repeat
+    rows = [(i, own(70) + phrase + own(70)) for i in range(40)] + [(50 + i, own(70) + long + own(70)) for i in range(2)]
+    seen, whole = [], suffix_dedup._equal_windows
+    monkeypatch.setattr(suffix_dedup, "_equal_windows", lambda f, *a: seen.append(f.agg(F.sum("windows")).first()[0]) or whole(f, *a))
+    got = suffix_dedup.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == brute.repeated_bytes(rows)
+    assert 0 < seen[0] <= 2 * (90 - 50 + 1 + 2 * 7)
+
+
 def test_runs_and_rulers(spark):
     ruler = "-=" * 90
     rows = [(1, "a" * 300), (2, "b" + "a" * 170 + "c"), (3, "a" * 300), (4, "x" + ruler + "y"), (5, ruler[1:] + "end"), (6, "a" * 49 + "b" * 60)]

@@ -238,6 +238,28 @@ def test_the_difference_cover_gets_what_meets_only(spark, monkeypatch):
     assert 0 < seen[0] <= 2 * (90 - 50 + 1 + 2 * 7)
 
 
+def test_groups_repeated_whole_stay_out_of_the_difference_cover(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    own = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    long = own(200)
+    rows = [(i, own(70) + long + own(70)) for i in range(8)]
+    seen, whole = [], suffix_dedup._equal_windows
+    monkeypatch.setattr(suffix_dedup, "_equal_windows", lambda f, *a: seen.append(f.agg(F.sum("windows")).first()[0]) or whole(f, *a))
+    got = suffix_dedup.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == brute.repeated_bytes(rows)
+    assert (seen[0] or 0) <= 8 * 2 * suffix_dedup._GROUP
+
+
+def test_cells_of_texts_together(spark):
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 101, n).astype(np.uint8) for n in (0, 3, 49, 50, 51, 400, 0, 3000, 20)] + [np.full(500, 45, np.uint8)] * 2
+    base = np.cumsum([0, *map(len, texts)])
+    got = suffix_dedup.cells_within(suffix_dedup._units(np.concatenate(texts)), base, 50, 16)
+    each = [rlz_dedup.cells_of(suffix_dedup._units(t), 50, 16) for t in texts]
+    want = [np.concatenate([c[k] + (at if k < 2 else 0) for c, at in zip(each, base)]) for k in range(4)]
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
 def test_runs_and_rulers(spark):
     ruler = "-=" * 90
     rows = [(1, "a" * 300), (2, "b" + "a" * 170 + "c"), (3, "a" * 300), (4, "x" + ruler + "y"), (5, ruler[1:] + "end"), (6, "a" * 49 + "b" * 60)]

@@ -250,6 +250,54 @@ def test_groups_repeated_whole_stay_out_of_the_difference_cover(spark, monkeypat
     assert (seen[0] or 0) <= 8 * 2 * suffix_dedup._GROUP
 
 
+def test_text_that_meets_nothing_leaves_no_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    own = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    phrase, long = own(30), own(90)
+    # 30 bytes hold an anchor, but not two thirds of a window
+    rows = [(i, own(200) + phrase + own(200)) for i in range(40)] + [(50 + i, own(70) + long + own(70)) for i in range(2)]
+    written, table = [], suffix_dedup.Shared.table
+    monkeypatch.setattr(suffix_dedup.Shared, "table", lambda self, df: (out := table(self, df), written.append(out.count()))[0])
+    got = suffix_dedup.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == brute.repeated_bytes(rows)
+    assert max(written) <= 4 * 90
+
+
+def test_halves_meet_over_blocks():
+    rng = np.random.default_rng(8)
+    halves, buckets = [], 3
+    for _ in range(6):  # blocks with cores of one document, of several, and of one document many times
+        n = int(rng.integers(1, 400))
+        doc = np.sort(rng.integers(-40, 40, n))
+        low = rng.integers(0, 1 << 30, n)
+        halves.append((doc, low, low + rng.integers(0, 40, n), suffix_dedup.mix(rng.integers(0, 900, n).astype(np.uint64))))
+    halves.append((np.full(50, 99), np.arange(50), np.arange(50), suffix_dedup.mix(np.full(50, 10**6, dtype=np.uint64))))
+    blocks, got = {}, []
+    for part in halves:
+        for bucket, *block in suffix_dedup.blocks_of(*part, buckets):
+            if bucket < 0:
+                got += zip(*(x.tolist() for x in suffix_dedup.unpack(block[2])))
+            else:
+                blocks.setdefault(bucket, []).append(tuple(block))
+    for members in blocks.values():
+        got += zip(*(x.tolist() for x in suffix_dedup.meeting_of(members)))
+    rows = [row for part in halves for row in zip(*(x.tolist() for x in part))]
+    docs = {core: {d for d, _, _, c in rows if c == core} for *_, core in rows}
+    assert sorted(got) == sorted(row[:3] for row in rows if len(docs[row[3]]) > 1)
+    assert 0 < len(got) < len(rows)
+
+
+def test_ranges_are_merged_and_packed():
+    rng = np.random.default_rng(9)
+    doc, low = np.sort(rng.integers(-4, 4, 300)) << 58, rng.integers(0, 500, 300)
+    high = low + rng.integers(0, 7, 300)
+    assert all(np.array_equal(a, b) for a, b in zip(suffix_dedup.unpack(suffix_dedup.pack(doc, low, high)), (doc, low, high)))
+    windows = lambda *x: [(d, w) for d, a, b in zip(*(v.tolist() for v in x)) for w in range(a, b + 1)]
+    got = suffix_dedup.merged(doc, low, high)
+    assert windows(*got) == sorted(set(windows(doc, low, high)))
+    assert not any(d == e and b + 1 >= a for d, b, e, a in zip(got[0], got[2], got[0][1:], got[1][1:]))
+
+
 def test_cells_of_texts_together(spark):
     rng = np.random.default_rng(1)
     texts = [rng.integers(97, 101, n).astype(np.uint8) for n in (0, 3, 49, 50, 51, 400, 0, 3000, 20)] + [np.full(500, 45, np.uint8)] * 2

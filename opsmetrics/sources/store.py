@@ -20,6 +20,9 @@ Beyond that size the keys are joined by shuffle, whatever size the optimizer
 estimates: it takes a key for an even share of its row, but other columns may hold
 next to nothing. Loads newer than the index are
 read from their rows, so the answer is the same with an old index, or without one.
+
+A load counts its keys while it is staged. If they are many, its rows meet all
+stored keys in one join: no key is made distinct or joined before that.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsmetrics import schema
 from opsmetrics.sources.readers import coerce_dates, stored_key_values
@@ -135,25 +139,28 @@ class OperationsStore:
     def _base(self, at: Snapshot) -> DataFrame:
         return self.spark.read.schema(f"{self.key} string, bucket int").parquet(f"{self.path}/keys/base={at.base}")
 
+    def _size(self) -> list[Column]:
+        return [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(self.key)), F.lit(0)).alias("size")]
+
     def _few(self, keys: DataFrame) -> bool:
         """Whether distinct keys are small enough to broadcast; counted, not estimated."""
-        n, size = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(self.key)), F.lit(0))).first()
+        n, size = keys.agg(*self._size()).first()
         return 64 * n + size <= self.broadcast_bytes
 
     def _sized(self, keys: DataFrame) -> DataFrame:
         """The keys as one side of a join: broadcast if they are few, else never."""
         return F.broadcast(keys) if self._few(keys) else keys.hint("merge")
 
-    def stored_keys(self, keys: DataFrame, at: Snapshot | None = None) -> DataFrame:
+    def stored_keys(self, keys: DataFrame, at: Snapshot | None = None, few: bool | None = None) -> DataFrame:
         """Those of the (normalised) keys that are stored, each once.
 
-        ``keys`` is read twice, once to find its size: give it a written frame. Many
-        keys also make a join with the result one by shuffle.
+        ``keys`` is read twice, once to find its size (unless ``few`` tells whether they can be
+        broadcast): give it a written frame. Many keys also make a join with the result one by shuffle.
         """
         at = at or self.snapshot()
         # the comparison also tells the optimizer that this side is worth pruning by
         wanted = keys.select(self.key).where(F.col(self.key) > F.lit("")).distinct()
-        few = self._few(wanted)
+        few = self._few(wanted) if few is None else few
         hint = F.broadcast if few else (lambda df: df.hint("merge"))
         found = stored_key_values(self._rows(at.newer_than(at.covers)), self.key).join(hint(wanted), self.key, "left_semi")
         if at.base is not None:
@@ -175,8 +182,9 @@ class OperationsStore:
         if at.base is not None:
             keys = keys.unionByName(self._base(at).select(self.key))
         base = uuid.uuid4().hex
-        placed = keys.distinct().withColumn("bucket", key_bucket(F.col(self.key), buckets))
-        placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", self.key).write.partitionBy("bucket").parquet(
+        # equal keys meet in their bucket: one shuffle
+        placed = keys.withColumn("bucket", key_bucket(F.col(self.key), buckets)).repartition(buckets, "bucket")
+        placed.dropDuplicates(["bucket", self.key]).sortWithinPartitions("bucket", self.key).write.partitionBy("bucket").parquet(
             f"{self.path}/keys/base={base}"
         )
         version = at.version + 1
@@ -186,7 +194,7 @@ class OperationsStore:
     # ---------------------------------------------------------------- loads ---
     def _stage(self, rows: DataFrame, seen: int) -> Load:
         load, observation = uuid.uuid4().hex, Observation("rows")
-        out = to_contract(rows).observe(observation, F.count(F.lit(1)).alias("rows"))
+        out = to_contract(coerce_dates(rows)).observe(observation, F.count(F.lit(1)).alias("rows"))
         out.write.parquet(f"{self.path}/data/load={load}")
         return Load(load, int(observation.get.get("rows", 0)), seen)
 
@@ -194,14 +202,33 @@ class OperationsStore:
         """Write the rows whose key is not stored yet; readers do not see them before ``commit``.
 
         ``rows`` have one row for each normalised key (``ingest.upload_dedupe``).
-        They are written first, so that they are computed once. Dates that are still
-        text are read with the defaults of ``coerce_dates``.
+        They are written first, so that they are computed once, unless nothing is stored yet.
+        Dates that are still text are read with the defaults of ``coerce_dates``, those of new rows only.
         """
-        staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-        to_contract(coerce_dates(rows)).write.parquet(staged)
-        given = self.spark.read.schema(schema.OPERATIONS).parquet(staged)
         at = self.snapshot()
-        return self._stage(given.join(self.stored_keys(given, at), self.key, "left_anti"), at.version)
+        if not at.loads:
+            return self._stage(rows, at.version)
+        given, few = self._given(rows)
+        at = self.snapshot()
+        if few:
+            stored = self.stored_keys(given, at, few)
+        else:
+            stored = stored_key_values(self._rows(at.newer_than(at.covers)), self.key)
+            if at.base is not None:
+                stored = stored.unionByName(self._base(at).select(self.key))
+            stored = stored.where(F.col(self.key) > F.lit("")).hint("merge")
+        return self._stage(given.join(stored, self.key, "left_anti"), at.version)
+
+    def _given(self, rows: DataFrame) -> tuple[DataFrame, bool]:
+        """The rows as they are, written, and whether their keys are few."""
+        staged, observation = f"{self.path}/staging/{uuid.uuid4().hex}", Observation("keys")
+        untyped = lambda f: f.name not in schema.DATE_COLUMNS or isinstance(f.dataType, T.NullType)
+        named = [f for f in rows.schema.fields if f.name in schema.CONTRACT_COLUMNS]
+        out = rows.select(*(F.col(f.name).cast("string").alias(f.name) if untyped(f) else f.name for f in named))
+        out.observe(observation, *self._size()).write.parquet(staged)
+        size = observation.get
+        few = 64 * size.get("n", 0) + size.get("size", 0) <= self.broadcast_bytes
+        return self.spark.read.schema(out.schema).parquet(staged), few
 
     def commit(self, load: Load) -> int:
         """Make the rows of a load visible, those whose key no other load stored meanwhile; how many they are."""

@@ -104,6 +104,35 @@ def test_loads_of_many_keys_are_never_broadcast(spark, tmpdir_path):
     joins_by_shuffle(*staged)
 
 
+def test_a_load_of_many_keys_is_one_join(spark, tmpdir_path):
+    store = OperationsStore(spark, f"{tmpdir_path}/s", broadcast_bytes=0)
+    staged, stage = [], store._stage
+    store._stage = lambda frame, seen: staged.append(frame) or stage(frame, seen)
+    store.append(ops(spark, [" k1 ", "K2"]))
+    assert not os.path.exists(f"{tmpdir_path}/s/staging")  # nothing to compare with
+    store.refresh_index(4)
+    store.append(ops(spark, ["LATE"]))
+    assert store.append(ops(spark, ["K1", "K2", "LATE", "NEW"])) == 1
+    plan = staged[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan, plan
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_odd_keys_and_dates_of_a_load(spark, tmpdir_path, limit):
+    store = OperationsStore(spark, f"{tmpdir_path}/s", broadcast_bytes=limit)
+    store.append(ops(spark, [" k1 ", "  ", "", None]))
+    store.refresh_index(4)
+    store.append(ops(spark, ["late", "\t"]))
+    keys = ["K1", "LATE", "", None, "NEW", "BAD"]
+    frame = spark.createDataFrame([(k, "bad-date" if k == "BAD" else "2024/02/03 10:30") for k in keys], "file string, fecha_file string")
+    assert store.append(frame.withColumn("fecha_cierre", F.lit(None)).withColumn("other", F.lit(1))) == 4
+    got = store.read().where("file is null or file in ('', 'NEW', 'BAD')").select("file", F.col("fecha_file").cast("string")).collect()
+    day = "2024-02-03 10:30:00"
+    want = [(None, None), ("", None), ("BAD", None), (None, day), ("", day), ("NEW", day)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert rows(store.read().select("fecha_cierre").distinct()) == [(None,)]
+
+
 def test_the_upload_reads_its_buckets_and_shuffles_no_stored_key(spark, tmpdir_path):
     store = OperationsStore(spark, f"{tmpdir_path}/s")
     store.append(ops(spark, [f"K{i}" for i in range(500)]))
